@@ -30,22 +30,42 @@ def is_object(document: Column) -> Column:
 def with_members(document: Column, members: dict[str, Column]) -> Column:
     """JSON object with some members set; a null value sets nothing.
 
-    The other members pass through as variants, so nested values survive.
+    The members are appended to the text.  Only where the object may already
+    hold one of them is it parsed to take the old value out; what else it holds
+    passes through, nested values included.
     """
-    entries = F.array(
-        *[
-            F.struct(F.lit(name).alias("key"), value.cast("variant").alias("value"), value.isNotNull().alias("set"))
-            for name, value in members.items()
-        ]
+    text = F.rtrim(F.ltrim(document))
+    clash = F.lit(False)
+    for name in members:
+        clash = clash | text.contains(f'"{name}"')
+    clash = clash | text.contains("\\u")  # an escaped name is not found by its text
+    taken_out = F.to_json(
+        F.map_filter(
+            F.from_json(text, "map<string,variant>"),
+            lambda key, _: ~_any([(key == name) & value.isNotNull() for name, value in members.items()]),
+        )
     )
-    present = F.filter(entries, lambda entry: entry["set"])
-    added = F.map_from_entries(F.transform(present, lambda entry: F.struct(entry["key"], entry["value"])))
-    names = F.transform(present, lambda entry: entry["key"])
-    kept = F.map_filter(
-        F.coalesce(F.from_json(document, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")),
-        lambda key, _: ~F.array_contains(names, key),
+    base = F.when(clash, taken_out).otherwise(text)
+    added = F.concat_ws(
+        ",", *[F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), _quoted(value))) for name, value in members.items()]
     )
-    return F.to_json(F.map_concat(kept, added))
+    opened = F.regexp_replace(base, r"\s*\}$", "")
+    # One reference to each text: a second one would parse the object again.
+    joined = F.concat(opened, F.lit(","), added, F.lit("}"))
+    return F.when(added == "", base).otherwise(F.regexp_replace(joined, r"^\{\s*,", "{"))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for condition in conditions[1:]:
+        out = out | condition
+    return out
+
+
+def _quoted(value: Column) -> Column:
+    """A scalar as JSON text."""
+    listed = F.to_json(F.array(value))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
 def wrapped(document: Column) -> Column:

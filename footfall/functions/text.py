@@ -51,7 +51,7 @@ def metric_type(value: Column) -> Column:
     )
     joined = F.lower(F.regexp_replace(words, "[-_ ]+", "_"))
     bare = F.regexp_replace(joined, "^_+|_+$", "")
-    return F.when(bare == "pageview", F.lit("page_view")).otherwise(F.coalesce(bare, F.lit("")))
+    return F.coalesce(F.regexp_replace(bare, "^pageview$", "page_view"), F.lit(""))
 
 
 def privacy_source(value: Column) -> Column:

@@ -213,7 +213,7 @@ def _signed_traffic() -> str:
         ["v_traffic_items"],
         {
             "prepared": f"""select *, {_metric_type('metric_type')} as mt, nullif(trim(page_path), '') as path, nullif(trim(referrer), '') as ref,
-                {IP} as ip, case when metadata like '{{%' then metadata end as obj, cast(null as varchar) as bot_text,
+                {IP} as ip, case when trim(metadata) like '{{%' then metadata end as obj, cast(null as varchar) as bot_text,
                 cast(null as varchar) as resolved_text, case when metadata like '[%' then metadata end as data from v_traffic_items"""
         },
         _traffic_rows("prepared"),
@@ -231,12 +231,12 @@ def _public_traffic() -> str:
                 coalesce(regexp_matches(lower(user_agent), 'bot|spider|crawler'), false) as is_bot,
                 trim(coalesce({_none_if_blank('referrer')}, {_none_if_blank('referer_header')})) as res from v_traffic_items""",
             "seen": f"""select *, case when regexp_matches(visitor_cookie, {UUID_RE}) then visitor_cookie
-                else {_uuid(_text('batch_id', 'epoch_us(received_at)', 'ip', 'user_agent'))} end as device_id,
+                else {_uuid('md5(' + _text('batch_id', 'epoch_us(received_at)', 'ip', 'user_agent') + ')')} end as device_id,
                 is_bot or (res is not null and res is distinct from referrer) as noted from named""",
             "prepared": f"""select *, coalesce(given, substring(sha256(device_id), 1, 32)) as user_id,
                 {_metric_type('metric_type')} as mt, nullif(trim(page_path), '') as path,
                 case when noted then coalesce(res, nullif(trim(referrer), '')) else nullif(trim(referrer), '') end as ref,
-                case when metadata like '{{%' then metadata end as obj,
+                case when trim(metadata) like '{{%' then metadata end as obj,
                 case when is_bot then 'true' end as bot_text, case when noted then res end as resolved_text,
                 case when metadata like '[%' and not noted then metadata end as data from seen""",
         },

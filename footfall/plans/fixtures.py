@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 SOURCES = ("events", "pages")
 
 
-def _uuid(seed: str) -> str:
-    parts = ", ".join(f"substring(md5({seed}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+def _uuid(digest: str) -> str:
+    parts = ", ".join(f"substring({digest}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     return f"concat_ws('-', {parts})"
 
 
-DEV = _uuid("concat('dev-', cast(user_id % 97 as string))")
-SES = _uuid("concat('ses-', cast(user_id as string), '-', cast(cast(ts as date) as string))")
-PERSON = _uuid("concat('usr-', cast(user_id as string))")
+# The digests are columns of an inner select, so each is taken once per row.
+HASHED = """(select *, md5(concat('dev-', cast(user_id % 97 as string))) as dev_md5,
+        md5(concat('ses-', cast(user_id as string), '-', cast(cast(ts as date) as string))) as ses_md5,
+        md5(concat('usr-', cast(user_id as string))) as usr_md5 from events)"""
+DEV, SES, PERSON = _uuid("dev_md5"), _uuid("ses_md5"), _uuid("usr_md5")
 PROJ = "case when user_id % 10 = 0 then 'beta' else 'demo' end"
 NONE = "cast(null as string)"
 
@@ -34,7 +36,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         case when event_id % 17 = 0 then '' else concat('u', cast(user_id as string)) end as user_id,
         {SES} as session_id, event_type, {{ms:ts}} as event_timestamp, ts as created_at, props as properties, {PROJ} as project_id,
         concat('key-', cast(case when event_id % 25 = 0 and event_id > 0 then event_id - 1 else event_id end as string)) as idempotency_key
-        from events""",
+        from {HASHED} h""",
     ),
     # event_id % 50 only reaches page ids 0..49: the page side is that small.
     "v_traffic": (
@@ -49,7 +51,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         case when e.event_id % 11 = 0 then '{{"isBot":true}}' when e.event_id % 11 = 1 then '{{"isBot":false}}'
              when e.event_id % 11 = 2 then null else '{{"utm_source":"feed"}}' end as metadata,
         {PROJ} as project_id, e.ts as created_at
-        from events e join (select page_id, url from pages where page_id between 0 and 49) p on p.page_id = e.event_id % 50""",
+        from {HASHED} e join (select page_id, url from pages where page_id between 0 and 49) p on p.page_id = e.event_id % 50""",
     ),
     "v_session_uploads": (
         ("events",),
@@ -60,7 +62,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         cast(sum(case when event_type = 'view' then 1 else 0 end) over w as int) as screen_count,
         concat('model ', cast(event_id % 5 as string)) as device_model, concat('os ', cast(event_id % 4 as string)) as os_version,
         concat('1.', cast(event_id % 3 as string)) as app_version, cast(event_id as string) as build_number,
-        event_id as seq, {PROJ} as project_id, ts as created_at from events
+        event_id as seq, {PROJ} as project_id, ts as created_at from {HASHED} h
         window w as (partition by user_id, cast(ts as date) order by ts, event_id rows between unbounded preceding and current row)""",
     ),
     "v_sessions": (
@@ -69,7 +71,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         {NONE} as device_model, {NONE} as os_version, {NONE} as app_version, {NONE} as build_number,
         cast(sum(case when event_type = 'view' then 1 else 0 end) as int) as screen_count, cast(count(*) as int) as event_count,
         project_id, min(ts) as created_at
-        from (select {SES} as session_id, {DEV} as device_id, concat('u', cast(user_id as string)) as user_id, {PROJ} as project_id, ts, event_type from events) s
+        from (select {SES} as session_id, {DEV} as device_id, concat('u', cast(user_id as string)) as user_id, {PROJ} as project_id, ts, event_type from {HASHED} h) s
         group by session_id, device_id, user_id, project_id""",
     ),
     "v_device_registrations": (
@@ -78,7 +80,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         concat('os ', cast(event_id % 4 as string)) as os_version, '1.0' as app_version,
         concat('ak_', substring(md5(cast(event_id as string)), 1, 16)) as api_key,
         concat('sk_', substring(md5(cast(-event_id as string)), 1, 16)) as secret_key,
-        event_id as seq, ts as received_at from events where event_type = 'signup'""",
+        event_id as seq, ts as received_at from {HASHED} h where event_type = 'signup'""",
     ),
     "v_devices": (
         ("v_device_registrations",),
@@ -100,7 +102,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         props as properties,
         case when event_id % 19 = 0 then '' when event_id % 19 = 1 then null
              else concat('key-', cast(case when event_id % 25 = 0 and event_id > 0 then event_id - 1 else event_id end as string)) end as idempotency_key
-        from events""",
+        from {HASHED} h""",
     ),
     "v_known_keys": (
         ("events",),
@@ -125,8 +127,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         case when e.event_id % 21 = 0 then -1 when e.event_id % 21 = 1 then null else {{ms:e.ts}} end as "timestamp",
         cast(null as string) as session_id,
         case when e.event_id % 10 = 0 then '[1,2]' when e.event_id % 10 = 1 then null when e.event_id % 10 = 2 then 'null'
-             else '{{"utm_source":"feed","userAgent":"old","n":{{"a":1}}}}' end as metadata
-        from events e join (select page_id, url from pages where page_id between 0 and 49) p on p.page_id = e.event_id % 50""",
+             when e.event_id % 10 = 3 then '{{"utm_source":"feed","userAgent":"old","n":{{"a":1}}}}' when e.event_id % 10 = 4 then ' {{ }} '
+             else '{{"utm_source":"feed","n":{{"a":1}}}}' end as metadata
+        from {HASHED} e join (select page_id, url from pages where page_id between 0 and 49) p on p.page_id = e.event_id % 50""",
     ),
     "v_access_log": (
         ("events",),
@@ -139,7 +142,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_privacy_submissions": (
         ("events",),
         f"""select concat('prv_', cast(event_id as string)) as request_id, {PROJ} as project_id, concat('u', cast(user_id % 5 as string)) as user_id,
-        {_uuid("concat('dev-', cast(user_id % 5 as string))")} as device_id,
+        {_uuid("md5(concat('dev-', cast(user_id % 5 as string)))")} as device_id,
         case when event_id % 2 = 0 then 'EXPORT' else 'DELETE' end as request_type,
         case when event_id % 3 = 0 then 'POSTHOG' else 'FIRST_PARTY' end as processor,
         concat('u', cast(user_id % 5 as string), '@example.org') as contact_email, event_id, ts as requested_at
@@ -155,7 +158,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         case when event_id % 29 = 0 then null else concat(' u', cast(user_id as string), '@example.org ') end as contact_email,
         case when event_id % 2 = 0 then ' please ' when event_id % 7 = 0 then ' ' else null end as requester_note,
         cast(null as string) as metadata
-        from events""",
+        from {HASHED} h""",
     ),
     "v_privacy_status_log": (
         ("v_privacy_submissions",),

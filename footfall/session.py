@@ -19,6 +19,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A deep page is a sorted limit, not a heap of offset + limit rows.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    # HotSpot does not compile methods above 8000 bytecodes.  The wide ingest
+    # projections exceed that as one fused method; split up they are compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
