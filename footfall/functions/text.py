@@ -54,6 +54,16 @@ def metric_type(value: Column) -> Column:
     return F.coalesce(F.regexp_replace(bare, "^pageview$", "page_view"), F.lit(""))
 
 
+def no_metric_type(value: Column) -> Column:
+    """The metric type is missing or made of separators only."""
+    return value.isNull() | strip_ends(value).rlike("^[-_ ]*$")
+
+
+def metric_type_too_long(value: Column, size: int) -> Column:
+    """Over-long after clean-up, which at most doubles the length."""
+    return (F.length(value) * 2 > size) & longer_than(metric_type(value), size)
+
+
 def privacy_source(value: Column) -> Column:
     """Upper-case source with its default; a malformed one gives null."""
     upper = F.upper(strip_ends(value))

@@ -26,6 +26,9 @@ from footfall.session import ensure_checkpoint_dir
 #: ``fold(state, *values) -> (state, output)``; a fresh key starts with None.
 Fold = Callable[..., tuple[object, object]]
 
+#: A run is one task's work; the number of runs grows with the input.
+ROWS_PER_RUN = 2_000_000
+
 _SUMMARY = "run int, first_key string, last_key string, one_key boolean, state string"
 
 
@@ -101,7 +104,9 @@ def ordered_fold(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    runs = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if runs is None:
+        enough = -(-df.count() // ROWS_PER_RUN)
+        runs = max(enough, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # The checkpoint pins rows to runs: a run that is read again, also after
     # an executor is lost, is the same run.
     pinned = (

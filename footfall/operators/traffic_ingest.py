@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from footfall.functions import json as J, web
 from footfall.functions.actors import content_id, user_of_device
 from footfall.functions.text import (
-    first_reason, is_blank, is_uuid, longer_than, metric_type, none_if_blank, project_id, strip_ends, trim_to_null,
+    first_reason, is_blank, is_uuid, longer_than, metric_type, metric_type_too_long, no_metric_type, none_if_blank,
+    project_id, strip_ends, trim_to_null,
 )
 from footfall.operators.events import Ingested
 
@@ -23,7 +24,21 @@ def _enriched(metadata: Column, ip: Column, user_agent: Column, salt: str) -> Co
 
 def _stored(items: DataFrame, salt: str) -> Ingested:
     received_ms = F.unix_millis(F.col("received_at").cast("timestamp"))
-    rows = items.select(
+    # The checks read the raw fields where that says the same: a filter on them
+    # moves below the projection and would evaluate the cleaned fields again.
+    rows = items.withColumn("project_id", project_id(F.col("project_id"))).withColumn(
+        "reason",
+        first_reason(
+            (is_blank(F.col("project_id")), "missing_project_id"),
+            (no_metric_type(F.col("metric_type")), "missing_metric_type"),
+            (~is_uuid(F.col("device_id")), "invalid_device_id"),
+            (F.col("session_id").isNotNull() & ~is_uuid(F.col("session_id")), "invalid_session_id"),
+            (metric_type_too_long(F.col("metric_type"), 50), "metric_type_too_long"),
+            (_too_long("page_path"), "page_path_too_long"),
+            (_too_long("referrer"), "referrer_too_long"),
+        ),
+    )
+    rows = rows.select(
         "batch_id",
         "item_no",
         F.lower("device_id").alias("device_id"),
@@ -34,27 +49,23 @@ def _stored(items: DataFrame, salt: str) -> Ingested:
         trim_to_null(F.col("referrer")).alias("referrer"),
         F.when(F.col("timestamp") > 0, F.col("timestamp")).otherwise(received_ms).alias("metric_timestamp"),
         _enriched(F.col("metadata"), F.col("client_ip"), F.col("user_agent"), salt).alias("metadata"),
-        project_id(F.col("project_id")).alias("project_id"),
+        "project_id",
         F.col("received_at").alias("created_at"),
+        "reason",
     )
     rows = rows.withColumn(
         "metric_id",
         content_id("tm", F.col("created_at"), *[F.col(c) for c in ("project_id", "device_id", "batch_id", "item_no", "metric_type", "page_path")]),
-    ).withColumn(
-        "reason",
-        first_reason(
-            (is_blank(F.col("project_id")), "missing_project_id"),
-            (F.col("metric_type") == "", "missing_metric_type"),
-            (~is_uuid(F.col("device_id")), "invalid_device_id"),
-            (F.col("session_id").isNotNull() & ~is_uuid(F.col("session_id")), "invalid_session_id"),
-            (longer_than(F.col("metric_type"), 50), "metric_type_too_long"),
-            (longer_than(F.col("page_path"), 255), "page_path_too_long"),
-            (longer_than(F.col("referrer"), 255), "referrer_too_long"),
-        ),
     )
     return Ingested(rows.where(F.col("reason").isNull()).drop("reason"), rows.where(F.col("reason").isNotNull()))
 
 
+def _too_long(column: str) -> Column:
+    """Longer than 255 after trimming."""
+    raw = F.col(column)
+    return (F.length(raw) > 255) & longer_than(strip_ends(raw), 255)
+
+
 def ingest_signed_traffic(items: DataFrame, salt: str = "") -> Ingested:
     """Items of gated clients; the device and user come from the request."""
     return _stored(items.withColumn("client_ip", web.client_ip(F.col("forwarded_for"), F.col("remote_addr"))), salt)
