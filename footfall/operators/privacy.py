@@ -99,11 +99,24 @@ def stored_requests(submissions: DataFrame, runs: int | None = None) -> DataFram
     return dedup_requests(submissions, runs).where(F.col("answered_by") == F.col("request_id")).drop("answered_by")
 
 
+def notices(sent: DataFrame) -> DataFrame:
+    """Manual notices as rows of the status log: the note says so, the status stays.
+
+    ``sent`` has request_id, seq, sent_at, subject and operator.
+    """
+    at = F.date_format(F.col("sent_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return sent.select(
+        "request_id", F.lit(None).cast("string").alias("status"), F.col("sent_at").alias("changed_at"), "seq", "operator",
+        F.concat_ws(" ", F.lit("[manual-notify]"), at, F.trim("subject")).alias("operator_note"),
+    )
+
+
 def request_state(submissions: DataFrame, status_log: DataFrame) -> DataFrame:
     """Requests with the status, times and notes their log leads to.
 
     ``processed_at`` is set once, when the request first leaves SUBMITTED;
-    ``closed_at`` only while the status is final, so reopening clears it.
+    ``closed_at`` only while the status is final, so reopening clears it.  A
+    log row without status changes the notes only.
     """
     def last_text(name: str):
         value = F.col(name)
@@ -113,18 +126,20 @@ def request_state(submissions: DataFrame, status_log: DataFrame) -> DataFrame:
     folded = (
         status_log.groupBy("request_id")
         .agg(
-            F.max(F.struct("seq", "status", "changed_at")).alias("last"),
+            F.max(F.when(F.col("status").isNotNull(), F.struct("seq", "status", "changed_at"))).alias("last"),
             F.min(F.when(F.col("status") != OPEN, F.struct("seq", "changed_at")))["changed_at"].alias("processed_at"),
+            F.max("changed_at").alias("updated_at"),
             *[last_text(n) for n in extras],
         )
-        .select("request_id", "last.status", "processed_at", F.col("last.changed_at").alias("updated_at"), *extras)
+        .select("request_id", "last.status", F.col("last.changed_at").alias("status_at"), "processed_at", "updated_at", *extras)
     )
     base = submissions.drop("status", "processed_at", "closed_at", "updated_at", *extras)
     return (
         base.join(folded, "request_id", "left")
         .withColumn("status", F.coalesce("status", F.lit(OPEN)))
-        .withColumn("closed_at", F.when(F.col("status").isin(*FINAL_STATUSES), F.col("updated_at")))
+        .withColumn("closed_at", F.when(F.col("status").isin(*FINAL_STATUSES), F.col("status_at")))
         .withColumn("updated_at", F.coalesce("updated_at", "requested_at"))
+        .drop("status_at")
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.functions.text import first_reason, is_uuid
+from footfall.functions.text import first_reason, is_uuid, longer_than
 
 SESSION_KEPT = ["device_id", "user_id", "session_start_time", "project_id", "created_at"]
 SESSION_REPLACED = [
@@ -30,16 +30,36 @@ def checked_sessions(uploads: DataFrame) -> DataFrame:
             (F.col("session_id").isNull(), "missing_session_id"),
             (~is_uuid(F.col("session_id")), "invalid_session_id"),
             (F.col("session_start_time").isNull(), "missing_session_start_time"),
+            (longer_than(F.col("user_id"), 128), "user_id_too_long"),
+            *_model_checks("device_model", "os_version", "app_version", "build_number"),
         ),
     )
 
 
+def checked_registrations(registrations: DataFrame) -> DataFrame:
+    """Device registrations with a ``reason`` column."""
+    return registrations.withColumn(
+        "reason",
+        first_reason(
+            (~is_uuid(F.col("device_id")), "invalid_device_id"), *_model_checks("device_model", "os_version", "app_version")
+        ),
+    )
+
+
+def _model_checks(*columns: str) -> list[tuple[Column, str]]:
+    return [(longer_than(F.col(c), 100 if c == "device_model" else 50), f"{c}_too_long") for c in columns]
+
+
+def _good(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col("reason").isNull()).drop("reason")
+
+
 def fold_sessions(uploads: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """One row per session: identity from its first upload, the rest from its last.
 
     ``current`` is an earlier result with its ``seq``; it is folded along.
     """
-    rows = checked_sessions(uploads).where(F.col("reason").isNull())
+    rows = _good(checked_sessions(uploads))
     rows = rows.select(
         F.lower("session_id").alias("session_id"), "seq", *SESSION_KEPT,
         F.coalesce("session_duration_ms", F.lit(0)).cast("bigint").alias("session_duration_ms"),
@@ -59,7 +79,7 @@ def fold_sessions(uploads: DataFrame, current: DataFrame | None = None) -> DataF
 
 def fold_devices(registrations: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """One row per project and device; a repeat rotates the key pair."""
-    rows = registrations.where(is_uuid(F.col("device_id"))).select(
+    rows = _good(checked_registrations(registrations)).select(
         "project_id", F.lower("device_id").alias("device_id"), "seq",
         F.col("received_at").alias("created_at"), F.col("received_at").alias("last_active_at"),
         "api_key", "secret_key", "device_model", "os_version", "app_version",
@@ -88,7 +108,7 @@ def registration_answers(registrations: DataFrame, current: DataFrame | None = N
 
     Only the first registration of a device that is not stored yet is new.
     """
-    rows = registrations.where(is_uuid(F.col("device_id"))).withColumn("device_id", F.lower("device_id"))
+    rows = _good(checked_registrations(registrations)).withColumn("device_id", F.lower("device_id"))
     key = ["project_id", "device_id"]
     first = rows.groupBy(*key).agg(F.min("seq").alias("first_seq"))
     if current is not None:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from footfall.functions.text import is_blank
+from footfall.functions.text import is_blank, project_id
 from footfall.operators.events import as_events, ingest_events
 from footfall.operators.gate import admitted
 from footfall.schemas import EVENTS
 from footfall.streaming.ledger import open_ledger, read_ledger, write_batch
 
+#: A micro-batch with more keys than this is not broadcast.
+BROADCAST_KEYS = 200_000
+
 #: Stored batch rows: the event and the key it took.
 LEDGER = T.StructType(EVENTS.fields + [T.StructField("key_hash", T.StringType())])
 
@@ -40,13 +43,37 @@ def ingest_stream(
         )
         if known_keys is not None:
             taken = taken.unionByName(known_keys.select("project_id", "key_hash"))
-        accepted = ingest_events(batch, taken).accepted
+        accepted = ingest_events(batch, _relevant(taken, batch)).accepted
         write_batch(as_events(accepted, "key_hash"), path, batch_id)
 
     writer = items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _relevant(taken: DataFrame, batch: DataFrame) -> DataFrame:
+    """The taken keys that this batch asks about.
+
+    The history is long and a batch is short: with the batch's keys on every
+    executor the history is only scanned, not shuffled.  A batch above the
+    bound is matched by shuffle.
+    """
+    asked = batch.where(~is_blank(F.col("idempotency_key"))).select(
+        project_id(F.col("project_id")).alias("project_id"), F.sha2("idempotency_key", 256).alias("key_hash")
+    )
+    if asked.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        return taken
+    return taken.join(F.broadcast(asked.distinct()), ["project_id", "key_hash"], "left_semi")
+
+
+def drop_repeats(items: DataFrame) -> DataFrame:
+    """Exact form for long histories: the keys live in the state store.
+
+    The state grows with the number of keys for good; run it with the RocksDB
+    state store, which keeps it on executor disks.
+    """
+    return items.withColumn("dedup_key", _key()).dropDuplicates(["project_id", "dedup_key"]).drop("dedup_key")
+
+
 def _key() -> Column:
     own = F.concat_ws(":", "batch_id", "item_no")
     return F.when(is_blank(F.col("idempotency_key")), own).otherwise(F.sha2("idempotency_key", 256))
