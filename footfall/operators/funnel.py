@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from footfall.functions.actors import actor
 from footfall.functions.json import json_text
 from footfall.functions.text import is_blank
-from footfall.ranges import TimeRange, in_project
+from footfall.ranges import EPOCH, TimeRange, comma_list, in_project
 
 MAX_STEPS = 12
 MAX_SLOTS = 10_000
@@ -40,7 +40,7 @@ def event_name(value: str | None) -> str:
 
 def event_names(value: str | list[str]) -> list[str]:
     """Distinct step names in the given order."""
-    names = [event_name(raw) for raw in (value.split(",") if isinstance(value, str) else value)]
+    names = [event_name(raw) for raw in comma_list(value)]
     names = list(dict.fromkeys(names))
     if not names:
         raise ValueError("at least one step is required")
@@ -95,7 +95,7 @@ def funnel(
     names = event_names(steps)
     count = len(names)
     key = property_key(group_by)
-    epoch = _micros_of(rng)
+    origin = _micros_of(rng)
 
     step = F.coalesce(*[F.when(F.col("event_type") == n, F.lit(i)) for i, n in enumerate(names)])
     hits = (
@@ -109,7 +109,7 @@ def funnel(
             F.when(F.col("event_type") == names[0], F.struct(F.col("event_id"), _group_value(key).alias("grp"))).alias("entry"),
         )
         .where(~is_blank(F.col("actor")))
-        .withColumn("slot", F.floor((F.col("at") - F.lit(epoch)) / F.lit(_slot_micros(rng))).cast("int"))
+        .withColumn("slot", F.floor((F.col("at") - F.lit(origin)) / F.lit(_slot_micros(rng))).cast("int"))
     )
 
     # at_j_i: time of step i inside the slot if the actor enters it waiting
@@ -168,6 +168,4 @@ def funnel(
 
 
 def _micros_of(rng: TimeRange) -> int:
-    from footfall.ranges import EPOCH
-
     return (rng.start - EPOCH) // timedelta(microseconds=1)

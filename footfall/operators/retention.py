@@ -10,6 +10,7 @@ shuffles a few rows per day.
 
 from __future__ import annotations
 
+import re
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from footfall.functions.actors import actor
 from footfall.functions.text import is_blank
 from footfall.operators.funnel import event_name, rate
-from footfall.ranges import TimeRange, in_project, time_literal
+from footfall.ranges import TimeRange, comma_list, in_project, time_literal
 
 MAX_DAY = 90
 DEFAULT_DAYS = "1,7,30"
@@ -28,11 +29,10 @@ def parse_days(days: str | list[int] | None) -> list[int]:
     """Distinct retention days, ascending."""
     if days is None or (isinstance(days, str) and not days.strip()):
         days = DEFAULT_DAYS
-    raw = days.split(",") if isinstance(days, str) else days
-    try:
-        parsed = sorted({int(str(day).strip()) for day in raw})
-    except ValueError:
-        raise ValueError(f"malformed days: {days!r}") from None
+    raw = [part.strip() for part in comma_list(days)]
+    if not all(re.fullmatch(r"[+-]?[0-9]+", part) for part in raw):
+        raise ValueError(f"malformed days: {days!r}")
+    parsed = sorted({int(part) for part in raw})
     if parsed and (parsed[0] < 0 or parsed[-1] > MAX_DAY):
         raise ValueError(f"days must lie in 0..{MAX_DAY}")
     return parsed

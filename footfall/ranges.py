@@ -92,6 +92,16 @@ def resolve_page(number: int | None = None, size: int | None = None) -> Page:
     return Page(number if number and number > 0 else 1, min(size, MAX_PAGE_SIZE))
 
 
+def comma_list(value: str | list) -> list[str]:
+    """Parts of a comma-separated text; empty parts at its end do not count."""
+    if not isinstance(value, str):
+        return [str(part) for part in value]
+    parts = value.split(",")
+    while parts and parts[-1] == "":
+        parts.pop()
+    return parts
+
+
 def resolve_limit(limit: int | None, default: int, cap: int) -> int:
     """Top-N size: missing or below one means the default."""
     return default if limit is None or limit < 1 else min(limit, cap)

@@ -107,8 +107,9 @@ def test_bad_steps(bad):
 
 def test_days():
     assert parse_days(None) == [1, 7, 30]
-    assert parse_days(" 7, 1,7,0") == [0, 1, 7]
-    for bad in ("x", "91", "-1", "1,,2"):
+    assert parse_days(" 7, 1,7,0,") == [0, 1, 7]
+    assert fn.event_names("a, b ,a,,") == ["a", "b"]
+    for bad in ("x", "91", "-1", "1,,2", "1_0"):
         with pytest.raises(ValueError):
             parse_days(bad)
 
