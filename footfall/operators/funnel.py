@@ -157,14 +157,16 @@ def funnel(
     users = F.get(F.col("users"), F.col("i"))
     first = F.get(F.col("users"), F.lit(0))
     before = F.get(F.col("users"), F.col("i") - 1)
-    return reached.select("group_value", "users", F.explode(F.array(*[F.lit(i) for i in range(count)])).alias("i")).select(
+    table = reached.select("group_value", "users", F.explode(F.array(*[F.lit(i) for i in range(count)])).alias("i")).select(
         "group_value",
         (F.col("i") + 1).alias("step"),
         F.get(F.array(*[F.lit(n) for n in names]), F.col("i")).alias("event_type"),
         users.alias("users"),
         rate(F.when(first == 0, F.lit(0.0)).otherwise(users / first)).alias("conversion_rate"),
         rate(F.when((F.col("i") == 0) | (before == 0), F.lit(0.0)).otherwise(1 - users / before)).alias("drop_off_rate"),
-    ).orderBy("group_value", "step")
+    )
+    # A single group is one exploded row and comes out in step order.
+    return table if key is None else table.orderBy("group_value", "step")
 
 
 def _micros_of(rng: TimeRange) -> int:

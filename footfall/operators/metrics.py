@@ -46,13 +46,15 @@ def overview(devices: DataFrame, sessions: DataFrame, events: DataFrame, project
 def zero_filled(spark, parts: list[DataFrame], values: list[str], size: Granularity, rng: TimeRange) -> DataFrame:
     """Sum of per-bucket counts plus a zero for every bucket of the range.
 
-    The counts are already one row per bucket, so this union stays tiny.
+    The counts are already one row per bucket, so the union holds no more rows
+    than the range has buckets, times the parts: one task adds and sorts them.
     """
     out = size.buckets(spark, rng).select("bucket", *[F.lit(0).cast("bigint").alias(v) for v in values])
     for part in parts:
         have = [F.col(v) if v in part.columns else F.lit(0).cast("bigint").alias(v) for v in values]
         out = out.unionByName(part.select(F.col("bucket").cast("timestamp").alias("bucket"), *have))
-    return out.groupBy("bucket").agg(*[F.sum(v).alias(v) for v in values]).orderBy("bucket")
+    summed = out.repartition(1).groupBy("bucket").agg(*[F.sum(v).alias(v) for v in values])
+    return summed.sortWithinPartitions("bucket")
 
 
 def trends(

@@ -30,7 +30,7 @@ def parse_days(days: str | list[int] | None) -> list[int]:
     if days is None or (isinstance(days, str) and not days.strip()):
         days = DEFAULT_DAYS
     raw = [part.strip() for part in comma_list(days)]
-    if not all(re.fullmatch(r"[+-]?[0-9]+", part) for part in raw):
+    if not raw or not all(re.fullmatch(r"[+-]?[0-9]+", part) for part in raw):
         raise ValueError(f"malformed days: {days!r}")
     parsed = sorted({int(part) for part in raw})
     if parsed and (parsed[0] < 0 or parsed[-1] > MAX_DAY):

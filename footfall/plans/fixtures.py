@@ -20,9 +20,11 @@ def _uuid(digest: str) -> str:
     return f"concat_ws('-', {parts})"
 
 
-# The digests are columns of an inner select, so each is taken once per row.
-HASHED = """(select *, md5(concat('dev-', cast(user_id % 97 as string))) as dev_md5,
-        md5(concat('ses-', cast(user_id as string), '-', cast(cast(ts as date) as string))) as ses_md5,
+DEV_SEED, SES_SEED = "concat('dev-', cast(user_id % 97 as string))", "concat('ses-', cast(user_id as string), '-', cast(cast(ts as date) as string))"
+# Written out where a query may skip the ids or take few of them ...
+LAZY_DEV, LAZY_SES = _uuid(f"md5({DEV_SEED})"), _uuid(f"md5({SES_SEED})")
+# ... and columns of an inner select where all are needed, to hash once per row.
+HASHED = f"""(select *, md5({DEV_SEED}) as dev_md5, md5({SES_SEED}) as ses_md5,
         md5(concat('usr-', cast(user_id as string))) as usr_md5 from events)"""
 DEV, SES, PERSON = _uuid("dev_md5"), _uuid("ses_md5"), _uuid("usr_md5")
 PROJ = "case when user_id % 10 = 0 then 'beta' else 'demo' end"
@@ -32,17 +34,17 @@ NONE = "cast(null as string)"
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_events": (
         ("events",),
-        f"""select concat('evt_', cast(event_id as string)) as event_id, {DEV} as device_id,
+        f"""select concat('evt_', cast(event_id as string)) as event_id, {LAZY_DEV} as device_id,
         case when event_id % 17 = 0 then '' else concat('u', cast(user_id as string)) end as user_id,
-        {SES} as session_id, event_type, {{ms:ts}} as event_timestamp, ts as created_at, props as properties, {PROJ} as project_id,
+        {LAZY_SES} as session_id, event_type, {{ms:ts}} as event_timestamp, ts as created_at, props as properties, {PROJ} as project_id,
         concat('key-', cast(case when event_id % 25 = 0 and event_id > 0 then event_id - 1 else event_id end as string)) as idempotency_key
-        from {HASHED} h""",
+        from events""",
     ),
     # event_id % 50 only reaches page ids 0..49: the page side is that small.
     "v_traffic": (
         ("events", "pages"),
-        f"""select concat('tm_', cast(e.event_id as string)) as metric_id, {DEV} as device_id,
-        concat('u', cast(user_id as string)) as user_id, {SES} as session_id,
+        f"""select concat('tm_', cast(e.event_id as string)) as metric_id, {LAZY_DEV} as device_id,
+        concat('u', cast(user_id as string)) as user_id, {LAZY_SES} as session_id,
         case e.event_type when 'view' then 'PageView' when 'click' then 'page-view' else e.event_type end as raw_metric_type,
         case when e.event_type in ('view', 'click') then 'page_view' else e.event_type end as metric_type,
         case when e.event_id % 13 = 0 then null else regexp_extract(p.url, '^https?://[^/]+([^?#]*)', 1) end as page_path,
@@ -51,7 +53,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         case when e.event_id % 11 = 0 then '{{"isBot":true}}' when e.event_id % 11 = 1 then '{{"isBot":false}}'
              when e.event_id % 11 = 2 then null else '{{"utm_source":"feed"}}' end as metadata,
         {PROJ} as project_id, e.ts as created_at
-        from {HASHED} e join (select page_id, url from pages where page_id between 0 and 49) p on p.page_id = e.event_id % 50""",
+        from events e join (select page_id, url from pages where page_id between 0 and 49) p on p.page_id = e.event_id % 50""",
     ),
     "v_session_uploads": (
         ("events",),
