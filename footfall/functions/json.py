@@ -32,27 +32,23 @@ def with_members(document: Column, members: dict[str, Column]) -> Column:
 
     The members are appended to the text.  Only where the object may already
     hold one of them is it parsed to take the old value out; what else it holds
-    passes through, nested values included.
+    passes through, nested values included.  Every text is referred to once, a
+    second reference would make it anew.
     """
     text = F.rtrim(F.ltrim(document))
-    clash = F.lit(False)
-    for name in members:
-        clash = clash | text.contains(f'"{name}"')
-    clash = clash | text.contains("\\u")  # an escaped name is not found by its text
+    # A name written with escapes is not found by its text, so those count too.
+    clash = text.rlike('"(' + "|".join(members) + r')"|\\u')
     taken_out = F.to_json(
         F.map_filter(
             F.from_json(text, "map<string,variant>"),
             lambda key, _: ~_any([(key == name) & value.isNotNull() for name, value in members.items()]),
         )
     )
-    base = F.when(clash, taken_out).otherwise(text)
-    added = F.concat_ws(
-        ",", *[F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), _quoted(value))) for name, value in members.items()]
-    )
-    opened = F.regexp_replace(base, r"\s*\}$", "")
-    # One reference to each text: a second one would parse the object again.
-    joined = F.concat(opened, F.lit(","), added, F.lit("}"))
-    return F.when(added == "", base).otherwise(F.regexp_replace(joined, r"^\{\s*,", "{"))
+    opened = F.regexp_replace(F.when(clash, taken_out).otherwise(text), r"\s*\}$", "")
+    # Null members are left out of this object; its closing brace is kept.
+    added = F.substring(F.to_json(F.struct(*[value.alias(name) for name, value in members.items()])), 2, 2**31 - 1)
+    joined = F.concat(opened, F.lit(","), added)
+    return F.regexp_replace(F.regexp_replace(joined, r",\}$", "}"), r"^\{\s*,", "{")
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -62,12 +58,6 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def _quoted(value: Column) -> Column:
-    """A scalar as JSON text."""
-    listed = F.to_json(F.array(value))
-    return F.substr(listed, F.lit(2), F.length(listed) - 2)
-
-
 def wrapped(document: Column) -> Column:
     """The document as an object: missing becomes ``{}``, a non-object goes under ``data``."""
     return (

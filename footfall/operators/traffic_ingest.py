@@ -22,7 +22,8 @@ def _enriched(metadata: Column, ip: Column, user_agent: Column, salt: str) -> Co
     return J.with_members(J.wrapped(metadata), members)
 
 
-def _stored(items: DataFrame, salt: str) -> Ingested:
+def _stored(items: DataFrame, salt: str) -> DataFrame:
+    """Items in stored form with a ``reason`` column."""
     received_ms = F.unix_millis(F.col("received_at").cast("timestamp"))
     # The checks read the raw fields where that says the same: a filter on them
     # moves below the projection and would evaluate the cleaned fields again.
@@ -53,10 +54,13 @@ def _stored(items: DataFrame, salt: str) -> Ingested:
         F.col("received_at").alias("created_at"),
         "reason",
     )
-    rows = rows.withColumn(
+    return rows.withColumn(
         "metric_id",
         content_id("tm", F.col("created_at"), *[F.col(c) for c in ("project_id", "device_id", "batch_id", "item_no", "metric_type", "page_path")]),
     )
+
+
+def _split(rows: DataFrame) -> Ingested:
     return Ingested(rows.where(F.col("reason").isNull()).drop("reason"), rows.where(F.col("reason").isNotNull()))
 
 
@@ -67,11 +71,24 @@ def _too_long(column: str) -> Column:
 
 
 def ingest_signed_traffic(items: DataFrame, salt: str = "") -> Ingested:
-    """Items of gated clients; the device and user come from the request."""
-    return _stored(items.withColumn("client_ip", web.client_ip(F.col("forwarded_for"), F.col("remote_addr"))), salt)
+    """Accepted and rejected items of gated clients."""
+    return _split(checked_signed_traffic(items, salt))
 
 
 def ingest_public_traffic(items: DataFrame, salt: str = "") -> Ingested:
+    """Accepted and rejected items of web pages."""
+    return _split(checked_public_traffic(items, salt))
+
+
+def checked_signed_traffic(items: DataFrame, salt: str = "") -> DataFrame:
+    """Items of gated clients; the device and user come from the request.
+
+    One pass for both outcomes: ``reason`` is null for accepted items.
+    """
+    return _stored(items.withColumn("client_ip", web.client_ip(F.col("forwarded_for"), F.col("remote_addr"))), salt)
+
+
+def checked_public_traffic(items: DataFrame, salt: str = "") -> DataFrame:
     """Items of web pages; visitor, referrer and bot flag come from the headers.
 
     Where a bot or a header referrer is noted, metadata that is not an object

@@ -40,10 +40,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         concat('key-', cast(case when event_id % 25 = 0 and event_id > 0 then event_id - 1 else event_id end as string)) as idempotency_key
         from events""",
     ),
-    # event_id % 50 only reaches page ids 0..49: the page side is that small.
+    # event_id % 50 only reaches page ids 0..49, so the page side has 50 rows and
+    # may be broadcast whatever the size of the pages; DuckDB skips the hint.
     "v_traffic": (
         ("events", "pages"),
-        f"""select concat('tm_', cast(e.event_id as string)) as metric_id, {LAZY_DEV} as device_id,
+        f"""select /*+ broadcast(p) */ concat('tm_', cast(e.event_id as string)) as metric_id, {LAZY_DEV} as device_id,
         concat('u', cast(user_id as string)) as user_id, {LAZY_SES} as session_id,
         case e.event_type when 'view' then 'PageView' when 'click' then 'page-view' else e.event_type end as raw_metric_type,
         case when e.event_type in ('view', 'click') then 'page_view' else e.event_type end as metric_type,
@@ -113,7 +114,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_traffic_items": (
         ("events", "pages"),
-        f"""select concat('b', cast(cast(floor(e.event_id / 100.0) as bigint) as string)) as batch_id, cast(e.event_id % 100 as int) as item_no,
+        f"""select /*+ broadcast(p) */ concat('b', cast(cast(floor(e.event_id / 100.0) as bigint) as string)) as batch_id, cast(e.event_id % 100 as int) as item_no,
         case when e.event_id % 5 = 0 then null else {PROJ} end as header_project_id, concat(' ', {PROJ}) as query_project_id, {PROJ} as project_id,
         case when e.event_id % 6 = 0 then ' u1 ' else '' end as header_user_id, case when e.event_id % 9 = 0 then 'u2' else null end as query_user_id,
         case when e.event_id % 4 = 0 then 'junk' else {DEV} end as visitor_cookie, {DEV} as device_id, concat('u', cast(user_id as string)) as user_id,

@@ -180,8 +180,7 @@ def _(spark, sf):
     return gate.gate(requests, view(spark, sf, "v_devices")).select("batch_id", "item_no", "reason")
 
 
-def _stored_traffic(ingested: events.Ingested) -> DataFrame:
-    both = ingested.accepted.withColumn("reason", F.lit(None).cast("string")).unionByName(ingested.rejected)
+def _stored_traffic(both: DataFrame) -> DataFrame:
     inside = {"ip_hash": "ipHash", "agent": "userAgent", "utm": "utm_source", "bot": "isBot", "resolved": "resolvedReferrer", "data": "data", "n": "n"}
     return both.select(
         "metric_id", "batch_id", "item_no", "device_id", "user_id", "metric_type", "page_path", "referrer",
@@ -192,13 +191,13 @@ def _stored_traffic(ingested: events.Ingested) -> DataFrame:
 
 @query("ingest_traffic_signed")
 def _(spark, sf):
-    return _stored_traffic(traffic_ingest.ingest_signed_traffic(view(spark, sf, "v_traffic_items"), SALT))
+    return _stored_traffic(traffic_ingest.checked_signed_traffic(view(spark, sf, "v_traffic_items"), SALT))
 
 
 @query("ingest_traffic_public")
 def _(spark, sf):
     items = view(spark, sf, "v_traffic_items").drop("device_id", "user_id", "project_id")
-    return _stored_traffic(traffic_ingest.ingest_public_traffic(items, SALT))
+    return _stored_traffic(traffic_ingest.checked_public_traffic(items, SALT))
 
 
 @query("mask_access_log")
