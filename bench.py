@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR    folder of the tables (default /root/testdata/sf0.1)
 BENCH_CPUS      executor threads (default 8)
-BENCH_RUNS      timed runs per query after one warm-up (default 3)
+BENCH_RUNS      timed runs per query after a first round of all (default 3)
 BENCH_QUERIES   comma-separated names (default all)
 
 A run writes the whole result to the noop sink; the median is reported.
@@ -34,9 +34,10 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - began
 
-    seconds = {}
     for name in names:
         once(name)
+    seconds = {}
+    for name in names:
         seconds[name] = round(statistics.median(once(name) for _ in range(runs)), 4)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     print(
