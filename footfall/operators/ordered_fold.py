@@ -26,8 +26,10 @@ from footfall.session import ensure_checkpoint_dir
 #: ``fold(state, *values) -> (state, output)``; a fresh key starts with None.
 Fold = Callable[..., tuple[object, object]]
 
-#: A run is one task's work; the number of runs grows with the input.
+#: A run is one task's work: the number of runs grows with the input, and a
+#: small input is not cut into more tasks than are worth starting.
 ROWS_PER_RUN = 2_000_000
+SMALL_RUN = 20_000
 
 _SUMMARY = "run int, first_key string, last_key string, one_key boolean, state string"
 
@@ -105,8 +107,9 @@ def ordered_fold(
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if runs is None:
-        enough = -(-df.count() // ROWS_PER_RUN)
-        runs = max(enough, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = df.count()
+        spread = min(-(-rows // SMALL_RUN), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        runs = max(-(-rows // ROWS_PER_RUN), spread, 1)
     # The checkpoint pins rows to runs: a run that is read again, also after
     # an executor is lost, is the same run.
     pinned = (
