@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import mixing, quality_rules, simhash_trees, vector_blocks
+from footfall.llm import mixing, quality_rules, simhash_trees, url_templates, vector_blocks, warc_segments
 from footfall.llm.common import read_table
+from footfall.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +32,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all page urls; the pages that a rule judges label the templates."""
+    return url_templates.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query
+def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived below the shared folder and read back."""
+    path = scratch_path(spark, "warc")
+    warc_segments.write_archives(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc_segments.page_digests(warc_segments.reassemble(warc_segments.read_records(spark, path)))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality ledger of all documents with the verdict of the current policy."""
