@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import mixing, quality_rules, simhash_trees, url_templates, vector_blocks, warc_segments
+from footfall.llm import mixing, packing, quality_rules, simhash_trees, url_templates, vector_blocks, warc_segments
 from footfall.llm.common import read_table
 from footfall.session import scratch_path
 
@@ -25,6 +25,13 @@ def op1_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_blocks.near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the token pieces of all documents in sequences of 1024."""
+    pieces = packing.token_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("ids")
+    return packing.packed_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-copy components of all documents."""

@@ -68,10 +68,9 @@ def _one_line(url: str | None) -> str | None:
 
 
 def _records_of(row) -> Iterator[bytes]:
-    page = None if pd.isna(row.page_id) else int(row.page_id)
-    fields = {"X-Page-ID": page, "WARC-Target-URI": _one_line(row.url), "WARC-Payload-Digest": f"sha1:{row.digest}"}
-    if not pd.isna(row.refers_to):
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": int(row.refers_to)}
+    fields = {"X-Page-ID": row.page_id, "WARC-Target-URI": _one_line(row.url), "WARC-Payload-Digest": f"sha1:{row.digest}"}
+    if row.refers_to is not None:
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": row.refers_to}
         yield _record("revisit", row.record_id, fields, b"")
         return
     block = _HTTP + b"".join(_chunked(row.payload))
@@ -115,6 +114,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
                         held, size = [], 0
         yield pd.DataFrame({"record": held})
 
+    # Ids travel as text: a null beside a large number would turn it into a float.
+    named = named.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     lines = named.mapInPandas(build, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
@@ -145,8 +146,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({c: "Int64" for c in ("page_id", "refers_to", "total_length")} | {"segment": "Int32"})
+        kinds = dict.fromkeys(("page_id", "refers_to", "total_length"), "Int64") | {"segment": "Int32"}
+        columns = zip(*rows) if rows else [[]] * len(names)
+        return pd.DataFrame({name: pd.array(list(c), dtype=kinds.get(name, object)) for name, c in zip(names, columns)})
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
