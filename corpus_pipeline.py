@@ -1,10 +1,15 @@
-"""Corpus pipeline: documents to packed training sequences."""
+"""Corpus pipeline: documents to places in packed training sequences.
+
+STAGES in order; each takes (spark, docs, sf_dir), works on all that the stage
+before it kept, and is written as Parquet before the next one reads it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import mixing, quality_rules
+from footfall.llm import line_dedup, mixing, packing, quality_rules, simhash_trees
+from footfall.llm.common import materialize, read_table
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +17,42 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules.filter_documents(docs)
 
 
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line resembles; n_chars follows the text."""
+    cut = line_dedup.without_repeated_lines(docs)
+    return cut.withColumn("n_chars", F.when(F.size("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash_trees.first_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", filter_quality), ("mixing", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences."""
+    pieces = packing.token_pieces(docs.select("doc_id", "text")).drop("ids")
+    return packing.packed_pieces(pieces)
+
+
+STAGES = [
+    ("quality rules", filter_quality),
+    ("line dedup", cut_repeated_lines),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+# SimHash fingerprints and token ids are beyond SQL; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import mixing, packing, quality_rules, simhash_trees, url_templates, vector_blocks, warc_segments
+from footfall.llm import line_dedup, mixing, packing, quality_rules, simhash_trees, url_templates, vector_blocks, warc_segments
 from footfall.llm.common import read_table
 from footfall.session import scratch_path
 
@@ -45,6 +45,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that an earlier line resembles, and a digest of what is left."""
+    docs = line_dedup.without_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.size("__removed").cast("long").alias("n_removed"),
+        F.col("__removed").alias("removed"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages archived below the shared folder and read back."""
