@@ -101,8 +101,13 @@ def apply_policy(book: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, text: str = "text", version: str = CURRENT) -> DataFrame:
-    """Documents that pass a policy, with their own columns only."""
-    return _ledger_over(docs, text).where(~fails(POLICIES[version])).select("__row.*")
+    """Documents that pass a policy, with their own columns only.
+
+    The row number keeps the filter above the measurements: pushed below them it
+    would repeat their steps inside each other.
+    """
+    book = _ledger_over(docs, text).withColumn("__number", F.monotonically_increasing_id())
+    return book.where((F.col("__number") >= 0) & ~fails(POLICIES[version])).select("__row.*")
 
 
 def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
