@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import line_dedup, mixing, packing, quality_rules, simhash_trees, url_templates, vector_blocks, warc_segments
+from footfall.llm import line_dedup, mixing, packing, quality_rules, simhash_trees, suffix_repeats, url_templates, vector_blocks, warc_segments
 from footfall.llm.common import read_table
 from footfall.session import scratch_path
 
@@ -106,6 +106,17 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that lie in 400-byte strings which occur again."""
+    docs = suffix_repeats.without_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("__runs", F.lit(0).cast("long"), lambda total, r: total + r["high"] - r["low"])
+    return docs.select(
+        "doc_id", F.col("__bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("__runs").cast("long").alias("n_spans"),
+        F.sha2("__kept", 256).alias("kept_sha256"),
+    )
+
+
 ORACLE["op8_mix_sources"] = """
 with d as (select doc_id, source,
         cast(len([x for x in string_split_regex(coalesce(text, ''), '[ \\t-\\r]+') if x <> '']) as bigint) as size from documents),
