@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import line_dedup, mixing, packing, quality_rules, simhash_trees, suffix_repeats, url_templates, vector_blocks, warc_segments
+from footfall.llm import line_dedup, mixing, packing, passages, quality_rules, simhash_trees, suffix_repeats, url_templates, vector_blocks, warc_segments
 from footfall.llm.common import read_table
 from footfall.session import scratch_path
 
@@ -133,3 +133,9 @@ select doc_id, d.source, size, source_size, target,
     / cast(4503599627370496 as double) < rate - floor(rate) then 1 else 0 end as bigint) as taken
 from d join r on d.source is not distinct from r.source
 """
+
+
+@query
+def op10_passage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more of all documents that occur again, with their classes."""
+    return passages.near_duplicate_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
