@@ -169,6 +169,9 @@ def _named(frame: pd.DataFrame, full: bool) -> pd.DataFrame:
             index = index[~ended]
         step += 1
     a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 2
+    # Rows that repeat a key share a place.
+    apart = (doc[a] != doc[b]) | (line[a] != line[b])
+    a, b = a[apart], b[apart]
     return pd.DataFrame({"doc": doc[a], "line": line[a], "other_doc": doc[b], "other_line": line[b], "more": more[a]})
 
 
