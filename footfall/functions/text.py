@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed patterns of the accepted inputs.
 UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-PROJECT_ID_PATTERN = "^[a-z0-9_-]{1,50}$"
 SOURCE_PATTERN = "^[A-Z0-9_-]{1,32}$"
 DEFAULT_SOURCE = "APP_SETTINGS"
 
@@ -79,3 +78,9 @@ def longer_than(value: Column, size: int) -> Column:
 def first_reason(*checks: tuple[Column, str]) -> Column:
     """Name of the first check that fails, null if all pass."""
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for bad, name in checks])
+
+
+def landing_checks(items: DataFrame) -> list[tuple[Column, str]]:
+    """Checks of items that come from landed records; none for other items."""
+    names = ("malformed_record", "empty_items", "null_item")
+    return [(F.col("landed") == name, name) for name in names] if "landed" in items.columns else []

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window, functions as F
 
 from footfall.functions.actors import content_id
-from footfall.functions.text import first_reason, is_blank, is_uuid, longer_than, project_id
+from footfall.functions.text import first_reason, is_blank, is_uuid, landing_checks, longer_than, project_id
 
 
 class Ingested(NamedTuple):
@@ -23,6 +23,7 @@ def checked_events(items: DataFrame) -> DataFrame:
     return items.withColumn("project_id", project_id(F.col("project_id"))).withColumn(
         "reason",
         first_reason(
+            *landing_checks(items),
             (is_blank(F.col("project_id")), "missing_project_id"),
             (is_blank(F.col("event_type")), "missing_event_type"),
             (F.col("timestamp").isNull(), "invalid_timestamp"),
@@ -54,15 +55,14 @@ def ingest_events(items: DataFrame, known_keys: DataFrame | None = None) -> Inge
             ),
         )
         .withColumn("key_hash", F.when(~is_blank(F.col("idempotency_key")), F.sha2("idempotency_key", 256)))
-        # An item without a key stands for itself.
-        .withColumn("dedup_key", F.coalesce("key_hash", F.concat_ws(":", "batch_id", "item_no")))
     )
-    first = Window.partitionBy("project_id", "dedup_key").orderBy("received_at", "batch_id", "item_no")
-    accepted = keyed.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    first = Window.partitionBy("project_id", "key_hash").orderBy("received_at", "batch_id", "item_no")
+    unique = keyed.where(~is_blank(F.col("idempotency_key"))).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     if known_keys is not None:
-        seen = known_keys.select("project_id", F.col("key_hash").alias("dedup_key"))
-        accepted = accepted.join(seen, ["project_id", "dedup_key"], "left_anti")
-    return Ingested(accepted.drop("dedup_key"), checked.where(F.col("reason").isNotNull()))
+        unique = unique.join(known_keys.select("project_id", "key_hash"), ["project_id", "key_hash"], "left_anti")
+    # An item without a key stands for itself and is not shuffled at all.
+    accepted = unique.unionByName(keyed.where(is_blank(F.col("idempotency_key"))))
+    return Ingested(accepted, checked.where(F.col("reason").isNotNull()))
 
 
 def as_events(accepted: DataFrame, *more: str) -> DataFrame:

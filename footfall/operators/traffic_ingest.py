@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from footfall.functions import json as J, web
 from footfall.functions.actors import content_id, user_of_device
 from footfall.functions.text import (
+    landing_checks,
     first_reason, is_blank, is_uuid, longer_than, metric_type, metric_type_too_long, no_metric_type, none_if_blank,
     project_id, strip_ends, trim_to_null,
 )
@@ -30,6 +31,7 @@ def _stored(items: DataFrame, salt: str) -> DataFrame:
     rows = items.withColumn("project_id", project_id(F.col("project_id"))).withColumn(
         "reason",
         first_reason(
+            *landing_checks(items),
             (is_blank(F.col("project_id")), "missing_project_id"),
             (no_metric_type(F.col("metric_type")), "missing_metric_type"),
             (~is_uuid(F.col("device_id")), "invalid_device_id"),

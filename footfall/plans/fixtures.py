@@ -40,11 +40,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         concat('key-', cast(case when event_id % 25 = 0 and event_id > 0 then event_id - 1 else event_id end as string)) as idempotency_key
         from events""",
     ),
-    # event_id % 50 only reaches page ids 0..49, so the page side has 50 rows and
-    # may be broadcast whatever the size of the pages; DuckDB skips the hint.
+    # Events go round all pages; an event whose page id is missing keeps null urls.
     "v_traffic": (
         ("events", "pages"),
-        f"""select /*+ broadcast(p) */ concat('tm_', cast(e.event_id as string)) as metric_id, {LAZY_DEV} as device_id,
+        f"""select concat('tm_', cast(e.event_id as string)) as metric_id, {LAZY_DEV} as device_id,
         concat('u', cast(user_id as string)) as user_id, {LAZY_SES} as session_id,
         case e.event_type when 'view' then 'PageView' when 'click' then 'page-view' else e.event_type end as raw_metric_type,
         case when e.event_type in ('view', 'click') then 'page_view' else e.event_type end as metric_type,
@@ -54,7 +53,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         case when e.event_id % 11 = 0 then '{{"isBot":true}}' when e.event_id % 11 = 1 then '{{"isBot":false}}'
              when e.event_id % 11 = 2 then null else '{{"utm_source":"feed"}}' end as metadata,
         {PROJ} as project_id, e.ts as created_at
-        from events e join (select page_id, url from pages where page_id between 0 and 49) p on p.page_id = e.event_id % 50""",
+        from (select h.*, h.event_id % (select count(*) from pages) as page_no from events h) e left join (select page_id, url from pages) p on p.page_id = e.page_no""",
     ),
     "v_session_uploads": (
         ("events",),
@@ -114,7 +113,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_traffic_items": (
         ("events", "pages"),
-        f"""select /*+ broadcast(p) */ concat('b', cast(cast(floor(e.event_id / 100.0) as bigint) as string)) as batch_id, cast(e.event_id % 100 as int) as item_no,
+        f"""select concat('b', cast(cast(floor(e.event_id / 100.0) as bigint) as string)) as batch_id, cast(e.event_id % 100 as int) as item_no,
         case when e.event_id % 5 = 0 then null else {PROJ} end as header_project_id, concat(' ', {PROJ}) as query_project_id, {PROJ} as project_id,
         case when e.event_id % 6 = 0 then ' u1 ' else '' end as header_user_id, case when e.event_id % 9 = 0 then 'u2' else null end as query_user_id,
         case when e.event_id % 4 = 0 then 'junk' else {DEV} end as visitor_cookie, {DEV} as device_id, concat('u', cast(user_id as string)) as user_id,
@@ -132,7 +131,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         case when e.event_id % 10 = 0 then '[1,2]' when e.event_id % 10 = 1 then null when e.event_id % 10 = 2 then 'null'
              when e.event_id % 10 = 3 then '{{"utm_source":"feed","userAgent":"old","n":{{"a":1}}}}' when e.event_id % 10 = 4 then ' {{ }} '
              else '{{"utm_source":"feed","n":{{"a":1}}}}' end as metadata
-        from {HASHED} e join (select page_id, url from pages where page_id between 0 and 49) p on p.page_id = e.event_id % 50""",
+        from (select h.*, h.event_id % (select count(*) from pages) as page_no from {HASHED} h) e left join (select page_id, url from pages) p on p.page_id = e.page_no""",
     ),
     "v_access_log": (
         ("events",),

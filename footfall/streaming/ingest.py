@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.functions.text import is_blank, project_id
@@ -19,17 +21,31 @@ LEDGER = T.StructType(EVENTS.fields + [T.StructField("key_hash", T.StringType())
 
 
 def gated_stream(requests: DataFrame, devices: DataFrame) -> DataFrame:
-    """Signed requests that may pass; the devices are read anew per micro-batch."""
+    """Signed requests that may pass, by the devices known when the stream starts."""
     return admitted(requests, devices)
 
 
+def gate_stream(
+    requests: DataFrame, devices: Callable[[SparkSession], DataFrame], path: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Write the requests that may pass; ``devices`` is loaded for every batch, so new devices and bans count."""
+    open_ledger(requests.sparkSession, path, requests.schema)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(admitted(batch, devices(batch.sparkSession)), path, batch_id)
+
+    writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def ingest_stream(
-    items: DataFrame, path: str, checkpoint: str, known_keys: DataFrame | None = None, once: bool = False
+    items: DataFrame, path: str, checkpoint: str, known_keys: Callable[[SparkSession], DataFrame] | None = None, once: bool = False
 ) -> StreamingQuery:
     """Write accepted events batch by batch; a key is taken once, for good.
 
     The keys of earlier batches are a column of the stored rows, so no state
-    grows in memory.  A repeated batch does not see its own keys.
+    grows in memory.  A repeated batch does not see its own keys.  ``known_keys``
+    loads keys taken elsewhere; it is called for every batch.
     """
     spark = items.sparkSession
     open_ledger(spark, path, LEDGER)
@@ -42,9 +58,13 @@ def ingest_stream(
             .select("project_id", "key_hash")
         )
         if known_keys is not None:
-            taken = taken.unionByName(known_keys.select("project_id", "key_hash"))
-        accepted = ingest_events(batch, _relevant(taken, batch)).accepted
-        write_batch(as_events(accepted, "key_hash"), path, batch_id)
+            taken = taken.unionByName(known_keys(session).select("project_id", "key_hash"))
+        batch.persist()
+        try:
+            accepted = ingest_events(batch, _relevant(taken, batch)).accepted
+            write_batch(as_events(accepted, "key_hash"), path, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -75,7 +95,8 @@ def drop_repeats(items: DataFrame) -> DataFrame:
 
 
 def _key() -> Column:
-    own = F.concat_ws(":", "batch_id", "item_no")
+    # Without a key an item is told by all it holds; a null batch id or number makes no two alike.
+    own = F.concat(F.lit("own:"), F.sha2(F.to_json(F.struct("*")), 256))
     return F.when(is_blank(F.col("idempotency_key")), own).otherwise(F.sha2("idempotency_key", 256))
 
 

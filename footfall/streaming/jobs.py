@@ -33,7 +33,8 @@ def _adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def event_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "stream-events")
     ingest.ingest_stream(
-        _adapted(spark, sf_dir, "v_event_items"), f"{path}/ledger", f"{path}/checkpoint", view(spark, sf_dir, "v_known_keys"), once=True
+        _adapted(spark, sf_dir, "v_event_items"), f"{path}/ledger", f"{path}/checkpoint",
+        lambda session: view(session, sf_dir, "v_known_keys"), once=True
     ).awaitTermination()
     return read_ledger(spark, f"{path}/ledger", ingest.LEDGER).select(*EVENTS.fieldNames())
 
@@ -41,13 +42,12 @@ def event_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counter_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "stream-counters")
     counters.count_stream(
-        _adapted(spark, sf_dir, "v_events"), view(spark, sf_dir, "v_counters"), f"{path}/ledger", f"{path}/checkpoint", once=True
+        _adapted(spark, sf_dir, "v_events"), lambda session: view(session, sf_dir, "v_counters"), f"{path}/ledger", f"{path}/checkpoint", once=True
     ).awaitTermination()
     return counters.ledger_totals(spark, f"{path}/ledger")
 
 
 def page_view_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "stream-views")
-    counts = trends.page_view_counts(_adapted(spark, sf_dir, "v_traffic"))
-    trends.page_view_stream(counts, f"{path}/ledger", f"{path}/checkpoint", once=True).awaitTermination()
+    trends.page_view_stream(_adapted(spark, sf_dir, "v_traffic"), f"{path}/ledger", f"{path}/checkpoint", once=True).awaitTermination()
     return trends.page_views(spark, f"{path}/ledger")

@@ -53,13 +53,28 @@ def test_landed_events(spark, tmp_path):
     got = events.as_events(accepted).orderBy("event_type", "event_id").collect()
     assert [(r.event_type, r.project_id, r.device_id) for r in got] == [("view", "demo", DEV)] * 2
     assert json.loads(got[0].properties) == {"k": 1, "n": {"x": [1]}}
-    assert sorted(r.reason for r in rejected.collect()) == ["invalid_timestamp", "missing_event_type", "missing_event_type"]
+    assert sorted(r.reason for r in rejected.collect()) == ["empty_items", "invalid_timestamp", "missing_event_type", "null_item"]
     summary = {r.batch_id: (r.received, r.accepted, r.rejected, r.failed) for r in events.batch_summary(items, accepted).collect()}
-    assert summary == {"b1": (6, 2, 4, False), "b2": (1, 0, 1, True)}
+    assert summary == {"b1": (6, 2, 4, False), "b2": (1, 0, 1, True), "b3": (1, 0, 1, True)}
     answers = {(r.batch_id, r.item_no): r.event_id for r in events.duplicate_answers(items, events.new_keys(accepted)).collect()}
     assert len(answers) == 3 and len(set(answers.values())) == 1
 
 
+def test_no_landed_line_is_lost(spark, tmp_path):
+    path = land(tmp_path / "in", event_request("b1", []), event_request("b2", [item()]))
+    (tmp_path / "in" / "broken.json").write_text('{"batch_id": "b3", "items": [\n')
+    requests = landing.read_requests(spark, "events", path)
+    accepted, rejected = events.ingest_events(landing.items_of(requests))
+    assert accepted.count() == 1 and sorted(r.reason for r in rejected.collect()) == ["empty_items", "malformed_record"]
+    assert landing.whole_requests(requests.cache()).count() == 2 and landing.broken_requests(requests).count() == 1
+    requests.unpersist()
+
+
+def test_items_without_batch_id_stay_apart(spark, tmp_path):
+    path = land(tmp_path / "in", *[event_request(None, [item(timestamp=t)]) for t in range(1, 6)])
+    assert events.ingest_events(landing.items_of(landing.read_requests(spark, "events", path))).accepted.count() == 5
+
+
 def test_raw_key_is_hashed_untrimmed(spark, tmp_path):
     path = land(tmp_path / "in", event_request("b1", [item(key="a"), item(key=" a"), item(key="  "), item(key="  ")]))
     items = landing.items_of(landing.read_requests(spark, "events", path))
@@ -195,7 +210,7 @@ def test_counter_ledger_over_batches(spark, tmp_path):
         land(source, {"project_id": "demo", "event_type": "buy", "properties": '{"k":1}'})
     rules = spark.createDataFrame([("demo", "c", '{"event_type":"buy","conditions":{"k":"1"}}')], "project_id string, counter_key string, event_trigger string")
     stream = spark.readStream.schema("project_id string, event_type string, properties string").option("maxFilesPerTrigger", 1).json(str(source))
-    drain(stream_counters.count_stream(stream, rules, str(tmp_path / "out"), str(tmp_path / "cp"), once=True))
+    drain(stream_counters.count_stream(stream, lambda _: rules, str(tmp_path / "out"), str(tmp_path / "cp"), once=True))
     assert [(r.counter_key, r.hits) for r in stream_counters.ledger_totals(spark, str(tmp_path / "out")).collect()] == [("c", 3)]
     assert stream_counters.ledger_changes(spark, str(tmp_path / "out")).agg(F.sum("amount")).head()[0] == 3
 
@@ -204,12 +219,55 @@ def test_weekly_page_views_start_on_monday(spark, tmp_path):
     rows = [("demo", "page_view", f"2024-01-{d:02d}T12:00:00Z", None) for d in range(1, 15)]
     land(tmp_path / "in", *[dict(zip(("project_id", "metric_type", "created_at", "metadata"), r)) for r in rows])
     stream = spark.readStream.schema("project_id string, metric_type string, created_at timestamp, metadata string").option("maxFilesPerTrigger", 4).json(str(tmp_path / "in"))
-    counts = trends.page_view_counts(stream, "week", "30 days")
-    drain(trends.page_view_stream(counts, str(tmp_path / "out"), str(tmp_path / "cp"), once=True))
+    drain(trends.page_view_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "week", once=True))
     got = trends.page_views(spark, str(tmp_path / "out")).orderBy("bucket").collect()
     assert [(r.bucket, r.page_views) for r in got] == [(datetime(2024, 1, 1), 7), (datetime(2024, 1, 8), 7)]
 
 
+def test_page_views_do_not_depend_on_files(spark, tmp_path):
+    """Many files out of time order give the counts of one table."""
+    import random
+
+    rows = [("demo", "page_view", f"2024-01-{d:02d}T{h:02d}:00:00Z", None) for d in range(1, 29) for h in range(7)]
+    random.Random(1).shuffle(rows)
+    names = ("project_id", "metric_type", "created_at", "metadata")
+    for i in range(0, len(rows), 14):
+        land(tmp_path / "in", *[dict(zip(names, r)) for r in rows[i : i + 14]])
+    stream = spark.readStream.schema("project_id string, metric_type string, created_at timestamp, metadata string").option("maxFilesPerTrigger", 3).json(str(tmp_path / "in"))
+    drain(trends.page_view_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True))
+    assert sorted(r.page_views for r in trends.page_views(spark, str(tmp_path / "out")).collect()) == [7] * 28
+
+
+def test_ledger_refuses_another_query(spark, tmp_path):
+    source = land(tmp_path / "in", event_request("b1", [item(key="x")]))
+    out = str(tmp_path / "out")
+    for checkpoint in ("cp1", "cp2"):
+        stream = landing.items_of(landing.stream_requests(spark, "events", str(source)))
+        query = stream_ingest.ingest_stream(stream, out, str(tmp_path / checkpoint), once=True)
+        if checkpoint == "cp1":
+            drain(query)
+        else:
+            with pytest.raises(Exception, match="another query"):
+                drain(query)
+    assert read_ledger(spark, out, stream_ingest.LEDGER).count() == 1
+
+
+def test_gate_stream_sees_new_devices(spark, tmp_path):
+    known = []
+    shape = "project_id string, device_id string, api_key string, is_banned boolean"
+    request = {"project_id": "demo", "api_key": "k", "device_id": DEV, "user_id": USER, "request_ms": 1704067200000, "received_at": "2024-01-01T00:00:00Z"}
+    for i in range(2):
+        land(tmp_path / "in", {"batch_id": f"b{i}", **request})
+    stream = landing.stream_requests(spark, "events", str(tmp_path / "in"), 1)
+
+    def devices(session):
+        known.append(("demo", DEV, "k", False))
+        return session.createDataFrame(known[1:], shape)
+
+    drain(stream_ingest.gate_stream(stream, devices, str(tmp_path / "out"), str(tmp_path / "cp"), once=True))
+    assert read_ledger(spark, str(tmp_path / "out"), stream.schema).count() == 1
+
+
 def test_fold_streams_equal_batch(spark, tmp_path):
     from footfall.operators import bans, privacy
 
