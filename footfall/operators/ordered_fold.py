@@ -3,106 +3,130 @@
 Some rules look back at the last row they kept, so a key has to be read in
 order.  Grouping by key would hand a hot key to one task.  Here the rows are
 range partitioned by key *and* time instead: Spark cuts a hot key into many
-sorted runs, every run is folded by its own task, and only the state at the
-end of each run (one short row) is passed on to the next one.
-
-A run that holds several keys leaves a state that does not depend on what came
-before.  A run inside one hot key may; those are folded again with the state
-handed over until nothing changes.  Usually the state forgets its past within
-a run and one repeat settles it, but the loop is exact in any case.
+sorted runs, and every run is folded by its own task.
+
+What a run does to the state it starts with is a function, and functions
+compose.  A first pass over the rows leaves one short row per run: the function
+of its first key, as a table, and the state its last key ends with.  These rows,
+one for some millions of input rows, are read in order once and give
+the state that each run starts with.  A second pass over the rows makes the outputs.
+The number of jobs is the same for any number of runs.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from footfall.session import ensure_checkpoint_dir
-
-#: ``fold(state, *values) -> (state, output)``; a fresh key starts with None.
-Fold = Callable[..., tuple[object, object]]
+from footfall.session import ensure_checkpoint_dir, scratch_path
 
 #: A run is one task's work: the number of runs grows with the input, and a
 #: small input is not cut into more tasks than are worth starting.
 ROWS_PER_RUN = 2_000_000
 SMALL_RUN = 20_000
 
-_SUMMARY = "run int, first_key string, last_key string, one_key boolean, state string"
 
+@dataclass(frozen=True)
+class Fold:
+    """A fold by row and by run; states and tables survive JSON, a fresh key starts with None.
+
+    ``step(state, *inputs) -> (state, output)`` takes a row.
+    ``table(*columns)`` is what consecutive rows of a key do to a state.
+    ``through(table, state)`` is the state they leave.
+    """
+
+    step: Callable[..., tuple[object, object]]
+    table: Callable[..., object]
+    through: Callable[[object, object], object]
 
-def _rows(pdf: pd.DataFrame, keys: list[str], inputs: list[str]) -> Iterator[tuple[tuple, tuple]]:
-    """(key, inputs) of every row, as plain Python values."""
-    return zip(zip(*[pdf[c].tolist() for c in keys]), zip(*[pdf[c].tolist() for c in inputs]))
 
+_SUMMARY = "run int, first_key string, last_key string, one_key boolean, head string, last_state string"
+_ENTRY = "run int, entry string"
+_KEY, _RUN, _ENTERED = "__key", "__run", "__entry"
 
-def _summaries(keys: list[str], inputs: list[str], fold: Fold, entry: dict[int, object], only: set[int] | None):
-    """Task that folds its run and yields the state it ends with."""
+
+def _summaries(inputs: list[str], fold: Fold):
+    """Task that leaves the row of its run; only its first and last key are folded."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = TaskContext.get().partitionId()
-        if only is not None and run not in only:
-            return
         first = last = None
-        one_key, state = True, entry.get(run)
-        for pdf in batches:
-            for key, values in _rows(pdf, keys, inputs):
-                if key != last:
-                    if first is None:
-                        first = key
-                    else:
-                        one_key, state = False, None
-                    last = key
-                state, _ = fold(state, *values)
-        if first is not None:
-            summary = (run, json.dumps(first, default=str), json.dumps(last, default=str), one_key, json.dumps(state))
-            yield pd.DataFrame([summary], columns=_SUMMARY_COLUMNS)
+        head: list[pd.DataFrame] = []
+        tail: list[pd.DataFrame] = []
+        for frame in batches:
+            if not len(frame):
+                continue
+            key = frame[_KEY]
+            if first is None:
+                first = last = key.iloc[0]
+            if last == first:
+                here = frame[key == first]
+                head.append(here[inputs])
+            if key.iloc[-1] != last:
+                last, tail = key.iloc[-1], []
+            if last != first:
+                tail.append(frame.loc[key == last, inputs])
+        if first is None:
+            return
+        columns = lambda frames: [pd.concat(frames, ignore_index=True)[c].tolist() for c in inputs]
+        ended = fold.through(fold.table(*columns(tail)), None) if tail else None
+        row = (TaskContext.get().partitionId(), first, last, first == last, json.dumps(fold.table(*columns(head))), json.dumps(ended))
+        yield pd.DataFrame([row], columns=[c.split()[0] for c in _SUMMARY.split(", ")])
 
     return task
 
 
-_SUMMARY_COLUMNS = [part.split()[0] for part in _SUMMARY.split(",")]
+def _entries(fold: Fold):
+    """Task that reads the rows of all runs in order and leaves the state each run starts with."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for frame in batches:
+            found = []
+            for row in frame.itertuples(index=False):
+                entry = state if row.first_key == key else None
+                if entry is not None:
+                    found.append((row.run, json.dumps(entry)))
+                state = fold.through(json.loads(row.head), entry) if row.one_key else json.loads(row.last_state)
+                key = row.last_key
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in _ENTRY.split(", ")])
+
+    return task
 
 
-def _outputs(keys: list[str], inputs: list[str], fold: Fold, entry: dict[int, object], output: str):
-    """Task that folds its run again and adds the output of every row."""
+def _outputs(inputs: list[str], step, columns: list[str], output: str):
+    """Task that folds its runs row by row from the states they start with."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, last = entry.get(TaskContext.get().partitionId()), None
-        for pdf in batches:
+        state, before = None, None
+        for frame in batches:
             made = []
-            for key, values in _rows(pdf, keys, inputs):
-                if last is not None and key != last:
-                    state = None
-                last = key
-                state, out = fold(state, *values)
+            for key, run, entry, *values in zip(*[frame[c].tolist() for c in [_KEY, _RUN, _ENTERED, *inputs]]):
+                if (key, run) != before:
+                    # The entry belongs to the key that the run begins with.
+                    state = json.loads(entry) if isinstance(entry, str) and (before is None or before[1] != run) else None
+                    before = (key, run)
+                state, out = step(state, *values)
                 made.append(out)
-            yield pdf.assign(**{output: pd.Series(made, index=pdf.index, dtype="object")})
+            yield frame[columns].assign(**{output: pd.Series(made, index=frame.index, dtype="object")})
 
     return task
 
 
-def _handed_over(runs: list) -> dict[int, object]:
-    """State each run starts with, from the run before it."""
-    entry = {}
-    for before, run in zip(runs, runs[1:]):
-        state = json.loads(before["state"])
-        if before["last_key"] == run["first_key"] and state is not None:
-            entry[run["run"]] = state
-    return entry
-
-
 def ordered_fold(
     df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Fold,
     output: str, output_type: T.DataType, runs: int | None = None,
 ) -> DataFrame:
     """Fold the rows of every key in order and add the output as a column.
 
-    ``fold`` gets the state and the ``inputs`` of a row; its state must survive
-    JSON.  ``order`` has to be total inside a key for repeatable results.
+    ``fold`` gets the state and the ``inputs`` of a row.  ``order`` has to be
+    total inside a key for repeatable results.  The rows stay pinned in the
+    checkpoint folder; ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    removes them when the result is no longer used.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -113,25 +137,18 @@ def ordered_fold(
     # The checkpoint pins rows to runs: a run that is read again, also after
     # an executor is lost, is the same run.
     pinned = (
-        df.repartitionByRange(runs, *[F.col(c) for c in keys + order])
+        df.withColumn(_KEY, F.sha2(F.to_json(F.struct(*keys)), 256))
+        .repartitionByRange(runs, *[F.col(c) for c in keys + order])
         .sortWithinPartitions(*keys, *order)
         .checkpoint()
     )
-
-    needed = pinned.select(*dict.fromkeys(keys + inputs))
-
-    def summarise(entry: dict[int, object], only: set[int] | None) -> list:
-        return needed.mapInPandas(_summaries(keys, inputs, fold, entry, only), _SUMMARY).collect()
-
-    known = {row["run"]: row for row in summarise({}, None)}
-    used: dict[int, object] = {}
-    while True:
-        entry = _handed_over([known[r] for r in sorted(known)])
-        stale = {r for r, row in known.items() if row["one_key"] and entry.get(r) != used.get(r)}
-        if not stale:
-            break
-        used.update({r: entry.get(r) for r in stale})
-        known.update({row["run"]: row for row in summarise(entry, stale)})
-
-    schema = T.StructType(pinned.schema.fields + [T.StructField(output, output_type)])
-    return pinned.mapInPandas(_outputs(keys, inputs, fold, entry, output), schema)
+    path = scratch_path(spark, "fold-entries")
+    summaries = pinned.select(*dict.fromkeys([_KEY, *inputs])).mapInPandas(_summaries(inputs, fold), _SUMMARY)
+    in_order = summaries.repartition(1).sortWithinPartitions("run")
+    in_order.mapInPandas(_entries(fold), _ENTRY).write.parquet(path)
+    entries = spark.read.schema(_ENTRY).parquet(path).select(F.col("run").alias(_RUN), F.col("entry").alias(_ENTERED))
+    # A small table of entries is broadcast and the rows stay in order, so the
+    # sort finds them sorted; a large one is joined by shuffle.
+    entered = pinned.withColumn(_RUN, F.spark_partition_id()).join(entries, _RUN, "left").sortWithinPartitions(_RUN, *keys, *order)
+    schema = T.StructType(df.schema.fields + [T.StructField(output, output_type)])
+    return entered.mapInPandas(_outputs(inputs, fold.step, df.columns, output), schema)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from footfall.functions.actors import request_id
 from footfall.functions.text import first_reason, is_blank, longer_than, privacy_source, strip_ends
-from footfall.operators.ordered_fold import ordered_fold
+from footfall.operators.ordered_fold import Fold, ordered_fold
 
 # Fixed values of the request records.
 REQUEST_TYPES = ("EXPORT", "DELETE")
@@ -74,6 +75,41 @@ def reuse_open(state, row_id: str, at: int, left_at) -> tuple[list, str]:
     return [row_id, until], row_id
 
 
+def requests_table(ids: list[str], times: list[int], lefts: list) -> list:
+    """What consecutive submissions of a key do to the open request before them.
+
+    Rows [time, request left open]: the first one later than the old request
+    can be reused is the first that becomes a request of its own.  Each row is
+    followed backwards once, to the row that takes over from it.
+    """
+    n = len(ids)
+    left: list = [None] * n
+    for i in range(n - 1, -1, -1):
+        (made, until), _ = reuse_open(None, ids[i], times[i], lefts[i])
+        after = bisect_right(times, until, i + 1)
+        left[i] = left[after] if after < n else [made, until]
+    # An old request can be reused REUSE_SECONDS after the first row at the latest.
+    reach = min(n, bisect_right(times, times[0] + REUSE_SECONDS * 1_000_000) + 1)
+    steps: list = []
+    for i in range(reach):
+        if steps and steps[-1][1] == left[i]:
+            steps[-1][0] = times[i]
+        else:
+            steps.append([times[i], left[i]])
+    return steps
+
+
+def through_requests(table: list, state: list | None) -> list | None:
+    """The open request that the submissions leave."""
+    for at, left in table:
+        if state is None or at > state[1]:
+            return left
+    return state
+
+
+REUSE = Fold(reuse_open, requests_table, through_requests)
+
+
 def dedup_requests(submissions: DataFrame, runs: int | None = None) -> DataFrame:
     """Every submission with ``answered_by``, the request that stands for it.
 
@@ -89,7 +125,7 @@ def dedup_requests(submissions: DataFrame, runs: int | None = None) -> DataFrame
     )
     folded = ordered_fold(
         timed, SAME_REQUEST, ["at_us", "request_id"], ["request_id", "at_us", "left_us"],
-        reuse_open, "answered_by", T.StringType(), runs,
+        REUSE, "answered_by", T.StringType(), runs,
     )
     return folded.drop("at_us", "left_us")
 

@@ -60,6 +60,45 @@ def test_dedup_of_a_regular_chain(spark):
     assert answers(privacy.dedup_requests(submissions(spark, rows), 12)) == model_dedup(rows)
 
 
+@pytest.mark.parametrize("kind", ["requests", "failures"])
+def test_jobs_do_not_grow_with_the_runs(spark, kind):
+    """A regular chain never forgets; the number of jobs is the same for any cut of it."""
+    group, counted = spark.sparkContext.statusTracker(), []
+    for runs in (4, 16):
+        name = f"{kind}-{runs}"
+        spark.sparkContext.setJobGroup(name, name)
+        if kind == "requests":
+            rows = [("hot", 7 * i) for i in range(600)]
+            assert answers(privacy.dedup_requests(submissions(spark, rows), runs)) == model_dedup(rows)
+        else:
+            rows = [("hot", 7 * i, False) for i in range(600)]
+            assert windows(bans.ban_windows(attempts(spark, rows), runs)) == model_bans(rows)
+        counted.append(len(group.getJobIdsForGroup(name)))
+        spark.sparkContext.setJobGroup("rest", "rest")
+    assert counted[0] == counted[1]
+
+
+def test_tables_compose_like_rows():
+    """What a table says about any state is what the rows do to it."""
+    rnd = random.Random(3)
+    for _ in range(400):
+        n = rnd.randrange(1, 14)
+        times = sorted(rnd.randrange(0, 2_000) * 1_000_000 for _ in range(n))
+        oks = [rnd.random() < 0.2 for _ in range(n)]
+        for state in (None, *[[f, times[0] - rnd.randrange(0, 900) * 1_000_000] for f in range(1, 6)]):
+            held = state
+            for at, ok in zip(times, oks):
+                held, _ = bans.count_failures(held, at, ok)
+            assert bans.through_attempts(bans.attempts_table(times, oks), state) == held
+        ids = [str(i) for i in range(n)]
+        lefts = [None if rnd.random() < 0.6 else t + rnd.randrange(1, 900) * 1_000_000 for t in times]
+        for state in (None, ["old", times[0] + rnd.randrange(-600, 600) * 1_000_000]):
+            held = state
+            for row in zip(ids, times, lefts):
+                held, _ = privacy.reuse_open(held, *row)
+            assert privacy.through_requests(privacy.requests_table(ids, times, lefts), state) == held
+
+
 def test_dedup_window_edge_and_status(spark):
     rows = [("a", 0), ("a", 600), ("a", 601), ("b", 0, 100), ("b", 99), ("b", 100), ("b", 650)]
     assert answers(privacy.dedup_requests(submissions(spark, rows), 2)) == model_dedup(rows)
