@@ -16,11 +16,26 @@ BROADCAST_CHARS = 32_000_000
 
 
 def rules(counters: DataFrame) -> DataFrame:
-    """Counters with a usable trigger, its event type and conditions taken apart."""
-    conditions = json_text(F.col("event_trigger"), "conditions")
+    """Counters with a usable trigger, its event type and conditions taken apart.
+
+    ``conditional`` is true if the trigger names conditions at all, JSON null
+    included.  A condition that is an object or a list stands for the empty text.
+    """
+    trigger = F.col("event_trigger")
+    conditions = json_text(trigger, "conditions")
+    # The text of a nested value cannot be told from a string of that text, its type can.
+    kinds = F.transform_values(F.from_json(conditions, "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+    wanted = F.transform_values(
+        as_text_map(conditions),
+        lambda key, v: F.when(F.element_at(kinds, key).rlike("^(OBJECT|ARRAY)"), F.lit("")).otherwise(F.coalesce(v, F.lit("null"))),
+    )
     return (
-        counters.where(F.col("event_trigger").isNotNull())
-        .select(*KEY, json_text(F.col("event_trigger"), "event_type").alias("event_type"), as_text_map(conditions).alias("conditions"))
+        counters.where(trigger.isNotNull())
+        .select(
+            *KEY, json_text(trigger, "event_type").alias("event_type"),
+            F.coalesce(F.map_contains_key(as_text_map(trigger), F.lit("conditions")), F.lit(False)).alias("conditional"),
+            F.coalesce(wanted, F.create_map().cast("map<string,string>")).alias("conditions"),
+        )
         .where(F.col("event_type").isNotNull())
     )
 
@@ -33,24 +48,26 @@ def _sized(small: DataFrame, counters: DataFrame) -> DataFrame:
     return F.broadcast(small) if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_CHARS else small
 
 
-def rule_matches(conditions: Column, properties: Column) -> Column:
+def _all_equal(conditions: Column, given: Column) -> Column:
     """Every condition equals the text of its property."""
-    given = as_text_map(properties)
-    all_equal = F.forall(
-        F.map_entries(conditions),
-        lambda c: F.coalesce(F.element_at(given, c["key"]) == F.coalesce(c["value"], F.lit("null")), F.lit(False)),
-    )
-    return conditions.isNull() | (properties.isNotNull() & F.coalesce(all_equal, F.lit(False)))
+    return F.forall(F.map_entries(conditions), lambda c: F.coalesce(F.element_at(given, c["key"]) == c["value"], F.lit(False)))
 
 
 def increments(events: DataFrame, counters: DataFrame) -> DataFrame:
-    """How often the accepted events hit each counter of their project."""
-    matched = (
-        events.select("project_id", "event_type", "properties")
-        .join(_sized(rules(counters), counters), ["project_id", "event_type"])
-        .where(rule_matches(F.col("conditions"), F.col("properties")))
-    )
-    return matched.groupBy(*KEY).agg(F.count(F.lit(1)).alias("hits"))
+    """How often the accepted events hit each counter of their project.
+
+    The properties of an event are parsed once.  A rule with conditions is met
+    by an equi-join on one of them, so an event is not paired with every rule of its type.
+    """
+    known = _sized(rules(counters), counters)
+    first = F.get(F.map_entries("conditions"), F.lit(0))
+    picky = known.where(F.size("conditions") > 0).select(*KEY, "event_type", "conditions", first["key"].alias("name"), first["value"].alias("value"))
+    plain = known.where(F.size("conditions") == 0).select(*KEY, "event_type", "conditional")
+    rows = events.select("project_id", "event_type", as_text_map(F.col("properties")).alias("given"), F.col("properties").isNotNull().alias("has_properties"))
+    by_type = rows.join(plain, ["project_id", "event_type"]).where(~F.col("conditional") | F.col("has_properties")).select(*KEY)
+    members = rows.where("has_properties").select("project_id", "event_type", "given", F.explode("given").alias("name", "value"))
+    by_value = members.join(picky, ["project_id", "event_type", "name", "value"]).where(_all_equal(F.col("conditions"), F.col("given"))).select(*KEY)
+    return by_type.unionByName(by_value).groupBy(*KEY).agg(F.count(F.lit(1)).alias("hits"))
 
 
 def as_changes(hits: DataFrame, seq: Column, at: Column) -> DataFrame:

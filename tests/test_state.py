@@ -20,16 +20,22 @@ def match(spark, trigger, event_type, properties):
 @pytest.mark.parametrize(
     "trigger,event_type,properties,want",
     [
-        ('{"event_type":"send_letter"}', "send_letter", None, True),
-        ('{"event_type":"send_letter"}', "other_event", None, False),
-        ('{"event_type":"e","conditions":{"status":"success"}}', "e", '{"status":"success"}', True),
-        ('{"event_type":"e","conditions":{"status":"success"}}', "e", '{"status":"failed"}', False),
-        ('{"event_type":"e","conditions":{"status":"success"}}', "e", '{"other":1}', False),
-        ('{"event_type":"e","conditions":{"status":"success"}}', "e", None, False),
+        ('{"event_type":"checkout"}', "checkout", None, True),
+        ('{"event_type":"checkout"}', "refund", None, False),
+        ('{"event_type":"e","conditions":{"plan":"gold"}}', "e", '{"plan":"gold"}', True),
+        ('{"event_type":"e","conditions":{"plan":"gold"}}', "e", '{"plan":"tin"}', False),
+        ('{"event_type":"e","conditions":{"plan":"gold"}}', "e", '{"size":1}', False),
+        ('{"event_type":"e","conditions":{"plan":"gold"}}', "e", None, False),
         ('{"event_type":"e","conditions":{}}', "e", None, False),
         ('{"event_type":"e","conditions":{}}', "e", "{}", True),
+        ('{"event_type":"e","conditions":null}', "e", None, False),
+        ('{"event_type":"e","conditions":null}', "e", "{}", True),
+        ('{"event_type":"e","conditions":{"a":{"b":1}}}', "e", '{"a":{"b":1}}', False),
+        ('{"event_type":"e","conditions":{"a":[1]}}', "e", '{"a":[1]}', False),
+        ('{"event_type":"e","conditions":{"a":[1]}}', "e", '{"a":""}', True),
         ('{"event_type":"e","conditions":{"a":"1","b":"true"}}', "e", '{"a":1,"b":true,"c":0}', True),
         ('{"event_type":"e","conditions":{"a":"1","b":"true"}}', "e", '{"a":1,"b":false}', False),
+        ('{"event_type":"e","conditions":{"a":null}}', "e", '{"a":null}', False),
         ('{"conditions":{"a":"1"}}', "e", '{"a":1}', False),
         ("not json", "e", None, False),
     ],
@@ -39,12 +45,12 @@ def test_rules(spark, trigger, event_type, properties, want):
 
 
 CHANGES = [
-    ("demo", "purchases", 1, "set", 100, '{"zh":"a","en":"b"}', True),
-    ("demo", "purchases", 2, "inc", 5, None, None),
-    ("demo", "purchases", 3, "set", None, '{"zh":"c"}', None),
+    ("demo", "orders_paid", 1, "set", 100, '{"zh":"a","en":"b"}', True),
+    ("demo", "orders_paid", 2, "inc", 5, None, None),
+    ("demo", "orders_paid", 3, "set", None, '{"zh":"c"}', None),
     ("demo", "gone", 1, "set", 7, None, False),
     ("demo", "gone", 2, "delete", None, None, None),
-    ("beta", "signups", 1, "inc", 1, None, None),
+    ("beta", "visits", 1, "inc", 1, None, None),
     ("beta", "again", 1, "set", 9, '{"zh":"old"}', True),
     ("beta", "again", 2, "delete", None, None, None),
     ("beta", "again", 3, "inc", None, None, None),
@@ -55,31 +61,41 @@ def counter_log(spark):
     return spark.createDataFrame(CHANGES, "project_id string, counter_key string, seq long, op string, amount long, display_name string, is_public boolean")
 
 
+def test_many_rules_of_one_type(spark):
+    rules = spark.createDataFrame(
+        [("demo", f"c{i}", f'{{"event_type":"buy","conditions":{{"k":"{i}"}}}}') for i in range(300)] + [("demo", "all", '{"event_type":"buy"}')],
+        "project_id string, counter_key string, event_trigger string",
+    )
+    events = spark.createDataFrame([("demo", "buy", f'{{"k":{i % 7},"x":1}}') for i in range(70)], "project_id string, event_type string, properties string")
+    hits = {r.counter_key: r.hits for r in counters.increments(events, rules).collect()}
+    assert hits == {"all": 70} | {f"c{i}": 10 for i in range(7)}
+
+
 def test_counter_log(spark):
     got = {r.counter_key: (r.counter_value, r.display_name, r.is_public) for r in counters.counter_state(counter_log(spark)).collect()}
-    assert got == {"purchases": (105, '{"zh":"c"}', True), "signups": (1, None, False), "again": (1, None, False)}
+    assert got == {"orders_paid": (105, '{"zh":"c"}', True), "visits": (1, None, False), "again": (1, None, False)}
 
 
 def test_ledger_changes_fold_into_the_log(spark):
-    hits = spark.createDataFrame([("demo", "purchases", 3)], "project_id string, counter_key string, hits long")
+    hits = spark.createDataFrame([("demo", "orders_paid", 3)], "project_id string, counter_key string, hits long")
     more = counters.as_changes(hits, F.lit(10), F.lit(T0))
     log = counter_log(spark).unionByName(more, allowMissingColumns=True)
     got = {r.counter_key: r.counter_value for r in counters.counter_state(log).collect()}
-    assert got["purchases"] == 108
+    assert got["orders_paid"] == 108
 
 
 def test_single_counter(spark):
     table = counters.counter_state(counter_log(spark))
-    assert [r.counter_value for r in counters.list_counters(table, " demo ", key="purchases").collect()] == [105]
+    assert [r.counter_value for r in counters.list_counters(table, " demo ", key="orders_paid").collect()] == [105]
     assert counters.list_counters(table, "beta", only_public=True).count() == 0
 
 
 @pytest.mark.parametrize(
     "header,document,want",
     [
-        ("zh-CN,zh;q=0.9", '{"zh":"累计寄信","en":"Total Letters"}', "累计寄信"),
-        ("en-US,en;q=0.8", '{"zh":"累计寄信","en":"Total Letters"}', "Total Letters"),
-        ("ja-JP", '{"zh":"累计寄信"}', "累计寄信"),
+        ("zh-CN,zh;q=0.9", '{"zh":"访问次数","en":"Visits so far"}', "访问次数"),
+        ("en-US,en;q=0.8", '{"zh":"访问次数","en":"Visits so far"}', "Visits so far"),
+        ("ja-JP", '{"zh":"访问次数"}', "访问次数"),
         ("ja-JP", '{"fr":"seul","de":"x"}', "seul"),
         (None, '"plain"', "plain"),
         (" ", None, ""),
