@@ -23,6 +23,54 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         start = end
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a buffer, and the number of the line that each is in.
+
+    A word's hash is a difference of prefix sums of byte * BASE**position, moved
+    to position 0 by the inverse power, so the buffer is hashed in a few passes.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
+    found = (sums[end] - sums[start]) * _powers(pow(_BASE, -1, 1 << 64), len(raw))[start]
+    return mixed(found + (end - start).astype(np.uint64)), np.searchsorted(np.flatnonzero(raw == 10), start)
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    """base**0, base**1, ... modulo 2**64."""
+    out = np.ones(max(count, 1), dtype=np.uint64)
+    done = 1
+    while done < count:
+        step = np.uint64(pow(base, done, 1 << 64))
+        part = out[: min(done, count - done)]
+        out[done : done + len(part)] = part * step
+        done += len(part)
+    return out
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Hash of 64-bit values in which every bit depends on all bits."""
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(32))
+
+
+def joined_texts(texts: list[bytes], size: int = 1 << 22) -> Iterator[tuple[int, int, bytes]]:
+    """(first, last + 1, texts joined by line feeds) of runs of about ``size`` bytes."""
+    first = held = 0
+    for i, text in enumerate(texts):
+        held += len(text) + 1
+        if held >= size or i == len(texts) - 1:
+            yield first, i + 1, b"\n".join(texts[first : i + 1])
+            first, held = i + 1, 0
+
+
 def local_labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
     """Smallest index that each of n nodes reaches over the links a-b, given earlier labels."""
     labels = np.arange(n) if labels is None else labels

@@ -24,10 +24,13 @@ def words_of(text: Column) -> Column:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a result below the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs the running tasks only.
+    Cuts the lineage: a lost executor costs the running tasks only.  Shuffle
+    files go when the driver's JVM collects the plans that made them; asked to do so here,
+    it frees those of a finished step before the next one fills the disks.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

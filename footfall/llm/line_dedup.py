@@ -15,16 +15,14 @@ and lines whose few fail while there were more are joined once more in full.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from footfall.llm.arrays import group_numbers, whole_groups
-from footfall.llm.common import bucket_split, materialize, words_of
+from footfall.llm.arrays import group_numbers, joined_texts, mixed, whole_groups, word_hashes
+from footfall.llm.common import bucket_split, materialize
 from footfall.llm.tiles import tiled
 
 # Lines with fewer words are never removed.
@@ -36,17 +34,24 @@ CHUNK = 1 << 12
 POSTING_ROWS = 8192
 TASK_ROWS = 100_000
 # Earlier lines that a task names for a line at first.
-FIRST_TRIES = 4
+FIRST_TRIES = 1
 _KEYS = ["token", "tile_a", "tile_b"]
 _PAIR = "doc long, line int, other_doc long, other_line int, more boolean"
-_hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
 def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
     """A byte per bucket that grows with the count of the words in it."""
-    words = docs.select(F.explode(words_of(F.col(f"`{text}`"))).alias("word"))
-    bucket = F.col("hash").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int")
-    counts = words.select(F.xxhash64("word").alias("hash")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(COUNT_BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for _, _, data in joined_texts([t or b"" for t in batch["text"]]):
+                hashes, _ = word_hashes(data)
+                counts += np.bincount((hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
+        used = np.flatnonzero(counts)
+        yield pd.DataFrame({"bucket": used.astype(np.int32), "n": counts[used]})
+
+    counts = docs.select(F.col(f"`{text}`").cast("binary").alias("text")).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     rank = F.least(F.lit(255), F.round(8 * F.log2(F.col("n") + 1))).cast("int")
     chunks = counts.groupBy(F.floor(F.col("bucket") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct((F.col("bucket") % CHUNK).alias("at"), rank.alias("rank"))).alias("ranks"))
 
@@ -60,56 +65,58 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
         return pd.Series(out)
 
     table = np.zeros(COUNT_BUCKETS, dtype=np.uint8)
-    for row in chunks.select("chunk", packed("ranks").alias("ranks")).toLocalIterator():
+    for row in materialize(chunks.select("chunk", packed("ranks").alias("ranks")), "ranks").toLocalIterator():
         table[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.ranks, dtype=np.uint8)
     return table
 
 
-def _lines(data: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """Numbers and distinct words of the lines that have words enough."""
-    for number, line in enumerate(data.split(b"\n")):
-        words = line.split()
-        if len(words) >= MIN_WORDS:
-            yield number, list(set(words))
+class _Sets:
+    """The word sets of the lines of a buffer that have words enough."""
 
-
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint64).view(np.int64)
+    def __init__(self, data: bytes, ranks: np.ndarray | None = None):
+        token, line = word_hashes(data)
+        wide = np.bincount(line, minlength=1) >= MIN_WORDS
+        token, line = token[wide[line]], line[wide[line]]
+        key = line.astype(np.int64) << 8
+        if ranks is not None:
+            key |= ranks[(token & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
+        order = np.lexsort((token, key))
+        token, line = token[order], line[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+        self.token, line = token[new], line[new]
+        self.first = np.flatnonzero(np.diff(line, prepend=-1))
+        self.line = line[self.first]
+        self.n = np.diff(np.append(self.first, len(line)))
+        self.whole = np.add.reduceat(mixed(self.token), self.first) if len(line) else np.zeros(0, np.uint64)
 
 
 def line_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (doc, line, n, bits, prefix) of all lines; a null key counts as the largest."""
-    spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(word_ranks(docs, text))
+    """Rows (doc, line, n, bits, whole, prefix) of all lines; a null key counts as the largest.
+
+    bits has the parity of the words by 6 bits of their hash, whole is a hash of the set.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = ranks.value
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                some = batch.iloc[start : start + 256]
-                doc, line, sizes, words = [], [], [], []
-                for name, data in zip(some["doc"].tolist(), some["text"]):
-                    for number, distinct in _lines(data or b""):
-                        doc.append(name)
-                        line.append(number)
-                        sizes.append(len(distinct))
-                        words += distinct
-                if not doc:
+            texts, names = [t or b"" for t in batch["text"]], batch["doc"].to_numpy()
+            for lo, hi, data in joined_texts(texts):
+                sets = _Sets(data, ranks.value)
+                if not len(sets.line):
                     continue
-                token = np.fromiter(map(_hash, words), np.uint64, len(words))
-                n = np.array(sizes)
-                first = np.cumsum(n) - n
-                owner = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((token, table[(token & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)], owner))
-                token = token[order]
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(58)), first)
-                length = n - (4 * n + 4) // 5 + 1
-                signed = _signed(token)
-                prefix = [signed[a : a + p] for a, p in zip(first.tolist(), length.tolist())]
-                yield pd.DataFrame({"doc": doc, "line": np.array(line, dtype=np.int32), "n": n.astype(np.int32), "bits": _signed(bits), "prefix": prefix})
+                base = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts[lo:hi]])
+                owner = np.searchsorted(base, sets.line, "right") - 1
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (sets.token >> np.uint64(58)), sets.first)
+                length = sets.n - (4 * sets.n + 4) // 5 + 1
+                signed = sets.token.view(np.int64)
+                yield pd.DataFrame({
+                    "doc": names[lo + owner], "line": (sets.line - base[owner]).astype(np.int32), "n": sets.n.astype(np.int32), "bits": bits.view(np.int64),
+                    "whole": sets.whole.view(np.int64), "prefix": [signed[a : a + p] for a, p in zip(sets.first.tolist(), length.tolist())],
+                })
 
     slim = docs.select(_doc(key).alias("doc"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return slim.mapInPandas(build, "doc long, line int, n int, bits long, prefix array<long>")
+    return slim.mapInPandas(build, "doc long, line int, n int, bits long, whole long, prefix array<long>")
 
 
 def _doc(key: str):
@@ -124,9 +131,11 @@ def _named(frame: pd.DataFrame, full: bool) -> pd.DataFrame:
     by their first only.
     """
     group = group_numbers(frame, _KEYS)
+    several = np.bincount(group)[group] > 1
+    frame, group = frame[several], group[several]
     n, pos, part = (frame[c].to_numpy().astype(np.int64) for c in ("n", "pos", "part"))
     bits = frame["bits"].to_numpy().view(np.uint64)
-    mixed = frame["tile_a"].to_numpy() != frame["tile_b"].to_numpy()
+    mixed_tiles = frame["tile_a"].to_numpy() != frame["tile_b"].to_numpy()
     doc, line = frame["doc"].to_numpy(), frame["line"].to_numpy()
     rows = np.arange(len(frame))
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -134,10 +143,10 @@ def _named(frame: pd.DataFrame, full: bool) -> pd.DataFrame:
     if full:
         active, later = rows, frame["seek"].to_numpy()
     else:
-        looks = pd.DataFrame({"g": group, "n": n, "pos": pos, "bits": bits.view(np.int64), "part": np.where(mixed, part, 0)})
-        first = rows[~looks.duplicated().to_numpy()]
-        leader = pd.Series(rows).groupby([looks[c] for c in looks], sort=False).transform("min").to_numpy()
-        copies = rows[(leader != rows) & ~mixed]
+        looks = mixed(mixed(mixed(group.astype(np.uint64)) + bits) + (n << 32 | pos << 8 | np.where(mixed_tiles, part, 0)).astype(np.uint64))
+        _, first, inverse = np.unique(looks, return_index=True, return_inverse=True)
+        leader, first = first[inverse], np.sort(first)
+        copies = rows[(leader != rows) & ~mixed_tiles]
         found.append((copies, leader[copies]))
         more[copies] = True
         more[leader[copies]] = True
@@ -158,7 +167,7 @@ def _named(frame: pd.DataFrame, full: bool) -> pd.DataFrame:
         need = -(-4 * (n[a] + n[b]) // 9)
         ok = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= need
         ok &= np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * need
-        ok &= ~mixed[a] | (part[a] != part[b])
+        ok &= ~mixed_tiles[a] | (part[a] != part[b])
         ok &= (doc[a] != doc[b]) | (line[a] != line[b])
         found.append((a[ok], b[ok]))
         if not full:
@@ -195,45 +204,55 @@ def _candidates(sets: DataFrame, seek: DataFrame | None = None) -> DataFrame:
 
 
 def _words_of_lines(docs: DataFrame, key: str, text: str, lines: DataFrame) -> DataFrame:
-    """Rows (doc, line, words, hash) of the given lines."""
+    """Rows (doc, line, words) of the given lines."""
     wanted = lines.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
     slim = docs.select(_doc(key).alias("doc"), F.col(f"`{text}`").cast("binary").alias("text"))
-    near, _ = bucket_split(slim, "doc", wanted.select("doc"))
+    near, _ = bucket_split(slim, "doc", lines.select("doc").distinct())
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 rows = []
                 for row in batch.iloc[start : start + 256].itertuples(index=False):
-                    chosen, split = set(row.wanted), (row.text or b"").split(b"\n")
-                    rows += [(row.doc, i, list(set(split[i].split())), _hash(split[i]) - (1 << 63)) for i in chosen if i < len(split) and split[i]]
-                yield pd.DataFrame(rows, columns=["doc", "line", "words", "hash"])
+                    split = (row.text or b"").split(b"\n")
+                    rows += [(row.doc, i, list(set(split[i].split()))) for i in row.wanted if i < len(split)]
+                yield pd.DataFrame(rows, columns=["doc", "line", "words"])
 
-    picked = near.join(wanted, "doc").select("doc", "text", "wanted").mapInPandas(pick, "doc long, line int, words array<binary>, hash long")
-    return materialize(picked.distinct(), "words")
+    picked = near.join(wanted, "doc").select("doc", "text", "wanted").mapInPandas(pick, "doc long, line int, words array<binary>")
+    return materialize(picked, "words")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (doc, line, hash) of the lines that have a similar line among their pairs."""
+    """Rows (doc, line) of the lines that have a similar line among their pairs."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))).distinct()
-    words = _words_of_lines(docs, key, text, ends)
+    words = _words_of_lines(docs, key, text, materialize(ends, "ends"))
     other = words.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
-    both = pairs.join(words, ["doc", "line"]).join(other, ["other_doc", "other_line"])
+    both = pairs.select("doc", "line", "other_doc", "other_line").join(words, ["doc", "line"]).join(other, ["other_doc", "other_line"])
     shared = F.size(F.array_intersect("words", "other_words"))
     alike = 5 * shared >= 4 * (F.size("words") + F.size("other_words") - shared)
-    return both.where(alike).select("doc", "line", "hash").distinct()
+    return materialize(both.where(alike).select("doc", "line").distinct(), "verified")
+
+
+def equal_lines(sets: DataFrame) -> DataFrame:
+    """Rows (doc, line) of the lines whose word set an earlier line has, told by 128 bits and the size."""
+    place = F.struct("doc", "line")
+    first = sets.groupBy("whole", "bits", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    return sets.select("doc", "line", "whole", "bits", "n").join(first, ["whole", "bits", "n"]).where(place != F.col("first")).select("doc", "line")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc, line, hash) of the lines to remove."""
+    """Rows (doc, line, whole) of the lines to remove."""
     sets = materialize(line_sets(docs, key, text), "line_sets")
-    pairs = materialize(_candidates(sets), "line_pairs")
-    removed = materialize(_verified(pairs, docs, key, text), "removed")
-    open_ = materialize(pairs.where("more").select("doc", "line").distinct().join(removed.select("doc", "line"), ["doc", "line"], "left_anti"), "open_lines")
-    if open_.isEmpty():
-        return removed
-    again = materialize(_candidates(sets, open_), "line_pairs")
-    return removed.unionByName(_verified(again, docs, key, text)).distinct()
+    equal = materialize(equal_lines(sets).distinct(), "equal_lines")
+    pairs = materialize(_candidates(sets).join(equal, ["doc", "line"], "left_anti"), "line_pairs")
+    removed = equal.unionByName(_verified(pairs, docs, key, text))
+    open_ = pairs.where("more").select("doc", "line").distinct().join(removed, ["doc", "line"], "left_anti")
+    open_ = materialize(open_, "open_lines")
+    if not open_.isEmpty():
+        tried = pairs.select("doc", "line", "other_doc", "other_line")
+        again = materialize(_candidates(sets, open_).join(tried, tried.columns, "left_anti"), "line_pairs")
+        removed = removed.unionByName(_verified(again, docs, key, text))
+    return removed.join(sets.select("doc", "line", "whole"), ["doc", "line"]).distinct()
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,7 +264,7 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     same.  A null key counts as the largest.  Other columns stay, but for names
     that begin with two underscores.
     """
-    gone = removed_lines(docs, key, text).groupBy("doc").agg(F.collect_list(F.struct("line", "hash")).alias("__gone"))
+    gone = removed_lines(docs, key, text).groupBy("doc").agg(F.collect_list(F.struct("line", "whole")).alias("__gone"))
     gone = materialize(gone.withColumnRenamed("doc", "__doc"), "gone")
     near, far = bucket_split(docs.withColumn("__doc", _doc(key)), "__doc", gone)
 
@@ -256,11 +275,11 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
             if data is None or rows is None:
                 out.append((data, []))
                 continue
-            marked = {(r["line"], r["hash"]) for r in rows}
-            lines = data.split(b"\n")
-            numbers = sorted(i for i in {line for line, _ in marked} if i < len(lines) and (i, _hash(lines[i]) - (1 << 63)) in marked)
+            sets = _Sets(data)
+            own = dict(zip(sets.line.tolist(), sets.whole.view(np.int64).tolist()))
+            numbers = sorted({r["line"] for r in rows if own.get(r["line"]) == r["whole"]})
             skip = set(numbers)
-            out.append((b"\n".join(x for i, x in enumerate(lines) if i not in skip), numbers))
+            out.append((b"\n".join(x for i, x in enumerate(data.split(b"\n")) if i not in skip), numbers))
         return pd.DataFrame(out, columns=["text", "removed"])
 
     names = docs.columns

@@ -113,7 +113,7 @@ def line_texts():
     return docs | {700: None, 701: "", 702: "\n\n", 703: "a a a a a a\na a a a a b", 704: " ".join(words * 800)}
 
 
-@pytest.mark.parametrize("tries,posting", [(4, 8192), (1, 20)])
+@pytest.mark.parametrize("tries,posting", [(1, 8192), (2, 20)])
 def test_lines_are_the_model(spark, monkeypatch, tries, posting):
     monkeypatch.setattr(line_dedup, "FIRST_TRIES", tries)
     monkeypatch.setattr(line_dedup, "POSTING_ROWS", posting)
