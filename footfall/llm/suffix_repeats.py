@@ -33,6 +33,8 @@ from footfall.llm.common import bucket_split, materialize
 SPAN = 400
 WINDOW = 256
 GRAM = 16
+# Strings of an anchor that are judged together once more.
+BLOCK = 16
 # Starts of a long text that are looked at together; a power of two.
 SLICE = 1 << 20
 # Suffixes in a bucket.
@@ -40,6 +42,7 @@ BUCKET_ROWS = 500_000
 # Odd multiplier of the rolling hash and of its last mix.
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _ANCHOR = "doc long, tag int, anchor long, low long, high long, key long, cover long"
+_BLOCK = _ANCHOR + ", wanted boolean"
 _SUFFIX = "doc long, tag int, start long, first long, second long, wanted boolean"
 _SORTED = "doc long, tag int, start long, first long, second long, wanted boolean, repeats boolean, edge boolean"
 
@@ -107,34 +110,78 @@ def anchors(slim: DataFrame, span: int, window: int) -> DataFrame:
 
 
 def _judged(found: DataFrame) -> DataFrame:
-    """Anchors whose context occurs twice or more: n strings like theirs, kinds of them with this context, first of its kind."""
-    place = F.struct("doc", "tag", "anchor")
+    """Stretches whose key occurs twice or more: n like theirs, kinds of them with this key, first of its kind."""
+    place = F.struct("doc", "tag", "low")
     stretches = found.groupBy("key", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep"))
     contexts = stretches.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").drop("total")
     known = stretches.join(contexts, "key")
-    return found.join(known, ["key", "cover"]).withColumn("is_rep", place == F.col("rep")).drop("rep")
+    return found.join(known, ["key", "cover"]).withColumn("is_rep", place == F.col("rep")).drop("rep", "key", "cover")
 
 
-def _suffixes(slim: DataFrame, open_: DataFrame, span: int) -> DataFrame:
-    """A row per string of the open anchors with the tokens of its halves."""
-    per_doc = open_.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_set(F.struct("low", "high", "wanted")).alias("stretches"))
+def _settled(judged: DataFrame, span: int) -> DataFrame:
+    """Byte ranges of the wanted stretches that occur twice as a whole."""
+    return judged.where("wanted and n > 1").select("doc", "tag", "low", (F.col("high") + span).alias("high"))
+
+
+def _open(judged: DataFrame) -> DataFrame:
+    """Stretches that may repeat in part, and one of each kind that they may meet."""
+    rows = judged.where("kinds > 1 and (n = 1 or is_rep)")
+    return rows.select("doc", "tag", "anchor", "low", "high", (F.col("wanted") & (F.col("n") == 1)).alias("wanted"))
+
+
+def _with_texts(slim: DataFrame, stretches: DataFrame) -> DataFrame:
+    """Documents that have stretches, with the list of them."""
+    per_doc = stretches.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_set(F.struct("anchor", "low", "high", "wanted")).alias("stretches"))
     per_doc = materialize(per_doc, "stretches")
     near, _ = bucket_split(slim, "doc", per_doc.select(F.col("__doc").alias("doc")))
-    near = near.join(per_doc, (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag"))).select("doc", "tag", "data", "stretches")
+    return near.join(per_doc, (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag"))).select("doc", "tag", "data", "stretches")
+
+
+def _blocks(slim: DataFrame, stretches: DataFrame, span: int) -> DataFrame:
+    """The strings of open anchors in blocks, counted from the anchor.
+
+    A block's key is the hash of the bytes that all strings of a full block share, so
+    it does not depend on where the stretch begins; its cover is that of the strings it has.
+    """
+    digest, names = xxhash.xxh64_intdigest, [f.split()[0] for f in _BLOCK.split(", ")]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, tag, data, found in batch.itertuples(index=False):
+                for s in found:
+                    anchor, first, last = s["anchor"], s["low"], s["high"]
+                    for base in range(anchor + (first - anchor) // BLOCK * BLOCK, last + 1, BLOCK):
+                        low, high = max(first, base), min(last, base + BLOCK - 1)
+                        key = digest(data[base + BLOCK - 1 : base + span], seed=base - anchor & 0xFFFFFFFF)
+                        cover = digest(data[low : high + span], seed=(low - base) * BLOCK + high - low)
+                        rows.append((doc, tag, anchor, low, high, _signed(key), _signed(cover), s["wanted"]))
+                if len(rows) >= 50_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    return _with_texts(slim, stretches).mapInPandas(cut, _BLOCK)
+
+
+def _suffixes(slim: DataFrame, stretches: DataFrame, span: int) -> DataFrame:
+    """A row per string of the open blocks with the tokens of its halves."""
     half, names = span // 2, [f.split()[0] for f in _SUFFIX.split(", ")]
     digest = xxhash.xxh64_intdigest
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, tag, data, stretches in batch.itertuples(index=False):
-                for some in range(0, len(stretches), 256):
-                    spots = [(p, s["wanted"]) for s in stretches[some : some + 256] for p in range(s["low"], s["high"] + 1)]
-                    first = np.fromiter((digest(data[p : p + half]) for p, _ in spots), np.uint64, len(spots))
-                    second = np.fromiter((digest(data[p + half : p + span]) for p, _ in spots), np.uint64, len(spots))
-                    starts, wanted = zip(*spots)
-                    yield pd.DataFrame(dict(zip(names, (doc, np.int32(tag), starts, first.view(np.int64), second.view(np.int64), wanted))))
+            rows = []
+            for doc, tag, data, found in batch.itertuples(index=False):
+                for s in found:
+                    for p in range(s["low"], s["high"] + 1):
+                        rows.append((doc, tag, p, _signed(digest(data[p : p + half])), _signed(digest(data[p + half : p + span])), s["wanted"]))
+                if len(rows) >= 50_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
-    return near.mapInPandas(cut, _SUFFIX)
+    return _with_texts(slim, stretches).mapInPandas(cut, _SUFFIX)
 
 
 def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
@@ -180,9 +227,9 @@ def repeated_starts(suffixes: DataFrame) -> DataFrame:
     buckets = -(-max(1, suffixes.count()) // BUCKET_ROWS)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches), ignore_index=True)
-        if len(frame):
-            yield _bucket(frame)
+        frames = [b for b in batches if len(b)]
+        if frames:
+            yield _bucket(pd.concat(frames, ignore_index=True))
 
     ranged = suffixes.repartitionByRange(buckets, "first", "second", F.xxhash64("doc", "start"))
     found = materialize(ranged.mapInPandas(sort, _SORTED), "sorted")
@@ -196,10 +243,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     """Rows (doc, tag, spans): per document the byte ranges that repeat elsewhere, not merged."""
     slim = _slim(docs, key, text)
     found = materialize(anchors(slim, span, window), "anchors")
-    judged = materialize(_judged(found), "judged")
-    whole = judged.where("n > 1").select("doc", "tag", "low", (F.col("high") + span).alias("high"))
-    open_ = judged.where("kinds > 1 and (n = 1 or is_rep)").select("doc", "tag", "low", "high", (F.col("n") == 1).alias("wanted"))
-    parts = repeated_starts(_suffixes(slim, open_, span)).select("doc", "tag", F.col("start").alias("low"), (F.col("start") + span).alias("high"))
+    judged = materialize(_judged(found.withColumn("wanted", F.lit(True))), "judged")
+    blocks = materialize(_judged(materialize(_blocks(slim, _open(judged), span), "blocks")), "judged_blocks")
+    starts = repeated_starts(_suffixes(slim, _open(blocks), span))
+    parts = starts.select("doc", "tag", F.col("start").alias("low"), (F.col("start") + span).alias("high"))
+    whole = _settled(judged, span).unionByName(_settled(blocks, span))
     return whole.unionByName(parts).groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
