@@ -11,18 +11,24 @@ import pandas as pd
 _BREAK = re.compile(rb"[ \t-\r]")
 
 
-def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Words of a text in blocks, so that a very long text is never split as a whole."""
+def text_blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in blocks cut at white space, so that a very long one is never worked on as a whole."""
     start = 0
     while start < len(data):
         end = start + size
         if end < len(data):
             found = _BREAK.search(data, end)
             end = found.end() if found else len(data)
-        yield data[start:end].split()
+        yield data[start:end]
         start = end
 
 
+def word_blocks(data: bytes) -> Iterator[list[bytes]]:
+    """Words of a text, block by block."""
+    for block in text_blocks(data):
+        yield block.split()
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a buffer, and the number of the line that each is in.
 

@@ -28,10 +28,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     files go when the driver's JVM collects the plans that made them; asked to do so here,
     it frees those of a finished step before the next one fills the disks.
     """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    spark, path, schema = df.sparkSession, scratch_path(df.sparkSession, label), df.schema
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    # The first call finds the plan still held by the thread that ran it.
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _bucket(key: Column) -> Column:

@@ -146,9 +146,9 @@ def _swept(frame: pd.DataFrame, part: int, opens: int) -> pd.DataFrame:
 
 def _sweep(items: DataFrame, ranges: int, opens: int = 0) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches), ignore_index=True)
-        if len(frame):
-            yield _swept(frame, TaskContext.get().partitionId(), opens)
+        frames = [b for b in batches if len(b)]
+        if frames:
+            yield _swept(pd.concat(frames, ignore_index=True), TaskContext.get().partitionId(), opens)
 
     spread = items.repartitionByRange(ranges, F.col("size").desc(), F.xxhash64("kind", "id"))
     return materialize(spread.mapInPandas(run, _SWEPT), "swept")

@@ -25,6 +25,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path if os.path.isabs(path) else public_tokenizers.path(path))
+        self.opens = None
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
 
@@ -38,7 +39,25 @@ class WordTokenizer:
         new = [w for w in words if w not in known]
         good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         known.update(dict.fromkeys(new))
-        known.update(zip(good, self._encode([lead + w for w in good])))
+        known.update(zip(good, self._encode_words(good) if lead else self._encode(good)))
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each follow a blank, many words a call: a word's first token begins with its blank."""
+        import numpy as np
+
+        if self.opens is None:
+            size = self.tokenizer.get_vocab_size()
+            blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+            self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(size)])
+        groups = [words[i : i + 2000] for i in range(0, len(words), 2000)]
+        out = []
+        for group, data in zip(groups, self._encode([" " + " ".join(g) for g in groups])):
+            starts = np.flatnonzero(self.opens[np.frombuffer(data, dtype="<u4")])
+            if len(starts) != len(group):
+                raise ValueError("the tokenizer doesn't begin a token at every blank")
+            edges = [4 * i for i in starts.tolist()] + [len(data)]
+            out += [data[a:b] for a, b in zip(edges, edges[1:])]
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
