@@ -22,20 +22,25 @@ def _uuid(value: str | None, name: str) -> str | None:
     return text.lower() if text else None
 
 
-def page_of(df: DataFrame, page: Page, time_column: str, id_column: str, columns: list[str]) -> DataFrame:
+def page_of(df: DataFrame, page: Page | None, time_column: str, id_column: str, columns: list[str]) -> DataFrame:
     """One page and, on each row, the number of rows over all pages.
 
     The total is a scalar subquery over the same filtered scan; the page is a
-    top-k, so nothing is sorted as a whole for the usual first pages.
+    top-k, so nothing is sorted as a whole for the usual first pages.  A page
+    ``after`` a row is a top-k at any depth.  A page past the end has no row to
+    carry the total; ``page=None`` gives the total as a frame of its own.
     """
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return (
-        df.select(*columns)
-        .orderBy(F.desc(time_column), F.asc(id_column))
-        .offset(page.offset)
-        .limit(page.size)
-        .withColumn("total", total.scalar())
-    )
+    if page is None:
+        return total
+    rows = df.select(*columns)
+    if page.after:
+        at, last = F.lit(page.after[0]).cast(df.schema[time_column].dataType), F.lit(page.after[1])
+        rows = rows.where((F.col(time_column) <= at) & ((F.col(time_column) < at) | (F.col(id_column) > last)))
+    rows = rows.orderBy(F.desc(time_column), F.asc(id_column))
+    if not page.after:
+        rows = rows.offset(page.offset)
+    return rows.limit(page.size).withColumn("total", total.scalar())
 
 
 def _filtered(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
@@ -46,7 +51,7 @@ def _filtered(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
 
 
 def list_events(
-    events: DataFrame, project_id: str, rng: TimeRange, page: Page,
+    events: DataFrame, project_id: str, rng: TimeRange, page: Page | None,
     event_type: str | None = None, user_id: str | None = None, device_id: str | None = None,
 ) -> DataFrame:
     rows = _filtered(
@@ -58,7 +63,7 @@ def list_events(
 
 
 def list_sessions(
-    sessions: DataFrame, project_id: str, rng: TimeRange, page: Page,
+    sessions: DataFrame, project_id: str, rng: TimeRange, page: Page | None,
     session_id: str | None = None, user_id: str | None = None, device_id: str | None = None,
 ) -> DataFrame:
     rows = _filtered(
@@ -73,7 +78,7 @@ def list_sessions(
 
 
 def list_devices(
-    devices: DataFrame, project_id: str, rng: TimeRange, page: Page,
+    devices: DataFrame, project_id: str, rng: TimeRange, page: Page | None,
     device_id: str | None = None, api_key: str | None = None, is_banned: bool | None = None,
 ) -> DataFrame:
     rows = _filtered(
@@ -88,7 +93,7 @@ def list_devices(
 
 
 def list_traffic(
-    metrics: DataFrame, project_id: str, rng: TimeRange, page: Page, metric_type: str | None = None,
+    metrics: DataFrame, project_id: str, rng: TimeRange, page: Page | None, metric_type: str | None = None,
     user_id: str | None = None, device_id: str | None = None, session_id: str | None = None,
 ) -> DataFrame:
     rows = _filtered(
@@ -108,7 +113,7 @@ def list_traffic(
 
 
 def list_privacy(
-    requests: DataFrame, project_id: str, rng: TimeRange, page: Page, status: str | None = None,
+    requests: DataFrame, project_id: str, rng: TimeRange, page: Page | None, status: str | None = None,
     request_type: str | None = None, processor: str | None = None, user_id: str | None = None,
 ) -> DataFrame:
     from footfall.operators.privacy import REQUEST_TYPES, STATUSES, code

@@ -17,6 +17,7 @@ STATUSES = ("SUBMITTED", "IN_PROGRESS", "COMPLETED", "REJECTED", "CANCELLED")
 FINAL_STATUSES = ("COMPLETED", "REJECTED", "CANCELLED")
 OPEN = "SUBMITTED"
 REUSE_SECONDS = 600
+OPERATOR_LENGTH, NOTE_LENGTH = 64, 4000
 
 SAME_REQUEST = ["project_id", "user_id", "device_id", "request_type", "processor", "contact_email"]
 
@@ -147,6 +148,15 @@ def notices(sent: DataFrame) -> DataFrame:
     )
 
 
+def checked_status_log(status_log: DataFrame) -> DataFrame:
+    """Status changes with a ``reason`` column; only rows without one may reach the state."""
+    checks = [(F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES), "invalid_status")]
+    for name, size in (("operator", OPERATOR_LENGTH), ("operator_note", NOTE_LENGTH)):
+        if name in status_log.columns:
+            checks.append((longer_than(F.trim(name), size), f"{name}_too_long"))
+    return status_log.withColumn("reason", first_reason(*checks))
+
+
 def request_state(submissions: DataFrame, status_log: DataFrame) -> DataFrame:
     """Requests with the status, times and notes their log leads to.
 

@@ -380,6 +380,13 @@ def all_checks() -> dict[str, str]:
         "top_pages": _top_traffic("page_path", 10),
         "top_referrers": _top_traffic("referrer", 20),
         "list_events": _listed(["v_events"], {}, "v_events", "event_id, event_type, event_timestamp, created_at, device_id, user_id, session_id, properties", "event_type = 'view'", "created_at", "event_id", 100, 100),
+        "list_events_after": _sql(
+            ["v_events"],
+            {"kept": f"select * from v_events where project_id = 'demo' and created_at >= {LO} and created_at < {HI} and event_type = 'view'"},
+            """select event_id, event_type, event_timestamp, created_at, device_id, user_id, session_id, properties, (select count(*) from kept) as total
+            from kept where created_at <= timestamp '2024-01-10 00:00:00' order by created_at desc, event_id limit 500""",
+        ),
+        "list_events_total": _sql(["v_events"], {}, f"select count(*) as total from v_events where project_id = 'demo' and created_at >= {LO} and created_at < {HI} and event_type = 'view'"),
         "list_sessions": _listed(["v_sessions"], {}, "v_sessions", "session_id, device_id, user_id, session_start_time, session_duration_ms, device_model, os_version, app_version, build_number, screen_count, event_count, created_at", "true", "session_start_time", "session_id", 50, 0),
         "list_devices": _listed(["v_devices"], {}, "v_devices", "device_id, api_key, device_model, os_version, app_version, is_banned, ban_reason, created_at, last_active_at", "not is_banned", "created_at", "device_id", 200, 0),
         "list_traffic": _listed(["v_traffic"], {}, "v_traffic", "metric_id, metric_type, page_path, referrer, metric_timestamp, created_at, device_id, user_id, session_id, metadata", "metric_type = 'page_view'", "created_at", "metric_id", 40, 80),

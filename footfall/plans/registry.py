@@ -126,6 +126,16 @@ def _(spark, sf):
     return listing.list_events(view(spark, sf, "v_events"), PROJECT, MONTH, resolve_page(2, 100), event_type=" view ")
 
 
+@query("list_events_after")
+def _(spark, sf):
+    return listing.list_events(view(spark, sf, "v_events"), PROJECT, MONTH, resolve_page(size=500, cap=None, after=("2024-01-10 00:00:00", "")), event_type="view")
+
+
+@query("list_events_total")
+def _(spark, sf):
+    return listing.list_events(view(spark, sf, "v_events"), PROJECT, MONTH, None, event_type="view")
+
+
 @query("list_sessions")
 def _(spark, sf):
     return listing.list_sessions(view(spark, sf, "v_sessions"), PROJECT, MONTH, resolve_page(1))

@@ -41,6 +41,8 @@ class TimeRange:
 class Page:
     number: int
     size: int
+    #: Time and id of the last row seen; a page after them needs no offset.
+    after: tuple[str, str] | None = None
 
     @property
     def offset(self) -> int:
@@ -87,9 +89,15 @@ def resolve_summary_range(start: str | None, end: str | None, now: datetime | No
     return resolve_range(start, end, now)
 
 
-def resolve_page(number: int | None = None, size: int | None = None) -> Page:
+def resolve_page(
+    number: int | None = None, size: int | None = None, cap: int | None = MAX_PAGE_SIZE, after: tuple[str, str] | None = None
+) -> Page:
+    """A page by number, or the rows ``after`` a time and id.
+
+    The size is cut to ``cap``, by default that of the service; None lifts it.
+    """
     size = size if size and size > 0 else DEFAULT_PAGE_SIZE
-    return Page(number if number and number > 0 else 1, min(size, MAX_PAGE_SIZE))
+    return Page(number if number and number > 0 else 1, size if cap is None else min(size, cap), after)
 
 
 def comma_list(value: str | list) -> list[str]:

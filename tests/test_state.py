@@ -190,3 +190,10 @@ def test_privacy_codes():
     for bad in ("", "done", None):
         with pytest.raises(ValueError):
             privacy.code(bad, privacy.STATUSES)
+
+
+def test_status_changes_are_checked(spark):
+    rows = [("r", "COMPLETED", "ann", "ok"), ("r", "DONE", "ann", None), ("r", None, "a" * 65, None), ("r", "REJECTED", " " + "a" * 64, "n" * 4001), ("r", "REJECTED", "a" * 64, "n" * 4000)]
+    log = spark.createDataFrame(rows, "request_id string, status string, operator string, operator_note string")
+    got = [r.reason for r in privacy.checked_status_log(log).collect()]
+    assert got == [None, "invalid_status", "operator_too_long", "operator_note_too_long", None]
