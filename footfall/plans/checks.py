@@ -427,6 +427,9 @@ def all_checks() -> dict[str, str]:
     }
     out["stream_ingest_events"] = out["ingest_events"]
     out["stream_counters"] = out["counter_increments"]
+    out["pipeline_events"] = f"select event_type, count(*) as events from ({out['ingest_events']}) where project_id = 'demo' group by event_type"
+    out["pipeline_sessions"] = f"""select cast(session_start_time as date) as day, count(*) as sessions, cast(sum(event_count) as bigint) as events
+        from ({out['session_upsert']}) where project_id = 'demo' group by 1"""
     out["stream_page_views"] = _sql(
         ["v_traffic"], {},
         f"""select project_id, cast(date_trunc('day', created_at) as timestamp) as bucket, count(*) as page_views from v_traffic

@@ -10,7 +10,7 @@ from footfall.functions.json import json_text
 from footfall.operators import (
     bans, counters, events, funnel, gate, listing, metrics, privacy, retention, state, traffic, traffic_ingest,
 )
-from footfall.plans import checks
+from footfall.plans import checks, landed
 from footfall.plans.fixtures import view
 from footfall.ranges import resolve_page, resolve_range, resolve_summary_range
 from footfall.session import configure
@@ -166,6 +166,16 @@ def _(spark, sf):
     return events.as_events(accepted)
 
 
+@query("pipeline_events")
+def _(spark, sf):
+    return landed.stored_events(spark, sf, PROJECT)
+
+
+@query("pipeline_sessions")
+def _(spark, sf):
+    return landed.stored_sessions(spark, sf, PROJECT)
+
+
 @query("ingest_event_rejects")
 def _(spark, sf):
     _accepted, rejected = events.ingest_events(view(spark, sf, "v_event_items"))
