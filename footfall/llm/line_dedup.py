@@ -25,7 +25,7 @@ from footfall.llm.arrays import group_numbers, joined_texts, mixed, whole_groups
 from footfall.llm.common import bucket_split, materialize
 from footfall.llm.tiles import tiled
 
-# Lines with fewer words are never removed.
+# Lines with fewer words are not removed unless the caller says so; 1 takes all but blank lines.
 MIN_WORDS = 5
 # Buckets of the word counts that are broadcast, one byte each.
 COUNT_BUCKETS = 1 << 20
@@ -73,9 +73,9 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
 class _Sets:
     """The word sets of the lines of a buffer that have words enough."""
 
-    def __init__(self, data: bytes, ranks: np.ndarray | None = None):
+    def __init__(self, data: bytes, ranks: np.ndarray | None = None, min_words: int = MIN_WORDS):
         token, line = word_hashes(data)
-        wide = np.bincount(line, minlength=1) >= MIN_WORDS
+        wide = np.bincount(line, minlength=1) >= min_words
         token, line = token[wide[line]], line[wide[line]]
         key = line.astype(np.int64) << 8
         if ranks is not None:
@@ -91,10 +91,11 @@ class _Sets:
         self.whole = np.add.reduceat(mixed(self.token), self.first) if len(line) else np.zeros(0, np.uint64)
 
 
-def line_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+def line_sets(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc, line, n, bits, whole, prefix) of all lines; a null key counts as the largest.
 
     bits has the parity of the words by 6 bits of their hash, whole is a hash of the set.
+    Sets of up to three words resemble equal ones only, so they need no prefix.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
 
@@ -102,13 +103,13 @@ def line_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             texts, names = [t or b"" for t in batch["text"]], batch["doc"].to_numpy()
             for lo, hi, data in joined_texts(texts):
-                sets = _Sets(data, ranks.value)
+                sets = _Sets(data, ranks.value, min_words)
                 if not len(sets.line):
                     continue
                 base = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts[lo:hi]])
                 owner = np.searchsorted(base, sets.line, "right") - 1
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (sets.token >> np.uint64(58)), sets.first)
-                length = sets.n - (4 * sets.n + 4) // 5 + 1
+                length = np.where(sets.n > 3, sets.n - (4 * sets.n + 4) // 5 + 1, 0)
                 signed = sets.token.view(np.int64)
                 yield pd.DataFrame({
                     "doc": names[lo + owner], "line": (sets.line - base[owner]).astype(np.int32), "n": sets.n.astype(np.int32), "bits": bits.view(np.int64),
@@ -240,9 +241,9 @@ def equal_lines(sets: DataFrame) -> DataFrame:
     return sets.select("doc", "line", "whole", "bits", "n").join(first, ["whole", "bits", "n"]).where(place != F.col("first")).select("doc", "line")
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc, line, whole) of the lines to remove."""
-    sets = materialize(line_sets(docs, key, text), "line_sets")
+    sets = materialize(line_sets(docs, key, text, min_words), "line_sets")
     equal = materialize(equal_lines(sets).distinct(), "equal_lines")
     pairs = materialize(_candidates(sets).join(equal, ["doc", "line"], "left_anti"), "line_pairs")
     removed = equal.unionByName(_verified(pairs, docs, key, text))
@@ -255,16 +256,16 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return removed.join(sets.select("doc", "line", "whole"), ["doc", "line"]).distinct()
 
 
-def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later similar lines cut out of the text, and __n_lines, __removed.
 
-    Lines are what stands between line feeds; the others keep their order.  A null
-    text stays null and has no lines.  Rows that repeat a key share a place:
+    Lines are what stands between line feeds; the others keep their order.  Lines of
+    fewer than ``min_words`` words and blank ones stay.  A null text stays null and has no lines.  Rows that repeat a key share a place:
     they are not compared at equal line numbers and lose a line only if it is the
     same.  A null key counts as the largest.  Other columns stay, but for names
     that begin with two underscores.
     """
-    gone = removed_lines(docs, key, text).groupBy("doc").agg(F.collect_list(F.struct("line", "whole")).alias("__gone"))
+    gone = removed_lines(docs, key, text, min_words).groupBy("doc").agg(F.collect_list(F.struct("line", "whole")).alias("__gone"))
     gone = materialize(gone.withColumnRenamed("doc", "__doc"), "gone")
     near, far = bucket_split(docs.withColumn("__doc", _doc(key)), "__doc", gone)
 
@@ -275,7 +276,7 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
             if data is None or rows is None:
                 out.append((data, []))
                 continue
-            sets = _Sets(data)
+            sets = _Sets(data, min_words=min_words)
             own = dict(zip(sets.line.tolist(), sets.whole.view(np.int64).tolist()))
             numbers = sorted({r["line"] for r in rows if own.get(r["line"]) == r["whole"]})
             skip = set(numbers)

@@ -48,7 +48,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that an earlier line resembles, and a digest of what is left."""
-    docs = line_dedup.without_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = line_dedup.without_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return docs.select(
         "doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.size("__removed").cast("long").alias("n_removed"),
         F.col("__removed").alias("removed"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
