@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import line_dedup, mixing, packing, passages, quality_rules, simhash_trees, suffix_repeats, url_templates, vector_blocks, warc_segments
+from footfall.llm import (
+    exact_copies, line_dedup, middle_frames, mixing, packing, passages, quality_rules, simhash_trees, suffix_repeats, url_templates,
+    vector_blocks, warc_segments, whitening,
+)
 from footfall.llm.common import read_table
 from footfall.session import scratch_path
 
@@ -139,3 +142,59 @@ from d join r on d.source is not distinct from r.source
 def op10_passage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more of all documents that occur again, with their classes."""
     return passages.near_duplicate_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms, cuts and digests of all documents with the middle moved to the end."""
+    made = middle_frames.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = made.withColumn("__digests", middle_frames.digests("__output", "__form"))
+    return made.select(
+        "doc_id", F.col("__n").alias("n"), F.col("__form").alias("form"), F.col("__prefix_chars").alias("prefix_chars"),
+        F.col("__middle_chars").alias("middle_chars"), "__digests.output_sha256", "__digests.restored_sha256",
+    )
+
+
+ORACLE["op11_fill_in_middle"] = """
+with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text,
+        sha256(concat('1:', coalesce(cast(doc_id as varchar), 'null'))) as h from documents),
+u as (select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as units from t),
+h as (select *, cast(len(units) as bigint) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+        cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from u),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+             when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select doc_id, n, form, text, coalesce(array_to_string(units[1:a], ''), '') as pre, coalesce(array_to_string(units[a + 1:b], ''), '') as mid,
+        coalesce(array_to_string(units[b + 1:], ''), '') as suf from f)
+select doc_id, n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+         else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256
+from p
+"""
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 16 leading components of their distinct vectors' covariance."""
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    # The exact deviation is a decimal; the contract's long is null where it doesn't fit.
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents, with the row of each that stays."""
+    found = exact_copies.exact_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("__keep").alias("keep_id"), F.col("__group_size").alias("group_size"), F.col("__kept").alias("kept"),
+        F.col("__sha256").alias("text_sha256"),
+    )
+
+
+ORACLE["op13_exact_dedup"] = """
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g') as text from documents)
+select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size,
+  row_number() over (partition by text order by doc_id nulls last) = 1 as kept, sha256(text) as text_sha256
+from t window g as (partition by text)
+"""
