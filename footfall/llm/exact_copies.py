@@ -51,7 +51,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
     plain = normalised(F.col(f"`{text}`"))
     tagged = docs.withColumn("__hash", digest(plain))
     groups = tagged.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"), F.min(_order(key)).alias("__least")).where("__n > 1")
-    met = tagged.join(materialize(groups, "hash_groups"), "__hash", "left")
+    # The groups grow with the rows, so they are met by shuffle at any size.
+    met = tagged.join(materialize(groups, "hash_groups").hint("merge"), "__hash", "left")
     # Row numbers are taken from the written table, so they stay the same however often it is read.
     found = met.select(
         *names, "__hash", F.sha2(plain.cast("binary"), 256).alias("__sha256"), F.coalesce("__n", F.lit(1)).alias("__n"),
@@ -68,7 +69,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
 
 def _compared(found: DataFrame, key: str, plain: Column) -> DataFrame:
     """Rows (__row, __keep, __group_size, __kept) of groups of equal hashes."""
-    first = found.where("__first").groupBy("__hash").agg(F.min_by(plain, "__row").alias("__bytes"))
+    # Aggregates are written before they are joined: AQE splits a hot group only if nothing stands between join and shuffle.
+    first = materialize(found.where("__first").groupBy("__hash").agg(F.min_by(plain, "__row").alias("__bytes")), "first_texts")
     same = plain == F.col("__bytes")
     met = found.join(first, "__hash").select("__row", "__hash", _order(key).alias("__order"), F.when(~same, plain).alias("__other"))
     met = materialize(met, "compared_texts")
@@ -76,6 +78,7 @@ def _compared(found: DataFrame, key: str, plain: Column) -> DataFrame:
     # __other is null for the class of the first row and the bytes themselves for any other class.
     classes = met.groupBy("__hash", "__other").agg(F.count(F.lit(1)).alias("__group_size"), F.min(place).alias("__lead"))
     classes = classes.withColumnsRenamed({"__hash": "__hash_b", "__other": "__other_b"})
+    classes = materialize(classes, "text_classes")
     joined = met.join(classes, (F.col("__hash") == F.col("__hash_b")) & F.col("__other").eqNullSafe(F.col("__other_b")))
     return joined.select(
         "__row", F.col("__lead.__order.key").alias("__keep"), "__group_size", (F.col("__row") == F.col("__lead.__row")).alias("__kept")
