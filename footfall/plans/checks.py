@@ -317,16 +317,20 @@ def _privacy_submit() -> str:
     )
 
 
-def _privacy_dedup() -> str:
+def _privacy_dedup(with_changes: bool = False) -> str:
+    left = """left join (select request_id, min(changed_at) as left_at from v_privacy_changes where status <> 'SUBMITTED' group by 1) l using (request_id)"""
+    until = "anchor + interval 600 second" + (" and (left_at is null or n.requested_at < left_at)" if with_changes else "")
     return _sql(
-        ["v_privacy_submissions"],
+        ["v_privacy_submissions", *(["v_privacy_changes"] if with_changes else [])],
         {
-            "n": """select *, dense_rank() over (order by project_id, user_id, device_id, request_type, processor, contact_email) as grp,
-                row_number() over (partition by project_id, user_id, device_id, request_type, processor, contact_email order by requested_at, request_id) as rn from v_privacy_submissions""",
-            "chain": """select grp, rn, request_id, request_id as answered_by, requested_at as anchor from n where rn = 1
-                union all select n.grp, n.rn, n.request_id, case when n.requested_at <= c.anchor + interval 600 second then c.answered_by else n.request_id end,
-                case when n.requested_at <= c.anchor + interval 600 second then c.anchor else n.requested_at end
-                from chain c join n on n.grp = c.grp and n.rn = c.rn + 1""",
+            "n": f"""select *, dense_rank() over (order by project_id, user_id, device_id, request_type, processor, contact_email) as grp,
+                row_number() over (partition by project_id, user_id, device_id, request_type, processor, contact_email order by requested_at, request_id) as rn
+                from v_privacy_submissions {left if with_changes else 'cross join (select null as left_at)'}""",
+            "chain": f"""select grp, rn, request_id, request_id as answered_by, requested_at as anchor, left_at from n where rn = 1
+                union all select grp, rn, request_id, case when again then old else request_id end, case when again then anchor else requested_at end,
+                case when again then old_left else left_at end
+                from (select n.*, c.answered_by as old, c.anchor, c.left_at as old_left, n.requested_at <= c.{until.replace('left_at', 'c.left_at')} as again
+                      from chain c join n on n.grp = c.grp and n.rn = c.rn + 1) s""",
         },
         "select request_id, answered_by from chain",
     )
@@ -426,6 +430,8 @@ def all_checks() -> dict[str, str]:
         "ban_windows": _bans(),
     }
     out["stream_ingest_events"] = out["ingest_events"]
+    out["stream_privacy_dedup"] = _privacy_dedup(with_changes=True)
+    out["stream_ban_windows"] = out["ban_windows"]
     out["stream_counters"] = out["counter_increments"]
     out["pipeline_events"] = f"select event_type, count(*) as events from ({out['ingest_events']}) where project_id = 'demo' group by event_type"
     out["pipeline_sessions"] = f"""select cast(session_start_time as date) as day, count(*) as sessions, cast(sum(event_count) as bigint) as events

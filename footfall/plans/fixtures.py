@@ -150,6 +150,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         concat('u', cast(user_id % 5 as string), '@example.org') as contact_email, event_id, ts as requested_at
         from events where event_type in ('error', 'click')""",
     ),
+    # Status changes while a request may still be reused.
+    "v_privacy_changes": (
+        ("v_privacy_submissions",),
+        """select project_id, user_id, device_id, request_type, processor, contact_email, request_id, 'IN_PROGRESS' as status,
+        requested_at + interval 120 second as changed_at from v_privacy_submissions where event_id % 3 = 0
+        union all select project_id, user_id, device_id, request_type, processor, contact_email, request_id, 'CANCELLED',
+        requested_at + interval 30 second from v_privacy_submissions where event_id % 6 = 0
+        union all select project_id, user_id, device_id, request_type, processor, contact_email, request_id, 'SUBMITTED',
+        requested_at from v_privacy_submissions where event_id % 2 = 0""",
+    ),
     "v_privacy_items": (
         ("events",),
         f"""select {PROJ} as project_id, {{us:ts}} as received_us, ts as received_at,

@@ -302,6 +302,16 @@ def _(spark, sf):
     return jobs.event_stream_result(spark, sf)
 
 
+@query("stream_privacy_dedup")
+def _(spark, sf):
+    return jobs.privacy_stream_result(spark, sf)
+
+
+@query("stream_ban_windows")
+def _(spark, sf):
+    return jobs.ban_stream_result(spark, sf)
+
+
 @query("stream_counters")
 def _(spark, sf):
     return jobs.counter_stream_result(spark, sf)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from footfall.operators.ordered_fold import SMALL_RUN
 from footfall.plans.fixtures import view, view_over
 from footfall.schemas import EVENTS
 from footfall.session import scratch_path
-from footfall.streaming import counters, ingest, trends
+from footfall.streaming import counters, folds, in_order, ingest, trends
 from footfall.streaming.ledger import read_ledger
 
 
@@ -30,6 +31,63 @@ def _adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         spark.catalog.dropTempView(source)
 
 
+# Micro-batches of the streams that need several.
+SLICES = 3
+
+
+def landed_in_slices(rows: DataFrame, time: str, path: str, spread_s: int, clock: bool = True) -> tuple[int, int]:
+    """Land rows as folders in order of time, some up to ``spread_s`` seconds after their turn.
+
+    With ``clock`` a last file has a row without values far ahead, so that event time ends all waiting.
+    Returns the number of rows and by how many seconds one may come after a later one: the files of
+    a folder are in no order, so that is its whole width beside the spread.
+    """
+    at = F.unix_seconds(F.col(time).cast("timestamp"))
+    low, high, count = rows.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+    width = ((high or 0) - (low or 0)) // SLICES + 1
+    turn = F.floor((at - (low or 0) + F.pmod(F.hash(*rows.columns), F.lit(spread_s))) * SLICES / ((high or 0) - (low or 0) + 1))
+    placed = rows.withColumn("slice", F.greatest(F.lit(0), F.least(F.lit(SLICES), F.coalesce(turn, F.lit(0)))))
+    for k in range(SLICES + 1):
+        placed.where(F.col("slice") == k).drop("slice").write.parquet(f"{path}/{k}")
+    if clock:
+        far = F.timestamp_seconds(F.lit((high or 0) + 10 * (width + spread_s))).cast(rows.schema[time].dataType).alias(time)
+        empty = [far if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+        rows.sparkSession.range(1).select(*empty).write.parquet(f"{path}/{SLICES + 1}")
+    return count, width + spread_s
+
+
+def _slices(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The landed slices as a stream of about as many micro-batches."""
+    files = len(spark.read.schema(like.schema).parquet(f"{path}/*").inputFiles())
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", -(-files // (SLICES + 1))).parquet(f"{path}/*")
+
+
+def _state_partitions(spark: SparkSession, rows: int) -> int:
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SMALL_RUN)))
+
+
+def privacy_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions and status changes as two streams, each a little out of order."""
+    path, spread = scratch_path(spark, "stream-privacy"), 7200
+    submissions, changes = (view(spark, sf_dir, f"v_privacy_{name}") for name in ("submissions", "changes"))
+    rows, delay = landed_in_slices(submissions, "requested_at", f"{path}/submissions", spread)
+    more, longest = landed_in_slices(changes, "changed_at", f"{path}/changes", spread)
+    streams = [_slices(spark, f"{path}/{name}", like) for name, like in (("submissions", submissions), ("changes", changes))]
+    found = folds.dedup_request_stream(*streams, delay_s=max(delay, longest) + 60)
+    in_order.store_stream(found, f"{path}/ledger", f"{path}/checkpoint", True, _state_partitions(spark, rows + more)).awaitTermination()
+    return read_ledger(spark, f"{path}/ledger", found.schema).where(~F.col("late")).select("request_id", "answered_by")
+
+
+def ban_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, spread = scratch_path(spark, "stream-bans"), 1800
+    attempts = view(spark, sf_dir, "v_auth_attempts")
+    rows, delay = landed_in_slices(attempts, "attempted_at", f"{path}/attempts", spread)
+    found = folds.ban_window_stream(_slices(spark, f"{path}/attempts", attempts), delay_s=delay + 60)
+    in_order.store_stream(found, f"{path}/ledger", f"{path}/checkpoint", True, _state_partitions(spark, rows)).awaitTermination()
+    bans = read_ledger(spark, f"{path}/ledger", found.schema).where(~F.col("late"))
+    return bans.select("ip", "first_failure_at", "banned_from", "banned_until")
+
+
 def event_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "stream-events")
     ingest.ingest_stream(

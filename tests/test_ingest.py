@@ -11,7 +11,7 @@ from footfall.operators import events, gate, listing, traffic_ingest
 from footfall.plans.fixtures import view
 from footfall.ranges import resolve_page, resolve_range
 from footfall.sources import landing, tables
-from footfall.streaming import counters as stream_counters, folds, ingest as stream_ingest, trends
+from footfall.streaming import counters as stream_counters, ingest as stream_ingest, trends
 from footfall.streaming.ledger import read_ledger
 
 DEV = "00000000-0000-4000-8000-00000000000a"
@@ -266,25 +266,3 @@ def test_gate_stream_sees_new_devices(spark, tmp_path):
 
     drain(stream_ingest.gate_stream(stream, devices, str(tmp_path / "out"), str(tmp_path / "cp"), once=True))
     assert read_ledger(spark, str(tmp_path / "out"), stream.schema).count() == 1
-
-
-def test_fold_streams_equal_batch(spark, tmp_path):
-    from footfall.operators import bans, privacy
-
-    requests = view(spark, "/root/testdata/sf0.001", "v_privacy_submissions")
-    requests.coalesce(1).write.parquet(str(tmp_path / "r"))
-    stream = spark.readStream.schema(requests.schema).parquet(str(tmp_path / "r"))
-    query = folds.dedup_request_stream(stream).writeStream.format("memory").queryName("dedup").outputMode("append").trigger(availableNow=True)
-    drain(query.option("checkpointLocation", str(tmp_path / "cp1")).start())
-    want = {(r.request_id, r.answered_by) for r in privacy.dedup_requests(requests).collect()}
-    assert {(r.request_id, r.answered_by) for r in spark.table("dedup").collect()} == want
-
-    tries = view(spark, "/root/testdata/sf0.001", "v_auth_attempts")
-    # Files in order of time, one per micro-batch: the state carries over.
-    for i, (low, high) in enumerate([(0, 300), (300, 700), (700, 1000)]):
-        tries.where(f"seq >= {low} and seq < {high}").coalesce(1).write.parquet(str(tmp_path / "a" / str(i)))
-    stream = spark.readStream.schema(tries.schema).options(maxFilesPerTrigger=1).parquet(str(tmp_path / "a" / "*"))
-    query = folds.ban_window_stream(stream).writeStream.format("memory").queryName("bans").outputMode("append").trigger(availableNow=True)
-    drain(query.option("checkpointLocation", str(tmp_path / "cp2")).start())
-    want = sorted(map(tuple, bans.ban_windows(tries).collect()))
-    assert sorted(map(tuple, spark.table("bans").collect())) == want
