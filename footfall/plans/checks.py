@@ -178,6 +178,23 @@ def _gate() -> str:
     )
 
 
+def _gate_as_of() -> str:
+    person = f"regexp_matches(user_id, {UUID_RE})"
+    return _sql(
+        ["v_event_items", "v_device_history"],
+        {
+            "last": """select i.batch_id, i.item_no, max(h.valid_from) as at from v_event_items i join v_device_history h
+                on h.project_id = i.project_id and h.device_id = i.device_id and h.valid_from <= i.received_at group by 1, 2""",
+            "known": """select l.batch_id, l.item_no, h.api_key, h.is_banned from last l join v_event_items i using (batch_id, item_no)
+                join v_device_history h on h.project_id = i.project_id and h.device_id = i.device_id and h.valid_from = l.at""",
+        },
+        f"""select i.batch_id, i.item_no, case when not {person} then 'invalid_user_id'
+        when abs(epoch_us(i.received_at) // 1000 - i.request_ms) > 300000 then 'timestamp_expired'
+        when k.api_key is null or k.api_key <> i.api_key then 'invalid_credentials' when k.is_banned then 'device_banned' end as reason
+        from v_event_items i left join known k using (batch_id, item_no)""",
+    )
+
+
 LETTERS = r"([\p{Lu}\p{Ll}])(\p{Lu})"
 
 
@@ -430,6 +447,9 @@ def all_checks() -> dict[str, str]:
         "ban_windows": _bans(),
     }
     out["stream_ingest_events"] = out["ingest_events"]
+    out["ingest_gate_as_of"] = out["stream_gate"] = _gate_as_of()
+    out["stream_dedup_keys"] = _sql(["v_event_items", "v_known_keys"], NEW_EVENTS, "select project_id, key_hash from fresh where key_hash is not null")
+    out["counter_snapshot"] = out["counter_state"]
     out["stream_privacy_dedup"] = _privacy_dedup(with_changes=True)
     out["stream_ban_windows"] = out["ban_windows"]
     out["stream_counters"] = out["counter_increments"]

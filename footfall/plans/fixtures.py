@@ -92,6 +92,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         min(received_at) as created_at, max(received_at) as last_active_at
         from v_device_registrations group by project_id, device_id""",
     ),
+    # Devices over time: registered, banned, let in again, given a new key.
+    "v_device_history": (
+        ("v_devices",),
+        """select project_id, device_id, api_key, false as is_banned, created_at as valid_from from v_devices
+        union all select project_id, device_id, api_key, true, timestamp '2024-01-09 06:00:00' from v_devices where substring(device_id, 1, 1) in ('0', '1', '2', '3', '4')
+        union all select project_id, device_id, api_key, false, timestamp '2024-01-17 18:30:00' from v_devices where substring(device_id, 1, 1) in ('1', '2', '3')
+        union all select project_id, device_id, 'ak_renewed', false, timestamp '2024-01-24 00:00:00' from v_devices where substring(device_id, 1, 1) in ('3', '5')""",
+    ),
     "v_event_items": (
         ("events",),
         f"""select concat('b', cast(cast(floor(event_id / 100.0) as bigint) as string)) as batch_id, cast(event_id % 100 as int) as item_no,

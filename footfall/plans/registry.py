@@ -200,6 +200,12 @@ def _(spark, sf):
     return gate.gate(requests, view(spark, sf, "v_devices")).select("batch_id", "item_no", "reason")
 
 
+@query("ingest_gate_as_of")
+def _(spark, sf):
+    requests = view(spark, sf, "v_event_items").select("batch_id", "item_no", "project_id", "api_key", "device_id", "user_id", "request_ms", "received_at")
+    return gate.gate_as_of(requests, view(spark, sf, "v_device_history")).select("batch_id", "item_no", "reason")
+
+
 def _stored_traffic(both: DataFrame) -> DataFrame:
     inside = {"ip_hash": "ipHash", "agent": "userAgent", "utm": "utm_source", "bot": "isBot", "resolved": "resolvedReferrer", "data": "data", "n": "n"}
     return both.select(
@@ -312,6 +318,21 @@ def _(spark, sf):
     return jobs.ban_stream_result(spark, sf)
 
 
+@query("stream_gate")
+def _(spark, sf):
+    return jobs.gate_stream_result(spark, sf).select("batch_id", "item_no", "reason")
+
+
+@query("stream_dedup_keys")
+def _(spark, sf):
+    return jobs.key_stream_result(spark, sf)
+
+
+@query("counter_snapshot")
+def _(spark, sf):
+    return jobs.counter_snapshot_result(spark, sf).drop("event_trigger", "description", "created_at")
+
+
 @query("stream_counters")
 def _(spark, sf):
     return jobs.counter_stream_result(spark, sf)

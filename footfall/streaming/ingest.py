@@ -9,9 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from footfall.functions.text import is_blank, project_id
 from footfall.operators.events import as_events, ingest_events
-from footfall.operators.gate import admitted
+from footfall.operators.gate import admitted, gate_as_of
 from footfall.schemas import EVENTS
-from footfall.streaming.ledger import open_ledger, read_ledger, write_batch
+from footfall.streaming.key_index import KeyIndex
+from footfall.streaming.ledger import open_ledger, read_batch, write_batch
 
 #: A micro-batch with more keys than this is not broadcast.
 BROADCAST_KEYS = 200_000
@@ -38,48 +39,71 @@ def gate_stream(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def gate_as_of_stream(
+    requests: DataFrame, history: Callable[[SparkSession], DataFrame], path: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Write every request with the ``reason`` that held when it was received.
+
+    ``history`` is loaded for every batch and only grows: versions later than a request do not
+    touch it, so a replay of the stream with today's history gives the answers of its time.
+    """
+    spark = requests.sparkSession
+    open_ledger(spark, path, T.StructType(requests.schema.fields + [T.StructField("reason", T.StringType())]))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(gate_as_of(batch, history(batch.sparkSession)), path, batch_id)
+
+    writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def ingest_stream(
-    items: DataFrame, path: str, checkpoint: str, known_keys: Callable[[SparkSession], DataFrame] | None = None, once: bool = False
+    items: DataFrame, path: str, checkpoint: str, known_keys: Callable[[SparkSession], DataFrame] | None = None,
+    once: bool = False, index: KeyIndex | None = None,
 ) -> StreamingQuery:
     """Write accepted events batch by batch; a key is taken once, for good.
 
-    The keys of earlier batches are a column of the stored rows, so no state
-    grows in memory.  A repeated batch does not see its own keys.  ``known_keys``
+    The keys of earlier batches are in ``index`` (by default beside the ledger), of which a batch opens a bounded part.
+    No state grows in memory, and a repeated batch does not see its own keys.  ``known_keys``
     loads keys taken elsewhere; it is called for every batch.
     """
     spark = items.sparkSession
+    index = index or KeyIndex(f"{path.rstrip('/')}-keys")
     open_ledger(spark, path, LEDGER)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        taken = (
-            read_ledger(session, path, LEDGER, before=batch_id)
-            .where(F.col("key_hash").isNotNull())
-            .select("project_id", "key_hash")
-        )
-        if known_keys is not None:
-            taken = taken.unionByName(known_keys(session).select("project_id", "key_hash"))
         batch.persist()
         try:
-            accepted = ingest_events(batch, _relevant(taken, batch)).accepted
+            asked = _asked(batch)
+            taken = index.taken(session, asked, batch_id)
+            if known_keys is not None:
+                taken = taken.unionByName(known_keys(session).select("project_id", "key_hash"))
+            accepted = ingest_events(batch, _relevant(taken, asked)).accepted
             write_batch(as_events(accepted, "key_hash"), path, batch_id)
         finally:
             batch.unpersist()
+        stored = read_batch(session, path, LEDGER, batch_id)
+        index.add(stored.where(F.col("key_hash").isNotNull()), batch_id)
+        index.prune(session, batch_id)
 
     writer = items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _relevant(taken: DataFrame, batch: DataFrame) -> DataFrame:
+def _asked(batch: DataFrame) -> DataFrame:
+    """The keys that a batch asks for."""
+    return batch.where(~is_blank(F.col("idempotency_key"))).select(
+        project_id(F.col("project_id")).alias("project_id"), F.sha2("idempotency_key", 256).alias("key_hash")
+    )
+
+
+def _relevant(taken: DataFrame, asked: DataFrame) -> DataFrame:
     """The taken keys that this batch asks about.
 
-    The history is long and a batch is short: with the batch's keys on every
-    executor the history is only scanned, not shuffled.  A batch above the
+    With the batch's keys on every executor the taken ones are only scanned, not shuffled.  A batch above the
     bound is matched by shuffle.
     """
-    asked = batch.where(~is_blank(F.col("idempotency_key"))).select(
-        project_id(F.col("project_id")).alias("project_id"), F.sha2("idempotency_key", 256).alias("key_hash")
-    )
     if asked.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
         return taken
     return taken.join(F.broadcast(asked.distinct()), ["project_id", "key_hash"], "left_semi")

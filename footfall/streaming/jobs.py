@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall.operators.ordered_fold import SMALL_RUN
 from footfall.plans.fixtures import view, view_over
 from footfall.schemas import EVENTS
 from footfall.session import scratch_path
 from footfall.streaming import counters, folds, in_order, ingest, trends
+from footfall.streaming.counter_store import CounterStore
+from footfall.streaming.key_index import KeyIndex
 from footfall.streaming.ledger import read_ledger
 
 
@@ -88,6 +90,47 @@ def ban_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bans.select("ip", "first_failure_at", "banned_from", "banned_until")
 
 
+def gate_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in micro-batches; devices are banned and let in between them."""
+    path = scratch_path(spark, "stream-gate")
+    requests = view(spark, sf_dir, "v_event_items").select("batch_id", "item_no", "project_id", "api_key", "device_id", "user_id", "request_ms", "received_at")
+    landed_in_slices(requests, "received_at", f"{path}/requests", 7200, clock=False)
+    stream = _slices(spark, f"{path}/requests", requests)
+    ingest.gate_as_of_stream(stream, lambda session: view(session, sf_dir, "v_device_history"), f"{path}/ledger", f"{path}/checkpoint", once=True).awaitTermination()
+    return read_ledger(spark, f"{path}/ledger", T.StructType(requests.schema.fields + [T.StructField("reason", T.StringType())]))
+
+
+def key_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that a stream of items has taken, from their index."""
+    path = scratch_path(spark, "stream-keys")
+    items = view(spark, sf_dir, "v_event_items")
+    landed_in_slices(items, "received_at", f"{path}/items", 7200, clock=False)
+    index = KeyIndex(f"{path}/keys", fan=2)
+    query = ingest.ingest_stream(
+        _slices(spark, f"{path}/items", items), f"{path}/ledger", f"{path}/checkpoint",
+        lambda session: view(session, sf_dir, "v_known_keys"), once=True, index=index,
+    )
+    query.awaitTermination()
+    done = read_ledger(spark, f"{path}/ledger", ingest.LEDGER).agg(F.max("batch")).first()[0]
+    return index.keys(spark, (done if done is not None else -1) + 1)
+
+
+def counter_snapshot_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log landed in batches, with snapshots taken on the way."""
+    store = CounterStore(scratch_path(spark, "counter-store"))
+    store.create(spark)
+    changes = view(spark, sf_dir, "v_counter_changes")
+    high = changes.agg(F.max("seq")).first()[0] or 0
+    batches = 2 * SLICES
+    for k in range(batches):
+        low, top = high * k // batches, high * (k + 1) // batches
+        store.append(changes.where((F.col("seq") > low if k else F.lit(True)) & (F.col("seq") <= top)), k)
+        if k in (SLICES - 1, batches - 2):
+            store.compact(spark, k)
+            store.prune(spark, k)
+    return store.state(spark)
+
+
 def event_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "stream-events")
     ingest.ingest_stream(

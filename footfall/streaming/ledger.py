@@ -36,7 +36,13 @@ def open_ledger(spark: SparkSession, path: str, schema: T.StructType) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/query={_NO_QUERY}/batch=-1")
 
 
-def read_ledger(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """All rows, or those of the batches before one."""
-    df = spark.read.schema(_folders(schema)).parquet(path).drop("query")
+def read_ledger(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, queries: bool = False) -> DataFrame:
+    """All rows, or those of the batches before one; with ``queries`` the writing query as well."""
+    df = spark.read.schema(_folders(schema)).parquet(path)
+    df = df if queries else df.drop("query")
     return df if before is None else df.where(F.col("batch") < before)
+
+
+def read_batch(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """What one batch wrote."""
+    return read_ledger(spark, path, schema).where(F.col("batch") == batch_id)
