@@ -6,10 +6,13 @@ in one global order, rare ones first; similar sets then share a word among the
 first n - ceil(4n/5) + 1 of each.  Lines meet at such words, pass a length, a
 position and a bitmap filter, and are verified on their words.
 
-The order comes from counts in hashed buckets, a fixed number of them, so it can
+Equal sets are settled first, by one aggregate; only the first line of each set is joined.  The order
+comes from counts in hashed buckets, a fixed number of them, so it can
 be broadcast; any one order gives exact results.  Words with long posting
-lists are tiled.  Only one earlier match matters, so a task names a few for each line,
-and lines whose few fail while there were more are joined once more in full.
+lists are tiled.  One earlier match is enough for a line, so the rounds go from few candidates to all:
+the nearest line that passes the filters; for lines whose candidate fails, the closest few
+by a wider bitmap; then all that are left.  A round names pairs only for lines still open, and
+meets only at their words.
 """
 
 from __future__ import annotations
@@ -25,18 +28,21 @@ from footfall.llm.arrays import group_numbers, joined_texts, mixed, whole_groups
 from footfall.llm.common import bucket_split, materialize
 from footfall.llm.tiles import tiled
 
-# Lines with fewer words are not removed unless the caller says so; 1 takes all but blank lines.
-MIN_WORDS = 5
+# Lines with fewer words are not removed; 1 takes all but blank lines.
+MIN_WORDS = 1
 # Buckets of the word counts that are broadcast, one byte each.
 COUNT_BUCKETS = 1 << 20
 CHUNK = 1 << 12
 # Lines of one posting list that are compared in a tile.
 POSTING_ROWS = 8192
 TASK_ROWS = 100_000
-# Earlier lines that a task names for a line at first.
-FIRST_TRIES = 1
+# Earlier lines that a task names for a line in the first two rounds.
+FIRST_TRIES, SECOND_TRIES = 1, 4
+# Words of 64 bits of the wide bitmap.
+WIDE = 4
 _KEYS = ["token", "tile_a", "tile_b"]
-_PAIR = "doc long, line int, other_doc long, other_line int, more boolean"
+_PLACE = ["doc", "row", "line"]
+_PAIR = "doc long, row long, line int, other_doc long, other_row long, other_line int, more boolean"
 
 
 def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
@@ -91,17 +97,31 @@ class _Sets:
         self.whole = np.add.reduceat(mixed(self.token), self.first) if len(line) else np.zeros(0, np.uint64)
 
 
-def line_sets(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc, line, n, bits, whole, prefix) of all lines; a null key counts as the largest.
+def _identified(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with __doc, the key as a long or the largest one if it is null or no whole number, and __row.
 
-    bits has the parity of the words by 6 bits of their hash, whole is a hash of the set.
+    __row tells rows apart that share a key; it is 0 where none do.  Such rows are written once, so that their numbers stay.
+    """
+    tagged = docs.withColumn("__doc", F.coalesce(F.col(f"`{key}`").try_cast("long"), F.lit((1 << 63) - 1)))
+    shared = materialize(tagged.groupBy("__doc").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__doc"), "shared_keys")
+    if shared.isEmpty():
+        return tagged.withColumn("__row", F.lit(0).cast("long"))
+    again = tagged.join(shared, "__doc", "left_semi").withColumn("__row", F.monotonically_increasing_id() + 1)
+    single = tagged.join(shared, "__doc", "left_anti").withColumn("__row", F.lit(0).cast("long"))
+    return single.unionByName(materialize(again, "shared_rows"))
+
+
+def line_sets(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (doc, row, line, n, bits, wide, whole, prefix) of all lines of identified documents.
+
+    bits and wide have the parity of the words by bits of their hash, whole is a hash of the set.
     Sets of up to three words resemble equal ones only, so they need no prefix.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, names = [t or b"" for t in batch["text"]], batch["doc"].to_numpy()
+            texts, names, rows = [t or b"" for t in batch["text"]], batch["doc"].to_numpy(), batch["row"].to_numpy()
             for lo, hi, data in joined_texts(texts):
                 sets = _Sets(data, ranks.value, min_words)
                 if not len(sets.line):
@@ -109,105 +129,103 @@ def line_sets(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS)
                 base = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts[lo:hi]])
                 owner = np.searchsorted(base, sets.line, "right") - 1
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (sets.token >> np.uint64(58)), sets.first)
+                place = (sets.token >> np.uint64(40)) & np.uint64(64 * WIDE - 1)
+                wide = np.zeros((len(sets.first), WIDE), dtype=np.uint64)
+                for k in range(WIDE):
+                    here = np.where(place >> np.uint64(6) == k, np.uint64(1) << (place & np.uint64(63)), np.uint64(0))
+                    wide[:, k] = np.bitwise_xor.reduceat(here, sets.first)
                 length = np.where(sets.n > 3, sets.n - (4 * sets.n + 4) // 5 + 1, 0)
                 signed = sets.token.view(np.int64)
                 yield pd.DataFrame({
-                    "doc": names[lo + owner], "line": (sets.line - base[owner]).astype(np.int32), "n": sets.n.astype(np.int32), "bits": bits.view(np.int64),
-                    "whole": sets.whole.view(np.int64), "prefix": [signed[a : a + p] for a, p in zip(sets.first.tolist(), length.tolist())],
+                    "doc": names[lo + owner], "row": rows[lo + owner], "line": (sets.line - base[owner]).astype(np.int32), "n": sets.n.astype(np.int32),
+                    "bits": bits.view(np.int64), "wide": [w.tobytes() for w in wide], "whole": sets.whole.view(np.int64),
+                    "prefix": [signed[a : a + p] for a, p in zip(sets.first.tolist(), length.tolist())],
                 })
 
-    slim = docs.select(_doc(key).alias("doc"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return slim.mapInPandas(build, "doc long, line int, n int, bits long, whole long, prefix array<long>")
-
+    slim = docs.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
+    return slim.mapInPandas(build, "doc long, row long, line int, n int, bits long, wide binary, whole long, prefix array<long>")
 
-def _doc(key: str):
-    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1))
 
+def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
+    """Earlier lines that may match, for the lines of whole posting lists; at most so many for each, the closest ones.
 
-def _named(frame: pd.DataFrame, full: bool) -> pd.DataFrame:
-    """Earlier lines that may match, for the lines of whole posting lists.
-
-    Lists are sorted by document and line.  With ``full`` all are named, for the
-    rows marked ``seek``; else FIRST_TRIES at most, and lines that look alike are compared
-    by their first only.
+    Lists are sorted by place.  The first round takes the nearest line before that passes the narrow
+    bitmap; later ones look at all, for the rows marked ``seek``, by the wide bitmap.  ``more`` marks
+    lines with candidates that were not named.
     """
     group = group_numbers(frame, _KEYS)
     several = np.bincount(group)[group] > 1
     frame, group = frame[several], group[several]
+    later = "seek" in frame
     n, pos, part = (frame[c].to_numpy().astype(np.int64) for c in ("n", "pos", "part"))
-    bits = frame["bits"].to_numpy().view(np.uint64)
-    mixed_tiles = frame["tile_a"].to_numpy() != frame["tile_b"].to_numpy()
-    doc, line = frame["doc"].to_numpy(), frame["line"].to_numpy()
-    rows = np.arange(len(frame))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    more = np.zeros(len(frame), dtype=bool)
-    if full:
-        active, later = rows, frame["seek"].to_numpy()
+    if later:
+        bits = np.frombuffer(b"".join(frame["wide"]), dtype=np.uint64).reshape(len(frame), WIDE)
     else:
-        looks = mixed(mixed(mixed(group.astype(np.uint64)) + bits) + (n << 32 | pos << 8 | np.where(mixed_tiles, part, 0)).astype(np.uint64))
-        _, first, inverse = np.unique(looks, return_index=True, return_inverse=True)
-        leader, first = first[inverse], np.sort(first)
-        copies = rows[(leader != rows) & ~mixed_tiles]
-        found.append((copies, leader[copies]))
-        more[copies] = True
-        more[leader[copies]] = True
-        active, later = first, np.ones(len(frame), dtype=bool)
-    rank = np.arange(len(active))
-    start = np.zeros(len(active), dtype=np.int64)
-    if len(active):
-        opens = np.flatnonzero(np.diff(group[active], prepend=-1))
-        start = np.repeat(opens, np.diff(np.append(opens, len(active))))
-    tries = np.zeros(len(active), dtype=np.int64)
-    crowded = more.copy()
-    index, step = rank[later[active]], 1
+        bits = frame["bits"].to_numpy().view(np.uint64).reshape(len(frame), 1)
+    mixed_tiles = frame["tile_a"].to_numpy() != frame["tile_b"].to_numpy()
+    start = np.zeros(len(frame), dtype=np.int64)
+    if len(frame):
+        opens = np.flatnonzero(np.diff(group, prepend=-1))
+        start = np.repeat(opens, np.diff(np.append(opens, len(frame))))
+    index, step = np.flatnonzero(frame["seek"].to_numpy()) if later else np.arange(len(frame)), 1
+    count, more = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while True:
         index = index[index - step >= start[index]]
         if not len(index):
             break
-        a, b = active[index], active[index - step]
+        a, b = index, index - step
         need = -(-4 * (n[a] + n[b]) // 9)
-        ok = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= need
-        ok &= np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * need
+        ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
         ok &= ~mixed_tiles[a] | (part[a] != part[b])
-        ok &= (doc[a] != doc[b]) | (line[a] != line[b])
-        found.append((a[ok], b[ok]))
-        if not full:
-            more[a[ok]] |= crowded[b[ok]]
-            tries[index[ok]] += 1
-            ended = tries[index] >= FIRST_TRIES
-            more[active[index[ended]]] = True
+        a, b, need = a[ok], b[ok], need[ok]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1).astype(np.int64)
+        ok = apart <= n[a] + n[b] - 2 * need
+        a, b, apart = a[ok], b[ok], apart[ok]
+        found.append((a, b, apart))
+        count[a] += 1
+        if not later:
+            # What stands before the first try was not looked at.
+            ended = count[index] >= tries
+            more[index[ended]] |= index[ended] - step > start[index[ended]]
             index = index[~ended]
         step += 1
-    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 2
-    # Rows that repeat a key share a place.
-    apart = (doc[a] != doc[b]) | (line[a] != line[b])
-    a, b = a[apart], b[apart]
-    return pd.DataFrame({"doc": doc[a], "line": line[a], "other_doc": doc[b], "other_line": line[b], "more": more[a]})
-
-
-def _candidates(sets: DataFrame, seek: DataFrame | None = None) -> DataFrame:
-    """Pairs of lines that pass the filters; all of them for the lines in ``seek``, else a few for each."""
-    extra = []
+    a, b, apart = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+    if later and tries is not None:
+        order = np.lexsort((apart, a))
+        a, b = a[order], b[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        more[a[rank >= tries]] = True
+        a, b = a[rank < tries], b[rank < tries]
+    columns = {c: frame[c].to_numpy() for c in _PLACE}
+    return pd.DataFrame({c: columns[c][a] for c in _PLACE} | {f"other_{c}": columns[c][b] for c in _PLACE} | {"more": more[a]})
+
+
+def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = None) -> DataFrame:
+    """Pairs of lines that pass the filters, for the lines in ``seek`` or for all."""
+    extra = ["bits"]
+    if seek is not None:
+        marked = sets.join(seek.withColumn("seek", F.lit(True)), _PLACE, "left")
+        sets, extra = marked.withColumn("seek", F.coalesce("seek", F.lit(False))), ["wide", "seek"]
+    rows = sets.select(*_PLACE, "n", *extra, F.posexplode("prefix").alias("pos", "token"))
     if seek is not None:
-        wanted = seek.select(F.col("doc").alias("__doc"), F.col("line").alias("__line"), F.lit(True).alias("seek"))
-        sets = sets.join(wanted, (F.col("doc") == F.col("__doc")) & (F.col("line") == F.col("__line")), "left").drop("__doc", "__line")
-        sets, extra = sets.withColumn("seek", F.coalesce("seek", F.lit(False))), ["seek"]
-    rows = sets.select("doc", "line", "n", "bits", *extra, F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.withColumn("bucket", F.col("token").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int"))
-    rows = tiled(rows, ["bucket"], "doc", POSTING_ROWS).drop("bucket")
-    full = seek is not None
+        # Lists without a line that is still open are of no use.
+        asked = materialize(rows.where("seek").select("token").distinct(), "open_words")
+        rows = rows.join(asked, "token", "left_semi")
+    rows = rows.withColumn("bucket", F.col("token").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int")).withColumn("spread", F.xxhash64(*_PLACE))
+    rows = tiled(rows, ["bucket"], "spread", POSTING_ROWS).drop("bucket", "spread")
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, _KEYS, TASK_ROWS):
-            yield _named(frame, full)
+            yield _named(frame, tries)
 
-    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "doc", "line").mapInPandas(name, _PAIR).distinct()
+    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, *_PLACE).mapInPandas(name, _PAIR).distinct()
 
 
-def _words_of_lines(docs: DataFrame, key: str, text: str, lines: DataFrame) -> DataFrame:
-    """Rows (doc, line, words) of the given lines."""
-    wanted = lines.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    slim = docs.select(_doc(key).alias("doc"), F.col(f"`{text}`").cast("binary").alias("text"))
+def _texts_of_lines(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
+    """Rows (doc, row, line, words) of the given lines."""
+    wanted = lines.groupBy("doc", "row").agg(F.collect_set("line").alias("wanted"))
+    slim = docs.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
     near, _ = bucket_split(slim, "doc", lines.select("doc").distinct())
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,77 +234,90 @@ def _words_of_lines(docs: DataFrame, key: str, text: str, lines: DataFrame) -> D
                 rows = []
                 for row in batch.iloc[start : start + 256].itertuples(index=False):
                     split = (row.text or b"").split(b"\n")
-                    rows += [(row.doc, i, list(set(split[i].split()))) for i in row.wanted if i < len(split)]
-                yield pd.DataFrame(rows, columns=["doc", "line", "words"])
+                    rows += [(row.doc, row.row, i, split[i]) for i in row.wanted]
+                yield pd.DataFrame(rows, columns=[*_PLACE, "words"])
 
-    picked = near.join(wanted, "doc").select("doc", "text", "wanted").mapInPandas(pick, "doc long, line int, words array<binary>")
+    picked = near.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInPandas(pick, "doc long, row long, line int, words binary")
     return materialize(picked, "words")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (doc, line) of the lines that have a similar line among their pairs."""
-    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))).distinct()
-    words = _words_of_lines(docs, key, text, materialize(ends, "ends"))
-    other = words.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
-    both = pairs.select("doc", "line", "other_doc", "other_line").join(words, ["doc", "line"]).join(other, ["other_doc", "other_line"])
-    shared = F.size(F.array_intersect("words", "other_words"))
-    alike = 5 * shared >= 4 * (F.size("words") + F.size("other_words") - shared)
-    return materialize(both.where(alike).select("doc", "line").distinct(), "verified")
-
-
-def equal_lines(sets: DataFrame) -> DataFrame:
-    """Rows (doc, line) of the lines whose word set an earlier line has, told by 128 bits and the size."""
-    place = F.struct("doc", "line")
-    first = sets.groupBy("whole", "bits", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    return sets.select("doc", "line", "whole", "bits", "n").join(first, ["whole", "bits", "n"]).where(place != F.col("first")).select("doc", "line")
-
-
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc, line, whole) of the lines to remove."""
-    sets = materialize(line_sets(docs, key, text, min_words), "line_sets")
-    equal = materialize(equal_lines(sets).distinct(), "equal_lines")
-    pairs = materialize(_candidates(sets).join(equal, ["doc", "line"], "left_anti"), "line_pairs")
-    removed = equal.unionByName(_verified(pairs, docs, key, text))
-    open_ = pairs.where("more").select("doc", "line").distinct().join(removed, ["doc", "line"], "left_anti")
-    open_ = materialize(open_, "open_lines")
-    if not open_.isEmpty():
-        tried = pairs.select("doc", "line", "other_doc", "other_line")
-        again = materialize(_candidates(sets, open_).join(tried, tried.columns, "left_anti"), "line_pairs")
-        removed = removed.unionByName(_verified(again, docs, key, text))
-    return removed.join(sets.select("doc", "line", "whole"), ["doc", "line"]).distinct()
+@pandas_udf(T.BooleanType())
+def _alike(lines: pd.Series, others: pd.Series) -> pd.Series:
+    """Jaccard similarity of 4/5 or more of the words of two lines."""
+    out = []
+    for line, other in zip(lines, others):
+        a, b = set(line.split()), set(other.split())
+        shared = len(a & b)
+        out.append(5 * shared >= 4 * (len(a) + len(b) - shared))
+    return pd.Series(out, dtype=bool)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Rows (doc, row, line) of the lines that have a similar line among their pairs."""
+    other = [f"other_{c}" for c in _PLACE]
+    ends = pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(o).alias(c) for o, c in zip(other, _PLACE)])).distinct()
+    words = _texts_of_lines(docs, text, materialize(ends, "ends"))
+    others = words.select(*[F.col(c).alias(o) for o, c in zip(other, _PLACE)], F.col("words").alias("other_words"))
+    both = pairs.select(*_PLACE, *other).join(words, _PLACE).join(others, other)
+    return materialize(both.where(_alike("words", "other_words")).select(*_PLACE).distinct(), "verified")
+
+
+def _first_lines(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``head``, true for the first line of each set; equal sets are told by 128 bits and the size."""
+    place = F.struct(*_PLACE)
+    several = sets.groupBy("whole", "bits", "n").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    # Written before it is joined, so that a hot set's partition can be split.
+    met = sets.join(materialize(several, "equal_sets"), ["whole", "bits", "n"], "left")
+    return met.withColumn("head", F.coalesce(place == F.col("least"), F.lit(True))).drop("least", "whole")
+
+
+def removed_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (doc, row, line) of the lines of identified documents to remove."""
+    sets = materialize(_first_lines(materialize(line_sets(docs, text, min_words), "line_sets")), "first_lines")
+    removed = sets.where("not head").select(*_PLACE)
+    heads = sets.where("head and size(prefix) > 0")
+    pairs = materialize(_candidates(heads, FIRST_TRIES), "line_pairs")
+    other = [f"other_{c}" for c in _PLACE]
+    tried, done = pairs.drop("more"), _verified(pairs, docs, text)
+    for tries in (SECOND_TRIES, None):
+        open_ = pairs.where("more").select(*_PLACE).distinct().join(done, _PLACE, "left_anti")
+        open_ = materialize(open_, "open_lines")
+        if open_.isEmpty():
+            break
+        pairs = materialize(_candidates(heads, tries, open_), "line_pairs")
+        again = materialize(pairs.join(tried, [*_PLACE, *other], "left_anti"), "new_pairs")
+        tried = tried.unionByName(again.drop("more"))
+        done = done.unionByName(_verified(again, docs, text))
+    return removed.unionByName(done)
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later similar lines cut out of the text, and __n_lines, __removed.
 
     Lines are what stands between line feeds; the others keep their order.  Lines of
-    fewer than ``min_words`` words and blank ones stay.  A null text stays null and has no lines.  Rows that repeat a key share a place:
-    they are not compared at equal line numbers and lose a line only if it is the
-    same.  A null key counts as the largest.  Other columns stay, but for names
+    fewer than ``min_words`` words and blank ones stay.  A null text stays null and has no lines.  A key that is null or
+    no whole number counts as the largest.  Every row is a document of its own: of rows that share a key, equal ones
+    included, one comes first, the same for all their lines.  Other columns stay, but for names
     that begin with two underscores.
     """
-    gone = removed_lines(docs, key, text, min_words).groupBy("doc").agg(F.collect_list(F.struct("line", "whole")).alias("__gone"))
-    gone = materialize(gone.withColumnRenamed("doc", "__doc"), "gone")
-    near, far = bucket_split(docs.withColumn("__doc", _doc(key)), "__doc", gone)
+    named = _identified(docs, key)
+    gone = removed_lines(named, text, min_words).groupBy("doc", "row").agg(F.collect_set("line").alias("__gone"))
+    gone = materialize(gone.withColumnsRenamed({"doc": "__doc", "row": "__row"}), "gone")
+    near, far = bucket_split(named, "__doc", gone)
 
-    @pandas_udf(T.StructType([T.StructField("text", T.BinaryType()), T.StructField("removed", T.ArrayType(T.IntegerType()))]))
-    def cut(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    @pandas_udf(T.BinaryType())
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
-        for data, rows in zip(texts, gone):
-            if data is None or rows is None:
-                out.append((data, []))
-                continue
-            sets = _Sets(data, min_words=min_words)
-            own = dict(zip(sets.line.tolist(), sets.whole.view(np.int64).tolist()))
-            numbers = sorted({r["line"] for r in rows if own.get(r["line"]) == r["whole"]})
-            skip = set(numbers)
-            out.append((b"\n".join(x for i, x in enumerate(data.split(b"\n")) if i not in skip), numbers))
-        return pd.DataFrame(out, columns=["text", "removed"])
-
-    names = docs.columns
+        for data, lines in zip(texts, gone):
+            if data is not None and lines is not None:
+                skip = set(lines)
+                data = b"\n".join(x for i, x in enumerate(data.split(b"\n")) if i not in skip)
+            out.append(data)
+        return pd.Series(out, dtype="object")
+
     lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.split(F.col(f"`{text}`"), "\n", -1))).alias("__n_lines")
-    near = near.join(gone, "__doc", "left").withColumn("__cut", cut(F.col(f"`{text}`").cast("binary"), F.col("__gone")))
-    cleaned = [F.col("__cut.text").cast("string").alias(text) if c == text else F.col(f"`{c}`") for c in names]
-    near = near.select(*cleaned, lines, F.col("__cut.removed").alias("__removed"))
-    far = far.select(*[F.col(f"`{c}`") for c in names], lines, F.array().cast("array<int>").alias("__removed"))
+    near = near.join(gone, ["__doc", "__row"], "left").withColumn("__cut", cut(F.col(f"`{text}`").cast("binary"), F.col("__gone")))
+    cleaned = [F.col("__cut").cast("string").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    near = near.select(*cleaned, lines, F.coalesce(F.array_sort("__gone"), F.array().cast("array<int>")).alias("__removed"))
+    far = far.select(*[F.col(f"`{c}`") for c in docs.columns], lines, F.array().cast("array<int>").alias("__removed"))
     return far.unionByName(near)

@@ -66,7 +66,7 @@ def similar_lines(docs):
         out[i] = []
         for k, line in enumerate((docs[i] or "").split("\n")):
             w = words(line)
-            if len(w) < 5:
+            if not w:
                 continue
             s = frozenset(w)
             if any(5 * len(s & o) >= 4 * len(s | o) for o in seen):

@@ -129,6 +129,23 @@ def test_lines_edges(spark):
     rows = [(1, "one two three four five"), (1, "one two three four five"), (None, "one two three four five"), (2, "one two three four five\nx")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(repr, ((r.doc_id, r.text) for r in line_dedup.without_repeated_lines(frame).collect()))) == sorted(
-        map(repr, [rows[0], rows[1], (None, ""), (2, "x")])
+        map(repr, [rows[0], (1, ""), (None, ""), (2, "x")])
     )
     assert line_dedup.without_repeated_lines(frame.limit(0)).count() == 0
+    rows = [(None, "a b c\nq"), (None, "a b c\nr"), (None, "a b c\nq"), (None, None), (7, "x\ny"), (7, "x\nz"), (7, "x\nz")]
+    left = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lines = [x for r in left for x in (r.text or "").split("\n") if x]
+    assert sorted(lines) == ["a b c", "q", "r", "x", "y", "z"] and len(left) == 7
+    named = spark.createDataFrame([("k1", "a b"), ("k2", "b a"), ("5", "a a b")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.text) for r in line_dedup.without_repeated_lines(named).collect())[0] == ("5", "a a b")
+
+
+def test_families_of_lines_below_the_threshold_are_decided_by_all_pairs(spark, monkeypatch):
+    """Lines that resemble many others just not enough go through all rounds."""
+    monkeypatch.setattr(line_dedup, "SECOND_TRIES", 1)
+    rnd = random.Random(6)
+    stem = [f"s{i}" for i in range(26)]
+    docs = {i: " ".join(rnd.sample(stem, rnd.choice([22, 23, 24])) + [f"t{rnd.randrange(60)}" for _ in range(2)]) for i in range(150)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    out = {r.doc_id: list(r["__removed"]) for r in line_dedup.without_repeated_lines(frame).collect()}
+    assert out == similar_lines(docs) and 10 < sum(map(len, out.values())) < 140
