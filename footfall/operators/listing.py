@@ -43,6 +43,29 @@ def page_of(df: DataFrame, page: Page | None, time_column: str, id_column: str,
     return rows.limit(page.size).withColumn("total", total.scalar())
 
 
+def page_by_day(df: DataFrame, page: Page, time_column: str, id_column: str, columns: list[str]) -> DataFrame:
+    """The page and the total of ``page_of``, sorting only the days that the page covers.
+
+    One job counts the filtered rows per day, a row for each day of the range, and the counts say
+    where the page begins and what the total is.  The page itself reads those days alone (their folders, if the table
+    has a date partition) and is a top-k inside them, however deep it is.
+    """
+    day = F.to_date(time_column)
+    counts = sorted(((r.day, r.n) for r in df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")).collect() if r.day), reverse=True)
+    total = sum(n for _, n in counts)
+    before, skipped, days = 0, 0, []
+    for at, n in counts:
+        if before + n > page.offset and before < page.offset + page.size:
+            skipped = skipped if days else page.offset - before
+            days.append(at)
+        before += n
+    rows = df.where(day.between(F.lit(min(days)), F.lit(max(days)))) if days else df.where(F.lit(False))
+    if "dt" in df.columns and days:
+        rows = rows.where(F.col("dt").between(F.lit(min(days)), F.lit(max(days))))
+    top = rows.select(*columns).orderBy(F.desc(time_column), F.asc(id_column))
+    return top.offset(skipped).limit(page.size).withColumn("total", F.lit(total).cast("bigint"))
+
+
 def _filtered(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
     for column, value in wanted.items():
         if value is not None:
@@ -52,14 +75,15 @@ def _filtered(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
 
 def list_events(
     events: DataFrame, project_id: str, rng: TimeRange, page: Page | None,
-    event_type: str | None = None, user_id: str | None = None, device_id: str | None = None,
+    event_type: str | None = None, user_id: str | None = None, device_id: str | None = None, by_day: bool = False,
 ) -> DataFrame:
+    """Events of a project; ``by_day`` counts them by day first, for pages deep inside."""
     rows = _filtered(
         in_project(events, project_id, "created_at", rng),
         {"event_type": _text(event_type), "user_id": _text(user_id), "device_id": _uuid(device_id, "device id")},
     )
     columns = ["event_id", "event_type", "event_timestamp", "created_at", "device_id", "user_id", "session_id", "properties"]
-    return page_of(rows, page, "created_at", "event_id", columns)
+    return (page_by_day if by_day and page and not page.after else page_of)(rows, page, "created_at", "event_id", columns)
 
 
 def list_sessions(

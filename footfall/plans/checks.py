@@ -407,6 +407,7 @@ def all_checks() -> dict[str, str]:
             """select event_id, event_type, event_timestamp, created_at, device_id, user_id, session_id, properties, (select count(*) from kept) as total
             from kept where created_at <= timestamp '2024-01-10 00:00:00' order by created_at desc, event_id limit 500""",
         ),
+        "list_events_deep": _listed(["v_events"], {}, "v_events", "event_id, event_type, event_timestamp, created_at, device_id, user_id, session_id, properties", "true", "created_at", "event_id", 2, 1998),
         "list_events_total": _sql(["v_events"], {}, f"select count(*) as total from v_events where project_id = 'demo' and created_at >= {LO} and created_at < {HI} and event_type = 'view'"),
         "list_sessions": _listed(["v_sessions"], {}, "v_sessions", "session_id, device_id, user_id, session_start_time, session_duration_ms, device_model, os_version, app_version, build_number, screen_count, event_count, created_at", "true", "session_start_time", "session_id", 50, 0),
         "list_devices": _listed(["v_devices"], {}, "v_devices", "device_id, api_key, device_model, os_version, app_version, is_banned, ban_reason, created_at, last_active_at", "not is_banned", "created_at", "device_id", 200, 0),
@@ -450,6 +451,7 @@ def all_checks() -> dict[str, str]:
     out["ingest_gate_as_of"] = out["stream_gate"] = _gate_as_of()
     out["stream_dedup_keys"] = _sql(["v_event_items", "v_known_keys"], NEW_EVENTS, "select project_id, key_hash from fresh where key_hash is not null")
     out["counter_snapshot"] = out["counter_state"]
+    out["stream_visitors"] = out["traffic_trends_day"]
     out["stream_privacy_dedup"] = _privacy_dedup(with_changes=True)
     out["stream_ban_windows"] = out["ban_windows"]
     out["stream_counters"] = out["counter_increments"]

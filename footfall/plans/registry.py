@@ -131,6 +131,11 @@ def _(spark, sf):
     return listing.list_events(view(spark, sf, "v_events"), PROJECT, MONTH, resolve_page(size=500, cap=None, after=("2024-01-10 00:00:00", "")), event_type="view")
 
 
+@query("list_events_deep")
+def _(spark, sf):
+    return listing.list_events(view(spark, sf, "v_events"), PROJECT, MONTH, resolve_page(1000, 2), by_day=True)
+
+
 @query("list_events_total")
 def _(spark, sf):
     return listing.list_events(view(spark, sf, "v_events"), PROJECT, MONTH, None, event_type="view")
@@ -328,6 +333,11 @@ def _(spark, sf):
     return jobs.key_stream_result(spark, sf)
 
 
+@query("stream_visitors")
+def _(spark, sf):
+    return jobs.visitor_stream_result(spark, sf, PROJECT, MONTH)
+
+
 @query("counter_snapshot")
 def _(spark, sf):
     return jobs.counter_snapshot_result(spark, sf).drop("event_trigger", "description", "created_at")

@@ -11,8 +11,9 @@ from footfall.functions.text import is_blank, project_id
 from footfall.operators.events import as_events, ingest_events
 from footfall.operators.gate import admitted, gate_as_of
 from footfall.schemas import EVENTS
-from footfall.streaming.key_index import KeyIndex
+from footfall.streaming.key_index import key_index
 from footfall.streaming.ledger import open_ledger, read_batch, write_batch
+from footfall.streaming.runs import Runs
 
 #: A micro-batch with more keys than this is not broadcast.
 BROADCAST_KEYS = 200_000
@@ -59,7 +60,7 @@ def gate_as_of_stream(
 
 def ingest_stream(
     items: DataFrame, path: str, checkpoint: str, known_keys: Callable[[SparkSession], DataFrame] | None = None,
-    once: bool = False, index: KeyIndex | None = None,
+    once: bool = False, index: Runs | None = None,
 ) -> StreamingQuery:
     """Write accepted events batch by batch; a key is taken once, for good.
 
@@ -68,7 +69,7 @@ def ingest_stream(
     loads keys taken elsewhere; it is called for every batch.
     """
     spark = items.sparkSession
-    index = index or KeyIndex(f"{path.rstrip('/')}-keys")
+    index = index or key_index(f"{path.rstrip('/')}-keys")
     open_ledger(spark, path, LEDGER)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -76,7 +77,7 @@ def ingest_stream(
         batch.persist()
         try:
             asked = _asked(batch)
-            taken = index.taken(session, asked, batch_id)
+            taken = index.rows(session, batch_id, asked)
             if known_keys is not None:
                 taken = taken.unionByName(known_keys(session).select("project_id", "key_hash"))
             accepted = ingest_events(batch, _relevant(taken, asked)).accepted

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall.operators.ordered_fold import SMALL_RUN
 from footfall.plans.fixtures import view, view_over
+from footfall.ranges import TimeRange
 from footfall.schemas import EVENTS
 from footfall.session import scratch_path
-from footfall.streaming import counters, folds, in_order, ingest, trends
+from footfall.streaming import counters, folds, in_order, ingest, trends, visitors
 from footfall.streaming.counter_store import CounterStore
-from footfall.streaming.key_index import KeyIndex
+from footfall.streaming.key_index import key_index
 from footfall.streaming.ledger import read_ledger
 
 
@@ -105,14 +106,26 @@ def key_stream_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "stream-keys")
     items = view(spark, sf_dir, "v_event_items")
     landed_in_slices(items, "received_at", f"{path}/items", 7200, clock=False)
-    index = KeyIndex(f"{path}/keys", fan=2)
+    index = key_index(f"{path}/keys", fan=2)
     query = ingest.ingest_stream(
         _slices(spark, f"{path}/items", items), f"{path}/ledger", f"{path}/checkpoint",
         lambda session: view(session, sf_dir, "v_known_keys"), once=True, index=index,
     )
     query.awaitTermination()
     done = read_ledger(spark, f"{path}/ledger", ingest.LEDGER).agg(F.max("batch")).first()[0]
-    return index.keys(spark, (done if done is not None else -1) + 1)
+    return index.rows(spark, (done if done is not None else -1) + 1)
+
+
+def visitor_stream_result(spark: SparkSession, sf_dir: str, project_id: str, rng: TimeRange) -> DataFrame:
+    """Page views and visitors by day, from metrics that arrive out of order."""
+    path = scratch_path(spark, "stream-visitors")
+    metrics = view(spark, sf_dir, "v_traffic")
+    landed_in_slices(metrics, "created_at", f"{path}/metrics", 7 * 86400, clock=False)
+    sets = visitors.visitor_sets(f"{path}/sets", fan=2)
+    query = visitors.visitor_stream(_slices(spark, f"{path}/metrics", metrics), sets, f"{path}/checkpoint", once=True)
+    query.awaitTermination()
+    done = query.lastProgress.batchId + 1 if query.lastProgress else 0
+    return visitors.traffic_of(spark, sets, done, project_id, rng)
 
 
 def counter_snapshot_result(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,87 +1,13 @@
-"""Idempotency keys of a stream, kept so that a batch opens a bounded part of them.
-
-Every batch leaves one run of its new keys.  Whenever ``fan`` runs of a level are full they are merged
-into one run of the next level, so a batch meets at most (fan - 1) runs per level and a key is
-rewritten once per level.  Which runs hold the keys of the batches before one follows from its
-number alone: a repeated batch reads the same runs and overwrites its own.
-
-A run has a folder per leading hash digits, so only the digits that a batch asks for are opened; inside,
-files are cut and sorted by hash and carry Bloom filters.
-"""
+"""Idempotency keys that a stream has taken."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
 from footfall.schemas import struct
-from footfall.sources.files import remove
+from footfall.streaming.runs import DIGITS, FAN, Runs
 
-FAN = 8
-DIGITS = 1
-ROWS_PER_FILE = 2_000_000
 KEYS = struct("project_id string, key_hash string")
-_STORED = struct("project_id string, key_hash string, prefix string")
-
-
-@dataclass(frozen=True)
-class KeyIndex:
-    path: str
-    fan: int = FAN
-    digits: int = DIGITS
-
-    def _run(self, level: int, end: int) -> str:
-        return f"{self.path}/level={level}/end={end}"
-
-    def runs_before(self, batch: int) -> list[tuple[int, int]]:
-        """(level, end) of the runs that hold the keys of all batches before one: its digits to the base ``fan``."""
-        level, out, end = 0, [], 0
-        while self.fan ** (level + 1) <= batch:
-            level += 1
-        for k in range(level, -1, -1):
-            size = self.fan**k
-            while end + size <= batch:
-                end += size
-                out.append((k, end))
-        return out
-
-    def _read(self, spark: SparkSession, runs: list[tuple[int, int]]) -> DataFrame:
-        if not runs:
-            return spark.createDataFrame([], _STORED)
-        return spark.read.schema(_STORED).option("basePath", self.path).parquet(*[self._run(*r) for r in runs]).select(*_STORED.fieldNames())
-
-    def _write(self, keys: DataFrame, path: str) -> None:
-        keys = keys.withColumn("prefix", F.substring("key_hash", 1, self.digits))
-        files = -(-keys.count() // ROWS_PER_FILE)
-        ordered = keys.repartitionByRange(max(1, files), "prefix", "key_hash").sortWithinPartitions("prefix", "key_hash", "project_id")
-        ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#key_hash", "true").partitionBy("prefix").parquet(path)
-
-    def taken(self, spark: SparkSession, asked: DataFrame, batch: int) -> DataFrame:
-        """Keys of the batches before one, in the folders that the ``asked`` keys can be in."""
-        digits = [r[0] for r in asked.select(F.substring("key_hash", 1, self.digits)).distinct().collect()]
-        return self._read(spark, self.runs_before(batch)).where(F.col("prefix").isin(digits)).drop("prefix")
-
-    def add(self, keys: DataFrame, batch: int) -> None:
-        """Store the new keys of a batch and merge what is full; ``keys`` is distinct and new."""
-        spark, end = keys.sparkSession, batch + 1
-        self._write(keys.select(*KEYS.fieldNames()), self._run(0, end))
-        level = 1
-        while end % self.fan**level == 0:
-            size = self.fan ** (level - 1)
-            parts = [(level - 1, end - k * size) for k in range(self.fan - 1, -1, -1)]
-            self._write(self._read(spark, parts).drop("prefix"), self._run(level, end))
-            level += 1
 
-    def prune(self, spark: SparkSession, batch: int) -> None:
-        """Delete the runs that were merged in the batch before this one; it has been committed, so nothing reads them again."""
-        level = 1
-        while batch and batch % self.fan**level == 0:
-            size = self.fan ** (level - 1)
-            for k in range(self.fan):
-                remove(spark, self._run(level - 1, batch - k * size))
-            level += 1
 
-    def keys(self, spark: SparkSession, batch: int) -> DataFrame:
-        """All keys of the batches before one."""
-        return self._read(spark, self.runs_before(batch)).drop("prefix")
+def key_index(path: str, fan: int = FAN, digits: int = DIGITS) -> Runs:
+    """The keys of every batch, each once: a batch adds distinct keys that no earlier one has."""
+    return Runs(path, KEYS, "key_hash", fan=fan, digits=digits)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from footfall.operators import counters, gate
 from footfall.streaming import ingest
 from footfall.streaming.counter_store import CounterStore
-from footfall.streaming.key_index import KeyIndex
+from footfall.streaming.key_index import key_index
 from footfall.streaming.ledger import read_ledger
 
 T0 = datetime(2024, 1, 1)
@@ -18,13 +18,13 @@ KEYS = "project_id string, key_hash string"
 
 @pytest.mark.parametrize("fan", [2, 3, 8])
 def test_runs_cover_every_earlier_batch_once(fan):
-    index, most = KeyIndex("x", fan), 0
+    index, most = key_index("x", fan), 0
     for batch in range(2000):
         runs = index.runs_before(batch)
         covered = [b for level, end in runs for b in range(end - fan**level, end)]
         assert covered == list(range(batch))
         most = max(most, len(runs))
-    levels = len(KeyIndex("x", fan).runs_before(0)) + next(k for k in range(20) if fan**k >= 2000)
+    levels = len(key_index("x", fan).runs_before(0)) + next(k for k in range(20) if fan**k >= 2000)
     assert most <= (fan - 1) * levels
 
 
@@ -43,19 +43,19 @@ def files_opened(df):
 
 
 def test_keys_of_many_batches_open_few_files(spark, tmp_path):
-    rnd, index, model, opened = random.Random(1), KeyIndex(str(tmp_path / "k"), fan=3), {}, []
+    rnd, index, model, opened = random.Random(1), key_index(str(tmp_path / "k"), fan=3), {}, []
     for batch in range(20):
         keys = {("demo", f"{rnd.getrandbits(32):08x}") for _ in range(40)}
         frame = spark.createDataFrame(sorted(keys), KEYS)
         for _ in range(1 + (batch % 5 == 4)):  # a batch may be handed over twice
             asked = spark.createDataFrame([("demo", k) for b in model.values() for _, k in sorted(b)[:2]] + [("demo", "ffffffff")], KEYS)
-            found = {tuple(r) for r in index.taken(spark, asked.where("key_hash like 'a%'"), batch).collect()}
+            found = {tuple(r) for r in index.rows(spark, batch, asked.where("key_hash like 'a%'")).collect()}
             assert found == {k for b in model.values() for k in b if k[1][0] == "a"} or not any(k[1][0] == "a" for b in model.values() for k in sorted(b)[:2])
             index.add(frame, batch)
             index.prune(spark, batch)
         model[batch] = keys
-        opened.append(files_opened(index.taken(spark, spark.createDataFrame([("demo", "a0")], KEYS), batch + 1)))
-    assert {tuple(r) for r in index.keys(spark, 20).collect()} == {k for b in model.values() for k in b}
+        opened.append(files_opened(index.rows(spark, batch + 1, spark.createDataFrame([("demo", "a0")], KEYS))))
+    assert {tuple(r) for r in index.rows(spark, 20).collect()} == {k for b in model.values() for k in b}
     # One file per run and digit, two runs per level at most: never one per batch.
     assert max(opened) <= 2 * 3 and opened[8] == 1
 
@@ -158,3 +158,42 @@ def test_a_replay_with_todays_history_answers_as_then(spark, tmp_path):
     assert replayed == [("a", None), ("b", None), ("c", "device_banned"), ("d", None), ("e", None)]
     first = dict(run("live", history))
     assert {k: first[k] for k in "abe"} == {k: dict(replayed)[k] for k in "abe"} and first["c"] == "device_banned"
+
+
+def test_pages_by_day_are_the_pages(spark):
+    from footfall.operators.listing import page_by_day, page_of
+    from footfall.ranges import resolve_page
+
+    rnd = random.Random(5)
+    rows = [(f"e{i:03d}", T0 + timedelta(hours=rnd.choice([0, 1, 30, 31, 32, 100]), minutes=rnd.randrange(3))) for i in range(90)]
+    frame = spark.createDataFrame(rows, "event_id string, created_at timestamp").withColumn("dt", F.to_date("created_at")).cache()
+    columns = ["event_id", "created_at"]
+    for number, size in ((1, 7), (3, 7), (13, 7), (14, 7), (2, 40), (1, 90), (1, 200)):
+        page = resolve_page(number, size, cap=None)
+        want = page_of(frame, page, "created_at", "event_id", columns).collect()
+        got = page_by_day(frame, page, "created_at", "event_id", columns)
+        assert got.collect() == want, (number, size)
+    plan = page_by_day(frame, resolve_page(3, 7), "created_at", "event_id", columns)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    assert page_by_day(frame.limit(0), resolve_page(1, 5), "created_at", "event_id", columns).count() == 0
+
+
+def test_visitor_sets_merge_for_any_order_of_batches(spark, tmp_path):
+    from footfall.ranges import resolve_range
+    from footfall.streaming import visitors
+
+    rnd = random.Random(7)
+    rows = [("demo", rnd.choice(["page_view", "click"]), T0 + timedelta(hours=rnd.randrange(72)), rnd.choice([None, '{"isBot":true}', '{"isBot":false}']), rnd.choice([None, *[f"d{k}" for k in range(9)]])) for _ in range(300)]
+    schema = "project_id string, metric_type string, created_at timestamp, metadata string, device_id string"
+    human = [r for r in rows if r[3] != '{"isBot":true}']
+    want = [(sum(r[1] == "page_view" for r in some), len({r[4] for r in some} - {None})) for some in ([r for r in human if r[2].day == d] for d in (1, 2, 3))]
+    for name, order in (("a", rows), ("b", rows[::-1])):
+        sets = visitors.visitor_sets(str(tmp_path / name), fan=2)
+        for batch in range(5):
+            part = visitors.devices_of(spark.createDataFrame(order[60 * batch : 60 * batch + 60], schema))
+            for _ in range(1 + batch % 2):
+                sets.add(part, batch)
+                sets.prune(spark, batch)
+        found = visitors.traffic_of(spark, sets, 5, "demo", resolve_range("2024-01-01", "2024-01-03"))
+        assert [(r.page_views, r.visitors) for r in found.collect()] == want
+        assert len(sets.runs_before(5)) == 2
