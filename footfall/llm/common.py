@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from footfall.session import scratch_path
+from footfall.sources.files import remove
 
 # White space between words: blank and the control characters 9 to 13.
 BREAKS = r"[ \t-\r]+"
@@ -28,13 +29,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     files go when the driver's JVM collects the plans that made them; asked to do so here,
     it frees those of a finished step before the next one fills the disks.
     """
+    return step(df, label)[0]
+
+
+def step(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``materialize`` with the folder, for ``release`` once nothing reads the step any more."""
     spark, path, schema = df.sparkSession, scratch_path(df.sparkSession, label), df.schema
     df.write.parquet(path)
     del df
     # The first call finds the plan still held by the thread that ran it.
     for _ in range(2):
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete steps whose successors are written."""
+    for path in paths:
+        remove(spark, path)
 
 
 def _bucket(key: Column) -> Column:

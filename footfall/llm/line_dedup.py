@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from footfall.llm.arrays import group_numbers, joined_texts, mixed, whole_groups, word_hashes
-from footfall.llm.common import bucket_split, materialize
+from footfall.llm.common import bucket_split, materialize, release, step
 from footfall.llm.tiles import tiled
 
 # Lines with fewer words are not removed; 1 takes all but blank lines.
@@ -46,7 +46,10 @@ _PAIR = "doc long, row long, line int, other_doc long, other_row long, other_lin
 
 
 def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
-    """A byte per bucket that grows with the count of the words in it."""
+    """A byte per bucket that grows with the count of the words in it.
+
+    Counts travel as arrays, a row per task and chunk of buckets, and are added chunk by chunk.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(COUNT_BUCKETS, dtype=np.int64)
@@ -54,24 +57,24 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
             for _, _, data in joined_texts([t or b"" for t in batch["text"]]):
                 hashes, _ = word_hashes(data)
                 counts += np.bincount((hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
-        used = np.flatnonzero(counts)
-        yield pd.DataFrame({"bucket": used.astype(np.int32), "n": counts[used]})
-
-    counts = docs.select(F.col(f"`{text}`").cast("binary").alias("text")).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rank = F.least(F.lit(255), F.round(8 * F.log2(F.col("n") + 1))).cast("int")
-    chunks = counts.groupBy(F.floor(F.col("bucket") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct((F.col("bucket") % CHUNK).alias("at"), rank.alias("rank"))).alias("ranks"))
-
-    @pandas_udf(T.BinaryType())
-    def packed(ranks: pd.Series) -> pd.Series:
-        out = []
-        for row in ranks:
-            chunk = np.zeros(CHUNK, dtype=np.uint8)
-            chunk[[r["at"] for r in row]] = [r["rank"] for r in row]
-            out.append(chunk.tobytes())
-        return pd.Series(out)
+        for chunk, some in enumerate(counts.reshape(-1, CHUNK)):
+            used = np.flatnonzero(some)
+            if len(used):
+                yield pd.DataFrame({"chunk": [chunk], "places": [used.astype(np.int32).tobytes()], "counts": [some[used].tobytes()]}).astype({"chunk": "int32"})
 
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, places, counts in zip(batch["chunk"], batch["places"], batch["counts"]):
+                some = sums.setdefault(chunk, np.zeros(CHUNK, dtype=np.int64))
+                some[np.frombuffer(places, dtype=np.int32)] += np.frombuffer(counts, dtype=np.int64)
+        ranks = [np.minimum(255, np.round(8 * np.log2(s + 1))).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pd.DataFrame({"chunk": list(sums), "ranks": ranks}).astype({"chunk": "int32"})
+
+    counted = docs.select(F.col(f"`{text}`").cast("binary").alias("text")).mapInPandas(count, "chunk int, places binary, counts binary")
+    ranked = materialize(counted.repartition("chunk").mapInPandas(rank, "chunk int, ranks binary"), "ranks")
     table = np.zeros(COUNT_BUCKETS, dtype=np.uint8)
-    for row in materialize(chunks.select("chunk", packed("ranks").alias("ranks")), "ranks").toLocalIterator():
+    for row in ranked.toLocalIterator():
         table[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.ranks, dtype=np.uint8)
     return table
 
@@ -222,8 +225,8 @@ def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = Non
     return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, *_PLACE).mapInPandas(name, _PAIR).distinct()
 
 
-def _texts_of_lines(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
-    """Rows (doc, row, line, words) of the given lines."""
+def _texts_of_lines(docs: DataFrame, text: str, lines: DataFrame) -> tuple[DataFrame, str]:
+    """Rows (doc, row, line, words) of the given lines, as a step."""
     wanted = lines.groupBy("doc", "row").agg(F.collect_set("line").alias("wanted"))
     slim = docs.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
     near, _ = bucket_split(slim, "doc", lines.select("doc").distinct())
@@ -238,7 +241,7 @@ def _texts_of_lines(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=[*_PLACE, "words"])
 
     picked = near.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInPandas(pick, "doc long, row long, line int, words binary")
-    return materialize(picked, "words")
+    return step(picked, "words")
 
 
 @pandas_udf(T.BooleanType())
@@ -256,39 +259,52 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Rows (doc, row, line) of the lines that have a similar line among their pairs."""
     other = [f"other_{c}" for c in _PLACE]
     ends = pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(o).alias(c) for o, c in zip(other, _PLACE)])).distinct()
-    words = _texts_of_lines(docs, text, materialize(ends, "ends"))
+    words, path = _texts_of_lines(docs, text, materialize(ends, "ends"))
     others = words.select(*[F.col(c).alias(o) for o, c in zip(other, _PLACE)], F.col("words").alias("other_words"))
     both = pairs.select(*_PLACE, *other).join(words, _PLACE).join(others, other)
-    return materialize(both.where(_alike("words", "other_words")).select(*_PLACE).distinct(), "verified")
+    found = materialize(both.where(_alike("words", "other_words")).select(*_PLACE).distinct(), "verified")
+    release(docs.sparkSession, path)
+    return found
 
 
-def _first_lines(sets: DataFrame) -> DataFrame:
-    """``sets`` with ``head``, true for the first line of each set; equal sets are told by 128 bits and the size."""
-    place = F.struct(*_PLACE)
+def _first_lines(docs: DataFrame, text: str, min_words: int) -> tuple[DataFrame, str]:
+    """Line sets with ``head``, true for the first line of each set, as a step; equal sets are told by 128 bits and the size."""
+    place, spark = F.struct(*_PLACE), docs.sparkSession
+    sets, path = step(line_sets(docs, text, min_words), "line_sets")
     several = sets.groupBy("whole", "bits", "n").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     # Written before it is joined, so that a hot set's partition can be split.
-    met = sets.join(materialize(several, "equal_sets"), ["whole", "bits", "n"], "left")
-    return met.withColumn("head", F.coalesce(place == F.col("least"), F.lit(True))).drop("least", "whole")
+    several, aside = step(several, "equal_sets")
+    met = sets.join(several, ["whole", "bits", "n"], "left")
+    found = step(met.withColumn("head", F.coalesce(place == F.col("least"), F.lit(True))).drop("least", "whole"), "first_lines")
+    release(spark, path, aside)
+    return found
+
+
+def removed_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, list[str]]:
+    """Rows (doc, row, line) of the lines of identified documents to remove, and the steps they are read from."""
+    sets, path = _first_lines(docs, text, min_words)
+    steps = [path]
 
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        out, path = step(df, label)
+        steps.append(path)
+        return out
 
-def removed_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc, row, line) of the lines of identified documents to remove."""
-    sets = materialize(_first_lines(materialize(line_sets(docs, text, min_words), "line_sets")), "first_lines")
     removed = sets.where("not head").select(*_PLACE)
     heads = sets.where("head and size(prefix) > 0")
-    pairs = materialize(_candidates(heads, FIRST_TRIES), "line_pairs")
+    pairs = kept(_candidates(heads, FIRST_TRIES), "line_pairs")
     other = [f"other_{c}" for c in _PLACE]
     tried, done = pairs.drop("more"), _verified(pairs, docs, text)
     for tries in (SECOND_TRIES, None):
         open_ = pairs.where("more").select(*_PLACE).distinct().join(done, _PLACE, "left_anti")
-        open_ = materialize(open_, "open_lines")
+        open_ = kept(open_, "open_lines")
         if open_.isEmpty():
             break
-        pairs = materialize(_candidates(heads, tries, open_), "line_pairs")
-        again = materialize(pairs.join(tried, [*_PLACE, *other], "left_anti"), "new_pairs")
+        pairs = kept(_candidates(heads, tries, open_), "line_pairs")
+        again = kept(pairs.join(tried, [*_PLACE, *other], "left_anti"), "new_pairs")
         tried = tried.unionByName(again.drop("more"))
         done = done.unionByName(_verified(again, docs, text))
-    return removed.unionByName(done)
+    return removed.unionByName(done), steps
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -301,8 +317,10 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     that begin with two underscores.
     """
     named = _identified(docs, key)
-    gone = removed_lines(named, text, min_words).groupBy("doc", "row").agg(F.collect_set("line").alias("__gone"))
+    lines, steps = removed_lines(named, text, min_words)
+    gone = lines.groupBy("doc", "row").agg(F.collect_set("line").alias("__gone"))
     gone = materialize(gone.withColumnsRenamed({"doc": "__doc", "row": "__row"}), "gone")
+    release(docs.sparkSession, *steps)
     near, far = bucket_split(named, "__doc", gone)
 
     @pandas_udf(T.BinaryType())
