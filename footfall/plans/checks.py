@@ -334,6 +334,47 @@ def _privacy_submit() -> str:
     )
 
 
+def _stored_privacy() -> str:
+    """Good requests that no earlier one of the same kind answers, counted."""
+    same = "project_id, user_id, device_id, request_type, processor, contact_email"
+    return _sql(
+        ["v_privacy_items"],
+        {
+            "good": f"select * from ({_privacy_submit()}) s where reason is null and project_id = 'demo'",
+            "n": f"select *, dense_rank() over (order by {same}) as grp, row_number() over (partition by {same} order by requested_at, request_id) as rn from good",
+            "chain": """select grp, rn, request_type, processor, true as stored, requested_at as anchor from n where rn = 1
+                union all select n.grp, n.rn, n.request_type, n.processor, n.requested_at > c.anchor + interval 600 second,
+                case when n.requested_at > c.anchor + interval 600 second then n.requested_at else c.anchor end
+                from chain c join n on n.grp = c.grp and n.rn = c.rn + 1""",
+        },
+        "select request_type, processor, count(*) as requests from chain where stored group by 1, 2",
+    )
+
+
+def _posted_batches() -> str:
+    same = "batch_id, project_id, device_id, user_id"
+    posted = f"""select * replace (concat_ws('|', {same}) as batch_id, max(received_at) over (partition by {same}) as received_at,
+        cast(row_number() over (partition by {same} order by item_no) - 1 as int) as item_no) from v_event_items"""
+    ctes = {"posted": posted} | {k: v.replace("from v_event_items", "from posted") for k, v in NEW_EVENTS.items()}
+    ctes["r"] = "select batch_id, count(*) as received from posted group by 1 union all select null, count(*) from v_event_items where request_ms % 50 = 0 having count(*) > 0"
+    ctes["a"] = "select batch_id, count(*) as accepted from fresh group by 1"
+    return _sql(
+        ["v_event_items", "v_known_keys"], ctes,
+        """select r.batch_id, r.received, coalesce(a.accepted, 0) as accepted, r.received - coalesce(a.accepted, 0) as rejected,
+        coalesce(a.accepted, 0) = 0 as failed from r left join a on a.batch_id = r.batch_id""",
+    )
+
+
+def _refused() -> str:
+    return _sql(
+        ["v_project_reads", "v_projects"],
+        {"asked": "select trim(project_id) as raw, replace(project_id, ' ', '') as project_id from v_project_reads"},
+        """select a.project_id, case when coalesce(a.project_id, '') = '' then 'missing_project_id' when not regexp_matches(a.project_id, '^[a-z0-9_-]{1,50}$') then 'malformed_project_id'
+        when p.project_id is null then 'unknown_project' when not coalesce(p.is_active, false) then 'inactive_project' end as reason, count(*) as reads
+        from asked a left join v_projects p on p.project_id = a.project_id group by 1, 2""",
+    )
+
+
 def _privacy_dedup(with_changes: bool = False) -> str:
     left = """left join (select request_id, min(changed_at) as left_at from v_privacy_changes where status <> 'SUBMITTED' group by 1) l using (request_id)"""
     until = "anchor + interval 600 second" + (" and (left_at is null or n.requested_at < left_at)" if with_changes else "")
@@ -458,6 +499,12 @@ def all_checks() -> dict[str, str]:
     out["pipeline_events"] = f"select event_type, count(*) as events from ({out['ingest_events']}) where project_id = 'demo' group by event_type"
     out["pipeline_sessions"] = f"""select cast(session_start_time as date) as day, count(*) as sessions, cast(sum(event_count) as bigint) as events
         from ({out['session_upsert']}) where project_id = 'demo' group by 1"""
+    out["pipeline_event_batches"], out["pipeline_privacy"], out["pipeline_refused"] = _posted_batches(), _stored_privacy(), _refused()
+    for name, kind in (("pipeline_traffic", "signed"), ("pipeline_public_traffic", "public")):
+        out[name] = f"""select metric_type, count(*) as metrics, count(distinct device_id) as devices from ({out[f'ingest_traffic_{kind}']})
+            where reason is null and project_id = 'demo' group by 1"""
+    out["pipeline_devices"] = f"""select cast(created_at as date) as day, os_version, count(*) as devices from ({out['device_upsert']})
+        where project_id = 'demo' group by 1, 2"""
     out["stream_page_views"] = _sql(
         ["v_traffic"], {},
         f"""select project_id, cast(date_trunc('day', created_at) as timestamp) as bucket, count(*) as page_views from v_traffic

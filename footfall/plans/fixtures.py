@@ -92,6 +92,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         min(received_at) as created_at, max(received_at) as last_active_at
         from v_device_registrations group by project_id, device_id""",
     ),
+    # The registry of projects; the last two have no tables.
+    "v_projects": (
+        ("events",),
+        f"""select project_id, case when project_id = 'demo' then true else false end as is_active from (select distinct {PROJ} as project_id from events) p
+        union all select 'idle', true from (select distinct {PROJ} as project_id from events) p where project_id = 'demo'
+        union all select 'draft', cast(null as boolean) from (select distinct {PROJ} as project_id from events) p where project_id = 'demo'""",
+    ),
+    "v_project_reads": (
+        ("events",),
+        """select event_id, case user_id % 8 when 0 then 'demo' when 1 then ' demo ' when 2 then 'beta' when 3 then 'idle' when 4 then 'draft'
+        when 5 then concat('none-', cast(user_id % 3 as string)) when 6 then 'Not An Id!' else case when event_id % 2 = 0 then '  ' else null end end as project_id from events""",
+    ),
     # Devices over time: registered, banned, let in again, given a new key.
     "v_device_history": (
         ("v_devices",),

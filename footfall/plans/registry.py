@@ -181,6 +181,36 @@ def _(spark, sf):
     return landed.stored_sessions(spark, sf, PROJECT)
 
 
+@query("pipeline_event_batches")
+def _(spark, sf):
+    return landed.event_batch_answers(spark, sf)
+
+
+@query("pipeline_traffic")
+def _(spark, sf):
+    return landed.stored_traffic(spark, sf, PROJECT, False, SALT)
+
+
+@query("pipeline_public_traffic")
+def _(spark, sf):
+    return landed.stored_traffic(spark, sf, PROJECT, True, SALT)
+
+
+@query("pipeline_devices")
+def _(spark, sf):
+    return landed.stored_devices(spark, sf, PROJECT)
+
+
+@query("pipeline_privacy")
+def _(spark, sf):
+    return landed.stored_privacy(spark, sf, PROJECT)
+
+
+@query("pipeline_refused")
+def _(spark, sf):
+    return landed.refused_reads(spark, sf)
+
+
 @query("ingest_event_rejects")
 def _(spark, sf):
     _accepted, rejected = events.ingest_events(view(spark, sf, "v_event_items"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall import schemas
+from footfall.functions.text import project_id as clean_column
 from footfall.ranges import TimeRange, clean_project_id, in_project
 
 _IDENTIFIER = re.compile(r"[a-z0-9_]{1,63}")
@@ -97,6 +98,23 @@ def require_active(projects: DataFrame, project_id: str) -> str:
     return cleaned
 
 
+def project_reason(requests: DataFrame, projects: DataFrame) -> DataFrame:
+    """Requests with the cleaned project id and a ``reason``; null means the project may be read.
+
+    The registry has one row per project and is joined, so a project asked for by most requests is
+    split at run time.
+    """
+    known = projects.groupBy(F.col("project_id").alias("known_id")).agg(F.max(F.coalesce("is_active", F.lit(False))).alias("active"))
+    asked = requests.withColumn("project_id", clean_column(F.col("project_id")))
+    reason = (
+        F.when(F.coalesce(F.col("project_id") == "", F.lit(True)), "missing_project_id")
+        .when(~F.col("project_id").rlike(f"^{_PROJECT.pattern}$"), "malformed_project_id")
+        .when(F.col("active").isNull(), "unknown_project")
+        .when(~F.col("active"), "inactive_project")
+    )
+    return asked.join(known, F.col("project_id") == F.col("known_id"), "left").withColumn("reason", reason).drop("known_id", "active")
+
+
 def of_active_projects(df: DataFrame, projects: DataFrame) -> DataFrame:
     """Rows of all active projects."""
     active = projects.where(F.coalesce(F.col("is_active"), F.lit(False))).select("project_id")
