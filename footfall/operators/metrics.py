@@ -27,6 +27,11 @@ def overview(devices: DataFrame, sessions: DataFrame, events: DataFrame, project
         F.count_distinct("user_id").alias("users_active"),
         F.count(F.lit(1)).alias("events_total"),
     )
+    return overview_row(d, s, e)
+
+
+def overview_row(d: DataFrame, s: DataFrame, e: DataFrame) -> DataFrame:
+    """The figures of devices, sessions and events, one row each, as one row."""
     # Three one-row results side by side; max picks the only filled value.
     parts = d.unionByName(s, allowMissingColumns=True).unionByName(e, allowMissingColumns=True)
     row = parts.agg(*[F.max(c).alias(c) for c in parts.columns])

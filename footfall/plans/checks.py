@@ -492,6 +492,7 @@ def all_checks() -> dict[str, str]:
     out["ingest_gate_as_of"] = out["stream_gate"] = _gate_as_of()
     out["stream_dedup_keys"] = _sql(["v_event_items", "v_known_keys"], NEW_EVENTS, "select project_id, key_hash from fresh where key_hash is not null")
     out["counter_snapshot"] = out["counter_state"]
+    out["overview_rollup"] = out["overview"]
     out["stream_visitors"] = out["traffic_trends_day"]
     out["stream_privacy_dedup"] = _privacy_dedup(with_changes=True)
     out["stream_ban_windows"] = out["ban_windows"]

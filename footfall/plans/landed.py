@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.operators import events, privacy, state, traffic_ingest
+from footfall.operators.rollups import Rollups
 from footfall.plans.fixtures import view
+from footfall.ranges import TimeRange
 from footfall.session import scratch_path
 from footfall.sources import landing
 from footfall.sources.tables import TableStore, project_reason, require_active
@@ -117,3 +119,19 @@ def refused_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests to read a project, by the project asked for and why it is refused; null is let through."""
     asked = project_reason(view(spark, sf_dir, "v_project_reads"), view(spark, sf_dir, "v_projects"))
     return asked.groupBy("project_id", "reason").agg(F.count(F.lit(1)).alias("reads"))
+
+
+def rolled_overview(spark: SparkSession, sf_dir: str, project_id: str, rng: TimeRange) -> DataFrame:
+    """The overview from partials that were refreshed before and after later days arrived."""
+    path = scratch_path(spark, "rollups")
+    store = TableStore(f"{path}/tables")
+    store.create(spark)
+    rollups = Rollups(store, f"{path}/rollups")
+    rollups.create(spark)
+    store.append(view(spark, sf_dir, "v_devices").withColumn("secret_key", F.lit(None).cast("string")), "devices")
+    store.append(view(spark, sf_dir, "v_sessions"), "sessions")
+    rows, later = view(spark, sf_dir, "v_events"), F.col("created_at") >= F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")
+    for part in (~later, later):
+        store.append(rows.where(part), "events")
+        rollups.refresh(spark)
+    return rollups.overview(spark, project_id, rng)

@@ -70,6 +70,11 @@ def _(spark, sf):
     return metrics.overview(view(spark, sf, "v_devices"), view(spark, sf, "v_sessions"), view(spark, sf, "v_events"), PROJECT, MONTH)
 
 
+@query("overview_rollup")
+def _(spark, sf):
+    return landed.rolled_overview(spark, sf, PROJECT, MONTH)
+
+
 @query("metric_trends_day")
 def _(spark, sf):
     return metrics.trends(view(spark, sf, "v_sessions"), view(spark, sf, "v_events"), PROJECT, MONTH, "day")

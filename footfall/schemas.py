@@ -15,6 +15,7 @@ _KINDS = {
     "int": T.IntegerType(),
     "bigint": T.LongType(),
     "timestamp": T.TimestampType(),
+    "date": T.DateType(),
 }
 
 
