@@ -13,6 +13,8 @@ TEXT_FIELDS = ["display_name", "unit", "event_trigger", "is_public", "descriptio
 #: A rule table above either bound is joined by shuffle instead.
 BROADCAST_ROWS = 100_000
 BROADCAST_CHARS = 32_000_000
+#: Names of properties that rules use, up to which they are written into the plan.
+BROADCAST_NAMES = 1_000
 
 
 def rules(counters: DataFrame) -> DataFrame:
@@ -56,20 +58,41 @@ def _all_equal(conditions: Column, given: Column) -> Column:
 def increments(events: DataFrame, counters: DataFrame) -> DataFrame:
     """How often the accepted events hit each counter of their project.
 
-    The properties of an event are parsed once.  A rule with conditions is met
-    by an equi-join on one of them, so an event is not paired with every rule of its type.
+    The properties of an event are parsed once and cut down to the names that rules use, so wide
+    properties are not multiplied.  A rule with conditions is met by an equi-join on the one that
+    fewest events fulfil, so an event is not paired with every rule of its type.
     """
     known = _sized(rules(counters), counters)
-    first = F.get(F.map_entries("conditions"), F.lit(0))
-    picky = known.where(F.size("conditions") > 0).select(*KEY, "event_type", "conditions", first["key"].alias("name"), first["value"].alias("value"))
     plain = known.where(F.size("conditions") == 0).select(*KEY, "event_type", "conditional")
-    rows = events.select("project_id", "event_type", as_text_map(F.col("properties")).alias("given"), F.col("properties").isNotNull().alias("has_properties"))
+    names = [r[0] for r in known.select(F.explode(F.map_keys("conditions"))).distinct().limit(BROADCAST_NAMES + 1).collect()]
+    given = as_text_map(F.col("properties"))
+    if len(names) <= BROADCAST_NAMES:
+        given = F.map_filter(given, lambda name, _: name.isin(names))
+    rows = events.select("project_id", "event_type", given.alias("given"), F.col("properties").isNotNull().alias("has_properties"))
     by_type = rows.join(plain, ["project_id", "event_type"]).where(~F.col("conditional") | F.col("has_properties")).select(*KEY)
+    if not names:
+        return by_type.groupBy(*KEY).agg(F.count(F.lit(1)).alias("hits"))
     members = rows.where("has_properties").select("project_id", "event_type", "given", F.explode("given").alias("name", "value"))
+    picky = _met_at(known.where(F.size("conditions") > 0), members)
     by_value = members.join(picky, ["project_id", "event_type", "name", "value"]).where(_all_equal(F.col("conditions"), F.col("given"))).select(*KEY)
     return by_type.unionByName(by_value).groupBy(*KEY).agg(F.count(F.lit(1)).alias("hits"))
 
 
+def _met_at(picky: DataFrame, members: DataFrame) -> DataFrame:
+    """Rules with the condition they are met at: the only one, or the one that fewest events fulfil."""
+    each = picky.select(*KEY, "event_type", "conditions", F.explode(F.map_entries("conditions")).alias("c"))
+    each = each.select(*KEY, "event_type", "conditions", F.col("c.key").alias("name"), F.col("c.value").alias("value"))
+    several = each.where(F.size("conditions") > 1)
+    if several.isEmpty():
+        return each
+    pair = ["project_id", "event_type", "name", "value"]
+    counts = members.join(several.select(*pair).distinct(), pair, "left_semi").groupBy(*pair).agg(F.count(F.lit(1)).alias("events"))
+    weighed = several.join(counts, pair, "left")
+    best = weighed.groupBy(*KEY, "event_type").agg(F.min_by(F.struct("conditions", "name", "value"), F.struct(F.coalesce("events", F.lit(0)), "name")).alias("b"))
+    chosen = best.select(*KEY, "event_type", "b.*")
+    return each.where(F.size("conditions") == 1).unionByName(chosen.select(*each.columns))
+
+
 def as_changes(hits: DataFrame, seq: Column, at: Column) -> DataFrame:
     """Counted hits as increments of the change log."""
     return hits.select(*KEY, seq.cast("bigint").alias("seq"), F.lit("inc").alias("op"), F.col("hits").alias("amount"), at.alias("changed_at"))

@@ -492,6 +492,10 @@ def all_checks() -> dict[str, str]:
     out["ingest_gate_as_of"] = out["stream_gate"] = _gate_as_of()
     out["stream_dedup_keys"] = _sql(["v_event_items", "v_known_keys"], NEW_EVENTS, "select project_id, key_hash from fresh where key_hash is not null")
     out["counter_snapshot"] = out["counter_state"]
+    out["stream_traffic_batches"] = f"""with r as (select t.reason, concat_ws('|', i.batch_id, i.project_id, i.device_id, i.user_id) as batch_id
+            from ({out['ingest_traffic_signed']}) t join ({_sql(['v_traffic_items'], {}, 'select batch_id, item_no, project_id, device_id, user_id from v_traffic_items')}) i using (batch_id, item_no)
+            union all select 'malformed_record', null from ({_sql(['v_traffic_items'], {}, 'select batch_id from v_traffic_items where item_no = 7')}))
+        select batch_id, count(*) as received, count(*) filter (reason is null) as accepted, count(reason) as rejected, count(*) filter (reason is null) = 0 as failed from r group by 1"""
     out["overview_rollup"] = out["overview"]
     out["stream_visitors"] = out["traffic_trends_day"]
     out["stream_privacy_dedup"] = _privacy_dedup(with_changes=True)

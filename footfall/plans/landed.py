@@ -15,6 +15,7 @@ from footfall.ranges import TimeRange
 from footfall.session import scratch_path
 from footfall.sources import landing
 from footfall.sources.tables import TableStore, project_reason, require_active
+from footfall.streaming import traffic as stream_traffic
 
 # The file keeps microseconds.
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -135,3 +136,17 @@ def rolled_overview(spark: SparkSession, sf_dir: str, project_id: str, rng: Time
         store.append(rows.where(part), "events")
         rollups.refresh(spark)
     return rollups.overview(spark, project_id, rng)
+
+
+def traffic_stream_answers(spark: SparkSession, sf_dir: str, salt: str) -> DataFrame:
+    """Signed traffic of several items a request, with lines that are no records, as a stream; the answers by request."""
+    path = scratch_path(spark, "stream-traffic")
+    rows = view(spark, sf_dir, "v_traffic_items")
+    outer = ["batch_id", "project_id", "device_id", "user_id"]
+    posted = rows.groupBy(*outer).agg(F.max("received_at").alias("received_at"), F.array_sort(F.collect_list(F.struct("item_no", *_ITEM))).alias("items"))
+    _land(posted.withColumn("batch_id", F.concat_ws("|", *outer)), f"{path}/landed")
+    broken = rows.where(F.col("item_no") == 7).select(F.concat(F.lit("no record of "), "batch_id").alias("value"))
+    broken.write.mode("append").text(f"{path}/landed")
+    requests = landing.stream_requests(spark, "traffic", f"{path}/landed", 2)
+    stream_traffic.traffic_stream(requests, f"{path}/ledger", f"{path}/checkpoint", salt, once=True).awaitTermination()
+    return stream_traffic.batch_answers(stream_traffic.read_items(spark, f"{path}/ledger"))

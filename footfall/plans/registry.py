@@ -358,6 +358,11 @@ def _(spark, sf):
     return jobs.ban_stream_result(spark, sf)
 
 
+@query("stream_traffic_batches")
+def _(spark, sf):
+    return landed.traffic_stream_answers(spark, sf, SALT)
+
+
 @query("stream_gate")
 def _(spark, sf):
     return jobs.gate_stream_result(spark, sf).select("batch_id", "item_no", "reason")

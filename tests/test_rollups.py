@@ -51,3 +51,23 @@ def test_rollups_follow_the_tables(spark, small, tmp_path):
     assert check().events_total < before.events_total
     with pytest.raises(ValueError):
         rollups.overview(spark, "demo", type(rng)(rng.start + timedelta(hours=1), rng.end))
+
+
+def test_rules_meet_at_their_rarest_condition_and_see_few_properties(spark):
+    from footfall.operators import counters
+    from footfall.operators.counters import _met_at, increments, rules
+
+    wide = ",".join(f'"x{k}":{k}' for k in range(40))
+    rows = [("p", "buy", f'{{"country":"US","plan":"{"gold" if i % 10 == 0 else "free"}",{wide}}}') for i in range(50)] + [("p", "buy", None), ("p", "see", '{"plan":"gold"}')]
+    events = spark.createDataFrame(rows, "project_id string, event_type string, properties string")
+    made = [("p", "both", '{"event_type":"buy","conditions":{"country":"US","plan":"gold"}}'), ("p", "one", '{"event_type":"buy","conditions":{"country":"US"}}'),
+            ("p", "none", '{"event_type":"buy","conditions":{"country":"US","plan":"silver"}}'), ("p", "all", '{"event_type":"buy"}'), ("p", "off", None)]
+    rule_rows = spark.createDataFrame(made, "project_id string, counter_key string, event_trigger string")
+    assert {r.counter_key: r.hits for r in increments(events, rule_rows).collect()} == {"both": 5, "one": 50, "all": 51}
+    members = events.where("properties is not null").select("project_id", "event_type", F.explode(counters.as_text_map(F.col("properties"))).alias("name", "value"))
+    met = {r.counter_key: (r["name"], r["value"]) for r in _met_at(rules(rule_rows).where("size(conditions) > 0"), members).collect()}
+    assert met == {"both": ("plan", "gold"), "one": ("country", "US"), "none": ("plan", "silver")}
+    assert increments(events, rule_rows.where("counter_key = 'all'")).collect()[0].hits == 51
+    exploded = increments(events, rule_rows)
+    exploded.collect()
+    assert "map_filter" in exploded._jdf.queryExecution().optimizedPlan().toString()

@@ -119,3 +119,27 @@ def test_settings_are_put_back(spark):
     with state_settings(spark, 3):
         assert "RocksDB" in spark.conf.get(name) and spark.conf.get("spark.sql.shuffle.partitions") == "3"
     assert (spark.conf.get(name, None), spark.conf.get("spark.sql.shuffle.partitions")) == before
+
+
+def test_traffic_counts_are_observed_while_writing(spark, tmp_path):
+    from footfall.sources import landing
+    from footfall.streaming import traffic
+
+    device = "00000000-0000-4000-8000-00000000000a"
+    item = {"metric_type": "view", "timestamp": 1}
+    lines = [
+        [{"batch_id": "b1", "project_id": "demo", "device_id": device, "user_id": "u", "received_at": "2024-01-01T00:00:00Z", "items": [item, {"metric_type": " "}, None]}],
+        [{"batch_id": "b2", "project_id": "demo", "device_id": device, "user_id": "u", "received_at": "2024-01-01T00:00:00Z", "items": []}, "broken"],
+        [{"batch_id": "b3", "project_id": "demo", "device_id": "x", "user_id": "u", "received_at": "2024-01-01T00:00:00Z", "items": [item, item]}],
+    ]
+    (tmp_path / "in").mkdir()
+    for k, some in enumerate(lines):
+        (tmp_path / "in" / f"{k}.json").write_text("".join((x if isinstance(x, str) else json.dumps(x)) + "\n" for x in some))
+    requests = landing.stream_requests(spark, "traffic", str(tmp_path / "in"), 1)
+    drain(traffic.traffic_stream(requests, str(tmp_path / "out"), str(tmp_path / "cp"), once=True))
+    items = traffic.read_items(spark, str(tmp_path / "out"))
+    got = {r.batch_id: (r.received, r.accepted, r.rejected, r.failed) for r in traffic.batch_answers(items).collect()}
+    assert got == {"b1": (3, 1, 2, False), "b2": (1, 0, 1, True), None: (1, 0, 1, True), "b3": (2, 0, 2, True)}
+    counts = [(r.received, r.accepted, r.rejected) for r in traffic.read_counts(spark, str(tmp_path / "out")).orderBy("batch").collect()]
+    assert sorted(counts) == [(2, 0, 2), (2, 0, 2), (3, 1, 2)]
+    assert items.where("batch >= 0").count() == sum(c[0] for c in counts)
