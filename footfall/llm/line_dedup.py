@@ -9,15 +9,17 @@ position and a bitmap filter, and are verified on their words.
 Equal sets are settled first, by one aggregate; only the first line of each set is joined.  The order
 comes from counts in hashed buckets, a fixed number of them, so it can
 be broadcast; any one order gives exact results.  Words with long posting
-lists are tiled.  One earlier match is enough for a line, so the rounds go from few candidates to all:
+lists are tiled, and the lists are joined in a few passes over hash ranges of the words, so that only a share of
+them is on the disks at a time.  One earlier match is enough for a line, so the rounds go from few candidates to all:
 the nearest line that passes the filters; for lines whose candidate fails, the closest few
-by a wider bitmap; then all that are left.  A round names pairs only for lines still open, and
-meets only at their words.
+by the bitmap; then all that are left.  Later rounds name pairs only for lines still open, and
+meet only at their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,8 +40,10 @@ POSTING_ROWS = 8192
 TASK_ROWS = 100_000
 # Earlier lines that a task names for a line in the first two rounds.
 FIRST_TRIES, SECOND_TRIES = 1, 4
-# Words of 64 bits of the wide bitmap.
-WIDE = 4
+# Columns of 64 bits of the bitmap.
+BITMAP = ["w0", "w1", "w2", "w3"]
+# Passes of the first round.
+PASSES = 4
 _KEYS = ["token", "tile_a", "tile_b"]
 _PLACE = ["doc", "row", "line"]
 _PAIR = "doc long, row long, line int, other_doc long, other_row long, other_line int, more boolean"
@@ -115,9 +119,9 @@ def _identified(docs: DataFrame, key: str) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc, row, line, n, bits, wide, whole, prefix) of all lines of identified documents.
+    """Rows (doc, row, line, n, w0 to w3, whole, prefix) of all lines of identified documents.
 
-    bits and wide have the parity of the words by bits of their hash, whole is a hash of the set.
+    The bitmap has the parity of the words by 8 bits of their hash, whole is a hash of the set.
     Sets of up to three words resemble equal ones only, so they need no prefix.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
@@ -131,40 +135,32 @@ def line_sets(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFra
                     continue
                 base = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts[lo:hi]])
                 owner = np.searchsorted(base, sets.line, "right") - 1
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (sets.token >> np.uint64(58)), sets.first)
-                place = (sets.token >> np.uint64(40)) & np.uint64(64 * WIDE - 1)
-                wide = np.zeros((len(sets.first), WIDE), dtype=np.uint64)
-                for k in range(WIDE):
-                    here = np.where(place >> np.uint64(6) == k, np.uint64(1) << (place & np.uint64(63)), np.uint64(0))
-                    wide[:, k] = np.bitwise_xor.reduceat(here, sets.first)
+                place = (sets.token >> np.uint64(40)) & np.uint64(64 * len(BITMAP) - 1)
+                bit = np.uint64(1) << (place & np.uint64(63))
+                bitmap = {w: np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), sets.first).view(np.int64) for k, w in enumerate(BITMAP)}
                 length = np.where(sets.n > 3, sets.n - (4 * sets.n + 4) // 5 + 1, 0)
                 signed = sets.token.view(np.int64)
                 yield pd.DataFrame({
                     "doc": names[lo + owner], "row": rows[lo + owner], "line": (sets.line - base[owner]).astype(np.int32), "n": sets.n.astype(np.int32),
-                    "bits": bits.view(np.int64), "wide": [w.tobytes() for w in wide], "whole": sets.whole.view(np.int64),
-                    "prefix": [signed[a : a + p] for a, p in zip(sets.first.tolist(), length.tolist())],
+                    **bitmap, "whole": sets.whole.view(np.int64), "prefix": [signed[a : a + p] for a, p in zip(sets.first.tolist(), length.tolist())],
                 })
 
     slim = docs.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return slim.mapInPandas(build, "doc long, row long, line int, n int, bits long, wide binary, whole long, prefix array<long>")
+    return slim.mapInPandas(build, "doc long, row long, line int, n int, w0 long, w1 long, w2 long, w3 long, whole long, prefix array<long>")
 
 
 def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
     """Earlier lines that may match, for the lines of whole posting lists; at most so many for each, the closest ones.
 
-    Lists are sorted by place.  The first round takes the nearest line before that passes the narrow
-    bitmap; later ones look at all, for the rows marked ``seek``, by the wide bitmap.  ``more`` marks
-    lines with candidates that were not named.
+    Lists are sorted by place.  The first round takes the nearest lines before that pass the filters;
+    later ones look at all, for the rows marked ``seek``.  ``more`` marks lines with candidates that were not named.
     """
     group = group_numbers(frame, _KEYS)
     several = np.bincount(group)[group] > 1
     frame, group = frame[several], group[several]
     later = "seek" in frame
     n, pos, part = (frame[c].to_numpy().astype(np.int64) for c in ("n", "pos", "part"))
-    if later:
-        bits = np.frombuffer(b"".join(frame["wide"]), dtype=np.uint64).reshape(len(frame), WIDE)
-    else:
-        bits = frame["bits"].to_numpy().view(np.uint64).reshape(len(frame), 1)
+    bits = frame[BITMAP].to_numpy().view(np.uint64)
     mixed_tiles = frame["tile_a"].to_numpy() != frame["tile_b"].to_numpy()
     start = np.zeros(len(frame), dtype=np.int64)
     if len(frame):
@@ -204,13 +200,15 @@ def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
     return pd.DataFrame({c: columns[c][a] for c in _PLACE} | {f"other_{c}": columns[c][b] for c in _PLACE} | {"more": more[a]})
 
 
-def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = None) -> DataFrame:
-    """Pairs of lines that pass the filters, for the lines in ``seek`` or for all."""
-    extra = ["bits"]
+def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = None, share: int = 0, of: int = 1) -> DataFrame:
+    """Pairs of lines that pass the filters, for the lines in ``seek`` or for all; at a share of the words."""
+    extra = []
     if seek is not None:
         marked = sets.join(seek.withColumn("seek", F.lit(True)), _PLACE, "left")
-        sets, extra = marked.withColumn("seek", F.coalesce("seek", F.lit(False))), ["wide", "seek"]
-    rows = sets.select(*_PLACE, "n", *extra, F.posexplode("prefix").alias("pos", "token"))
+        sets, extra = marked.withColumn("seek", F.coalesce("seek", F.lit(False))), ["seek"]
+    rows = sets.select(*_PLACE, "n", *BITMAP, *extra, F.posexplode("prefix").alias("pos", "token"))
+    if of > 1:
+        rows = rows.where(F.pmod("token", F.lit(of)) == share)
     if seek is not None:
         # Lists without a line that is still open are of no use.
         asked = materialize(rows.where("seek").select("token").distinct(), "open_words")
@@ -268,13 +266,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def _first_lines(docs: DataFrame, text: str, min_words: int) -> tuple[DataFrame, str]:
-    """Line sets with ``head``, true for the first line of each set, as a step; equal sets are told by 128 bits and the size."""
+    """Line sets with ``head``, true for the first line of each set, as a step; equal sets are told by 192 bits and the size."""
     place, spark = F.struct(*_PLACE), docs.sparkSession
     sets, path = step(line_sets(docs, text, min_words), "line_sets")
-    several = sets.groupBy("whole", "bits", "n").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    several = sets.groupBy("whole", "w0", "w1", "n").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     # Written before it is joined, so that a hot set's partition can be split.
     several, aside = step(several, "equal_sets")
-    met = sets.join(several, ["whole", "bits", "n"], "left")
+    met = sets.join(several, ["whole", "w0", "w1", "n"], "left")
     found = step(met.withColumn("head", F.coalesce(place == F.col("least"), F.lit(True))).drop("least", "whole"), "first_lines")
     release(spark, path, aside)
     return found
@@ -292,7 +290,8 @@ def removed_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORD
 
     removed = sets.where("not head").select(*_PLACE)
     heads = sets.where("head and size(prefix) > 0")
-    pairs = kept(_candidates(heads, FIRST_TRIES), "line_pairs")
+    passes = [kept(_candidates(heads, FIRST_TRIES, None, k, PASSES), "line_pairs") for k in range(PASSES)]
+    pairs = kept(reduce(DataFrame.unionByName, passes).distinct(), "line_pairs")
     other = [f"other_{c}" for c in _PLACE]
     tried, done = pairs.drop("more"), _verified(pairs, docs, text)
     for tries in (SECOND_TRIES, None):
