@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from footfall.llm.arrays import group_numbers, joined_texts, mixed, whole_groups, word_hashes
-from footfall.llm.common import bucket_split, materialize, release, step
+from footfall.llm.common import bucket_split, identified, materialize, release, step
 from footfall.llm.tiles import tiled
 
 # Lines with fewer words are not removed; 1 takes all but blank lines.
@@ -104,20 +104,6 @@ class _Sets:
         self.whole = np.add.reduceat(mixed(self.token), self.first) if len(line) else np.zeros(0, np.uint64)
 
 
-def _identified(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with __doc, the key as a long or the largest one if it is null or no whole number, and __row.
-
-    __row tells rows apart that share a key; it is 0 where none do.  Such rows are written once, so that their numbers stay.
-    """
-    tagged = docs.withColumn("__doc", F.coalesce(F.col(f"`{key}`").try_cast("long"), F.lit((1 << 63) - 1)))
-    shared = materialize(tagged.groupBy("__doc").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__doc"), "shared_keys")
-    if shared.isEmpty():
-        return tagged.withColumn("__row", F.lit(0).cast("long"))
-    again = tagged.join(shared, "__doc", "left_semi").withColumn("__row", F.monotonically_increasing_id() + 1)
-    single = tagged.join(shared, "__doc", "left_anti").withColumn("__row", F.lit(0).cast("long"))
-    return single.unionByName(materialize(again, "shared_rows"))
-
-
 def line_sets(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc, row, line, n, w0 to w3, whole, prefix) of all lines of identified documents.
 
@@ -315,7 +301,7 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     included, one comes first, the same for all their lines.  Other columns stay, but for names
     that begin with two underscores.
     """
-    named = _identified(docs, key)
+    named = identified(docs, key)
     lines, steps = removed_lines(named, text, min_words)
     gone = lines.groupBy("doc", "row").agg(F.collect_set("line").alias("__gone"))
     gone = materialize(gone.withColumnsRenamed({"doc": "__doc", "row": "__row"}), "gone")

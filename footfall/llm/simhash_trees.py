@@ -19,11 +19,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from footfall.llm.arrays import expand, group_numbers, local_labels, whole_groups, word_blocks
-from footfall.llm.common import bucket_split, materialize
+from footfall.llm.common import bucket_split, identified, materialize
 from footfall.llm.components import components
 from footfall.llm.tiles import tiled
 
@@ -169,19 +169,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near copies, the one with the smallest key.
+    """One row of each group of near copies, the one with the smallest key.
 
-    Of rows that repeat a key the one with the smallest text digest is kept.
-    Documents with a null key are kept.  Only documents that may go are shuffled.
+    Every row is judged by its own text, also where rows share a key; of rows of a group that share the smallest key one
+    stays.  A key that is null or no whole number counts as the largest.  Only documents that may go are shuffled.
     """
-    name = F.col(f"`{key}`")
-    found = near_duplicates(docs.where(name.isNotNull()), key, text)
-    marked = found.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.min("component_id").alias("__first"))
-    marked = materialize(marked.where("__n > 1 or __key <> __first").select("__key", (F.col("__key") == F.col("__first")).alias("__stays")), "marked")
-    near, far = bucket_split(docs.withColumn("__key", name), "__key", marked)
-    judged = near.join(marked, "__key", "left")
-    single = judged.where("__stays is null")
-    order = Window.partitionBy("__key").orderBy(F.md5(F.col(f"`{text}`")))
-    repeated = judged.where("__stays").withColumn("__turn", F.row_number().over(order)).where("__turn = 1")
+    named = identified(docs, key).withColumn("__place", F.struct("__doc", "__row"))
+    found = near_duplicates(named, "__place", text)
+    gone = materialize(found.where(F.col("__place") != F.col("component_id")).select("__place.*"), "near_copies")
+    near, far = bucket_split(named, "__doc", gone)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return far.select(columns).unionByName(single.select(columns)).unionByName(repeated.select(columns))
+    return far.select(columns).unionByName(near.join(gone, ["__doc", "__row"], "left_anti").select(columns))

@@ -93,8 +93,13 @@ def test_simhash_edges(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A B C D"), (None, "a b c d"), (3, "x y z"), (3, "q r s")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(repr, (r[2] for r in simhash_trees.near_duplicates(frame).collect()))) == sorted(map(repr, [1, 1, 1, 1, 3, 3]))
-    assert sorted(map(repr, (r.doc_id for r in simhash_trees.first_of_each(frame).collect()))) == ["1", "3", "None"]
+    assert sorted((r.doc_id, r.text) for r in simhash_trees.first_of_each(frame).collect()) == [(1, "a b c d"), (3, "q r s"), (3, "x y z")]
     assert simhash_trees.near_duplicates(frame.limit(0)).count() == 0
+    # A row is judged by its own text: what shares its key with a copy of another document stays.
+    rows = [(2, "two one"), (2, "entirely else text"), (1, "two one"), (None, "null a b"), (None, "null a b"), (None, "of its own")]
+    left = simhash_trees.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in left) == ["entirely else text", "null a b", "of its own", "two one"]
+    assert [r.doc_id for r in left if r.text == "two one"] == [1]
 
 
 def line_texts():
