@@ -116,7 +116,7 @@ def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("__runs", F.lit(0).cast("long"), lambda total, r: total + r["high"] - r["low"])
     return docs.select(
         "doc_id", F.col("__bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("__runs").cast("long").alias("n_spans"),
-        F.sha2("__kept", 256).alias("kept_sha256"),
+        F.sha2("__kept", 256).alias("kept_sha256"), F.length("__kept").cast("long").alias("n_kept"),
     )
 
 
