@@ -4,11 +4,13 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from footfall.operators import bans, privacy
-from footfall.streaming import folds
+from footfall.schemas import struct
+from footfall.streaming import folds, in_order
 from footfall.streaming.in_order import state_settings, store_stream
 from footfall.streaming.ledger import read_ledger
 
@@ -113,6 +115,111 @@ def test_bans_of_shuffled_files_and_late_attempts(spark, tmp_path):
     assert sorted(got.where("not late").select(want.columns).collect()) == sorted(want.collect())
 
 
+class Counted:
+    """One key's state in memory, with the number of rows that were stored; lists and slices alike."""
+
+    def __init__(self):
+        self.written, self.timers = 0, []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getValueState(self, name, schema):
+        return Cell(self)
+
+    def getListState(self, name, schema):
+        return Cell(self, rows=True)
+
+    def getMapState(self, name, key, schema):
+        return Cell(self)
+
+
+class Cell:
+    def __init__(self, owner, rows=False):
+        self.owner, self.rows, self.value, self.parts = owner, rows, None, {}
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def put(self, rows):
+        self.owner.written += len(rows)
+        self.value = list(rows)
+
+    def appendList(self, rows):
+        self.put([*(self.value or []), *rows])
+        self.owner.written -= len(self.value) - len(rows)
+
+    def getValue(self, key):
+        return self.parts.get(key)
+
+    def updateValue(self, key, value):
+        self.owner.written += len(json.loads(value[0])[0])
+        self.parts[key] = value
+
+    def removeKey(self, key):
+        del self.parts[key]
+
+
+class Clock:
+    now = 0
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_waiting_rows_are_not_rewritten_at_every_wake_up(monkeypatch):
+    """A hot key with a long delay: 60 batches, each row waits through 20 of them."""
+    rnd, clock, handle = random.Random(5), Clock(), Counted()
+    processor = in_order.InOrder(folds._count, folds._count_ends, ["ip"], struct("at_us bigint, seq bigint, success boolean"), T.LongType(), 0)
+    monkeypatch.setattr(in_order, "SLICE_ROWS", 50, raising=False)
+    processor.init(handle)
+    got, rows, most = [], [], 0
+    for batch in range(81):
+        new = [((batch * 10_000 + rnd.randrange(1, 10_000)) * 1000, batch * 1000 + i, rnd.random() < 0.1) for i in range(300)] if batch < 60 else []
+        rows += new
+        for start in range(0, len(new), 100):
+            frame = pd.DataFrame(new[start : start + 100], columns=["at_us", "seq", "success"]).assign(ip="a", clock=False)
+            got += list(processor.handleInputRows(("a",), iter([frame]), clock))
+        for _ in [t for t in handle.timers if t <= clock.now]:
+            got += list(processor.handleExpiredTimer(("a",), clock, None))
+        handle.timers = [t for t in handle.timers if t > clock.now]
+        clock.now = max(0, (batch - 19) * 10_000)
+    got = pd.concat(got)
+    assert not got["late"].any() and got[["at_us", "seq"]].values.tolist() == [[at, seq] for at, seq, _ in sorted(rows)]
+    state, want = None, []
+    for row in sorted(rows):
+        state, out = folds._count(state, *row)
+        want.append(out)
+    assert [None if x is None else int(x) for x in got["output"]] == want
+    assert handle.written <= 3 * len(rows)
+    assert processor.index.get() is None and not processor.slices.parts
+
+
+def test_changes_of_unseen_requests_leave_in_order_of_time():
+    """What waits is the same as if all of it were gone through for every row, which it is not."""
+    state, kept = {"open": None, "early": {}}, {}
+    rnd = random.Random(2)
+    for at in range(0, 5 * folds.REUSE_MICROS, folds.REUSE_MICROS // 400):
+        name = f"r{rnd.randrange(2000)}"
+        kept = {k: v for k, v in kept.items() if v >= at - folds.REUSE_MICROS}
+        kept[name] = min(at, kept.get(name, at))
+        state, _ = folds.reuse_or_leave(state, at, folds.CHANGE, name)
+        assert state["early"] == kept
+    early = state["early"]
+    assert list(early.values()) == sorted(early.values())
+    again, _ = folds.reuse_or_leave(state, at, folds.CHANGE, "last")
+    assert again["early"] is early  # the same mapping goes on: nothing is copied per row
+
+
 def test_settings_are_put_back(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None), spark.conf.get("spark.sql.shuffle.partitions")
