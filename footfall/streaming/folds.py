@@ -6,6 +6,8 @@ arrive in any order within it, and give the answers of the batch forms.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from footfall.operators.bans import BAN_MICROS, count_failures
@@ -20,10 +22,12 @@ def reuse_or_leave(state: dict | None, at: int, kind: int, row_id: str) -> tuple
     """Fold of one key over submissions and status changes, changes of a moment first.
 
     The state has the open request with the last moment it can be reused, and
-    the moments of changes whose request has not been seen.
+    the moments of changes whose request has not been seen, in order of time: the oldest are dropped from the front.
     """
     opened, early = (state["open"], state["early"]) if state else (None, {})
-    early = {k: v for k, v in early.items() if v >= at - REUSE_MICROS}
+    early = early if isinstance(early, OrderedDict) else OrderedDict(early)
+    while early and next(iter(early.values())) < at - REUSE_MICROS:
+        early.popitem(last=False)
     answer = None
     if kind == SUBMISSION:
         opened, answer = reuse_open(opened, row_id, at, early.pop(row_id, None))
