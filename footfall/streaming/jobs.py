@@ -11,6 +11,7 @@ from footfall.plans.fixtures import view, view_over
 from footfall.ranges import TimeRange
 from footfall.schemas import EVENTS
 from footfall.session import scratch_path
+from footfall.sources.files import remove
 from footfall.streaming import counters, folds, in_order, ingest, trends, visitors
 from footfall.streaming.counter_store import CounterStore
 from footfall.streaming.key_index import key_index
@@ -50,8 +51,13 @@ def landed_in_slices(rows: DataFrame, time: str, path: str, spread_s: int, clock
     width = ((high or 0) - (low or 0)) // SLICES + 1
     turn = F.floor((at - (low or 0) + F.pmod(F.hash(*rows.columns), F.lit(spread_s))) * SLICES / ((high or 0) - (low or 0) + 1))
     placed = rows.withColumn("slice", F.greatest(F.lit(0), F.least(F.lit(SLICES), F.coalesce(turn, F.lit(0)))))
+    # The rows are made once; a stream takes files by age, so the slices land one after the other.
+    whole = f"{path}-placed"
+    placed.write.partitionBy("slice").parquet(whole)
+    made = rows.sparkSession.read.schema(placed.schema).parquet(whole)
     for k in range(SLICES + 1):
-        placed.where(F.col("slice") == k).drop("slice").write.parquet(f"{path}/{k}")
+        made.where(F.col("slice") == k).select(*rows.columns).write.parquet(f"{path}/{k}")
+    remove(rows.sparkSession, whole)
     if clock:
         far = F.timestamp_seconds(F.lit((high or 0) + 10 * (width + spread_s))).cast(rows.schema[time].dataType).alias(time)
         empty = [far if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]

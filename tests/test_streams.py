@@ -220,6 +220,24 @@ def test_changes_of_unseen_requests_leave_in_order_of_time():
     assert again["early"] is early  # the same mapping goes on: nothing is copied per row
 
 
+def test_rows_that_land_in_slices_are_made_once(spark, tmp_path):
+    from footfall.streaming import jobs
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(number):
+        made.add(1)
+        return f"key-{number}"
+
+    rows = spark.range(200).select(F.timestamp_seconds(F.col("id") * 60).alias("at"), key("id").alias("key"))
+    assert jobs.landed_in_slices(rows, "at", f"{tmp_path}/rows", 600, clock=False)[0] == 200
+    assert made.value == 200
+    parts = [{r.key for r in spark.read.schema(rows.schema).parquet(f"{tmp_path}/rows/{k}").collect()} for k in range(jobs.SLICES + 1)]
+    assert set().union(*parts) == {f"key-{i}" for i in range(200)} and sum(map(len, parts)) == 200 and all(parts)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["rows"]
+
+
 def test_settings_are_put_back(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None), spark.conf.get("spark.sql.shuffle.partitions")
