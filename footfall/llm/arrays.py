@@ -46,10 +46,21 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BASE = 0x9E3779B97F4A7C15
+# Powers that a task keeps, for buffers up to the length of KEPT_POWERS.
+KEPT_POWERS = 1 << 20
+_kept: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, count: int) -> np.ndarray:
     """base**0, base**1, ... modulo 2**64."""
+    if count <= KEPT_POWERS:
+        if len(_kept.get(base, ())) < count:
+            _kept[base] = _made_powers(base, min(KEPT_POWERS, 2 * count))
+        return _kept[base][: max(count, 1)]
+    return _made_powers(base, count)
+
+
+def _made_powers(base: int, count: int) -> np.ndarray:
     out = np.ones(max(count, 1), dtype=np.uint64)
     done = 1
     while done < count:

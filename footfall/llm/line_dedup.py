@@ -11,9 +11,9 @@ comes from counts in hashed buckets, a fixed number of them, so it can
 be broadcast; any one order gives exact results.  Words with long posting
 lists are tiled, and the lists are joined in a few passes over hash ranges of the words, so that only a share of
 them is on the disks at a time.  One earlier match is enough for a line, so the rounds go from few candidates to all:
-the nearest line that passes the filters; for lines whose candidate fails, the closest few
+the nearest few lines that pass the filters; for lines whose candidates fail and that have others, the closest few
 by the bitmap; then all that are left.  Later rounds name pairs only for lines still open, and
-meet only at their words.
+meet only at their words with earlier lines of like size.
 """
 
 from __future__ import annotations
@@ -28,21 +28,25 @@ from pyspark.sql.functions import pandas_udf
 
 from footfall.llm.arrays import group_numbers, joined_texts, mixed, whole_groups, word_hashes
 from footfall.llm.common import bucket_split, identified, materialize, release, step
-from footfall.llm.tiles import tiled
+from footfall.llm.tiles import hot_groups, tiled
 
 # Lines with fewer words are not removed; 1 takes all but blank lines.
 MIN_WORDS = 1
 # Buckets of the word counts that are broadcast, one byte each.
 COUNT_BUCKETS = 1 << 20
 CHUNK = 1 << 12
+# Bytes of text hashed at a time; its arrays fit the processor's cache.
+BUFFER = 1 << 18
 # Lines of one posting list that are compared in a tile.
 POSTING_ROWS = 8192
 TASK_ROWS = 100_000
-# Earlier lines that a task names for a line in the first two rounds.
-FIRST_TRIES, SECOND_TRIES = 1, 4
+# Earlier lines of a posting list that are named for a line in the first two rounds.
+FIRST_TRIES, SECOND_TRIES = 8, 4
+# Words of open lines up to which their table is broadcast; beyond that a later round goes in passes too.
+BROADCAST_WORDS = 100_000
 # Columns of 64 bits of the bitmap.
 BITMAP = ["w0", "w1", "w2", "w3"]
-# Passes of the first round.
+# Passes of a round over all lists.
 PASSES = 4
 _KEYS = ["token", "tile_a", "tile_b"]
 _PLACE = ["doc", "row", "line"]
@@ -58,9 +62,9 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(COUNT_BUCKETS, dtype=np.int64)
         for batch in batches:
-            for _, _, data in joined_texts([t or b"" for t in batch["text"]]):
-                hashes, _ = word_hashes(data)
-                counts += np.bincount((hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
+            hashes = [word_hashes(data)[0] for _, _, data in joined_texts([t or b"" for t in batch["text"]], BUFFER)]
+            places = np.concatenate(hashes or [np.zeros(0, np.uint64)]) & np.uint64(COUNT_BUCKETS - 1)
+            counts += np.bincount(places.astype(np.int64), minlength=COUNT_BUCKETS)
         for chunk, some in enumerate(counts.reshape(-1, CHUNK)):
             used = np.flatnonzero(some)
             if len(used):
@@ -90,10 +94,16 @@ class _Sets:
         token, line = word_hashes(data)
         wide = np.bincount(line, minlength=1) >= min_words
         token, line = token[wide[line]], line[wide[line]]
-        key = line.astype(np.int64) << 8
+        key = line.astype(np.uint64) << np.uint64(8)
         if ranks is not None:
             key |= ranks[(token & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
-        order = np.lexsort((token, key))
+        # One sort by line, rank and as many first bits of the word as there is room for; those that agree there are sorted in full.
+        room = np.uint64(64 - max(int(key.max(initial=0)).bit_length(), 8))
+        brief = (key << room) | (token >> (np.uint64(64) - room))
+        order = np.argsort(brief)
+        brief = brief[order]
+        if np.any((brief[1:] == brief[:-1]) & (token[order[1:]] != token[order[:-1]])):
+            order = np.lexsort((token, key))
         token, line = token[order], line[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -115,7 +125,7 @@ def line_sets(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFra
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, names, rows = [t or b"" for t in batch["text"]], batch["doc"].to_numpy(), batch["row"].to_numpy()
-            for lo, hi, data in joined_texts(texts):
+            for lo, hi, data in joined_texts(texts, BUFFER):
                 sets = _Sets(data, ranks.value, min_words)
                 if not len(sets.line):
                     continue
@@ -140,6 +150,7 @@ def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
 
     Lists are sorted by place.  The first round takes the nearest lines before that pass the filters;
     later ones look at all, for the rows marked ``seek``.  ``more`` marks lines with candidates that were not named.
+    All lines are first ones of their sets, so sets that could only be equal do not pass.
     """
     group = group_numbers(frame, _KEYS)
     several = np.bincount(group)[group] > 1
@@ -161,19 +172,20 @@ def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
             break
         a, b = index, index - step
         need = -(-4 * (n[a] + n[b]) // 9)
-        ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
+        ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & (n[a] + n[b] > 2 * need)
         ok &= ~mixed_tiles[a] | (part[a] != part[b])
         a, b, need = a[ok], b[ok], need[ok]
         apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1).astype(np.int64)
         ok = apart <= n[a] + n[b] - 2 * need
         a, b, apart = a[ok], b[ok], apart[ok]
-        found.append((a, b, apart))
         count[a] += 1
         if not later:
-            # What stands before the first try was not looked at.
-            ended = count[index] >= tries
-            more[index[ended]] |= index[ended] - step > start[index[ended]]
-            index = index[~ended]
+            # One more than is named is looked for, so that only lines with another candidate are marked.
+            over = count[a] > tries
+            more[a[over]] = True
+            a, b, apart = a[~over], b[~over], apart[~over]
+            index = index[~more[index]]
+        found.append((a, b, apart))
         step += 1
     a, b, apart = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
     if later and tries is not None:
@@ -186,21 +198,34 @@ def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
     return pd.DataFrame({c: columns[c][a] for c in _PLACE} | {f"other_{c}": columns[c][b] for c in _PLACE} | {"more": more[a]})
 
 
-def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = None, share: int = 0, of: int = 1) -> DataFrame:
-    """Pairs of lines that pass the filters, for the lines in ``seek`` or for all; at a share of the words."""
-    extra = []
+def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = None) -> list[DataFrame]:
+    """Pairs of lines that pass the filters, for the lines in ``seek`` or for all, by shares of the words."""
+    extra, asked, passes = [], None, PASSES
     if seek is not None:
         marked = sets.join(seek.withColumn("seek", F.lit(True)), _PLACE, "left")
         sets, extra = marked.withColumn("seek", F.coalesce("seek", F.lit(False))), ["seek"]
     rows = sets.select(*_PLACE, "n", *BITMAP, *extra, F.posexplode("prefix").alias("pos", "token"))
-    if of > 1:
-        rows = rows.where(F.pmod("token", F.lit(of)) == share)
     if seek is not None:
-        # Lists without a line that is still open are of no use.
-        asked = materialize(rows.where("seek").select("token").distinct(), "open_words")
-        rows = rows.join(asked, "token", "left_semi")
-    rows = rows.withColumn("bucket", F.col("token").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int")).withColumn("spread", F.xxhash64(*_PLACE))
-    rows = tiled(rows, ["bucket"], "spread", POSTING_ROWS).drop("bucket", "spread")
+        # Lists without a line that is still open are of no use, nor are lines that no open one can resemble or that come later.
+        size, place = F.col("n"), F.struct(*_PLACE)
+        bounds = [F.min(F.ceil(size * 4 / 5)).alias("least"), F.max(F.floor(size * 5 / 4)).alias("most"), F.max(place).alias("last")]
+        asked = materialize(rows.where("seek").groupBy("token").agg(*bounds), "open_words")
+        if asked.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+            asked, passes = F.broadcast(asked), 1
+        fits = F.col("seek") | (F.col("n").between(F.col("least"), F.col("most")) & (place < F.col("last")))
+    rows = rows.withColumn("bucket", F.col("token").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int"))
+    hot = hot_groups(rows, ["bucket"], POSTING_ROWS) if asked is None else None
+    out = []
+    for share in range(passes):
+        some = rows.where(F.pmod("token", F.lit(passes)) == share) if passes > 1 else rows
+        if asked is not None:
+            some = some.join(asked, "token").where(fits).drop("least", "most", "last")
+        out.append(_named_pairs(some, tries, hot))
+    return out
+
+
+def _named_pairs(rows: DataFrame, tries: int | None, hot: DataFrame | None) -> DataFrame:
+    rows = tiled(rows.withColumn("spread", F.xxhash64(*_PLACE)), ["bucket"], "spread", POSTING_ROWS, hot).drop("bucket", "spread")
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, _KEYS, TASK_ROWS):
@@ -276,16 +301,20 @@ def removed_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORD
 
     removed = sets.where("not head").select(*_PLACE)
     heads = sets.where("head and size(prefix) > 0")
-    passes = [kept(_candidates(heads, FIRST_TRIES, None, k, PASSES), "line_pairs") for k in range(PASSES)]
-    pairs = kept(reduce(DataFrame.unionByName, passes).distinct(), "line_pairs")
+
+    def named(tries: int | None, seek: DataFrame | None = None) -> DataFrame:
+        passes = [kept(p, "line_pairs") for p in _candidates(heads, tries, seek)]
+        return kept(reduce(DataFrame.unionByName, passes).distinct(), "line_pairs") if len(passes) > 1 else passes[0]
+
+    pairs = named(FIRST_TRIES)
     other = [f"other_{c}" for c in _PLACE]
-    tried, done = pairs.drop("more"), _verified(pairs, docs, text)
+    tried, done = pairs.drop("more").distinct(), _verified(pairs, docs, text)
     for tries in (SECOND_TRIES, None):
         open_ = pairs.where("more").select(*_PLACE).distinct().join(done, _PLACE, "left_anti")
         open_ = kept(open_, "open_lines")
         if open_.isEmpty():
             break
-        pairs = kept(_candidates(heads, tries, open_), "line_pairs")
+        pairs = named(tries, open_)
         again = kept(pairs.join(tried, [*_PLACE, *other], "left_anti"), "new_pairs")
         tried = tried.unionByName(again.drop("more"))
         done = done.unionByName(_verified(again, docs, text))

@@ -10,16 +10,22 @@ from footfall.llm.common import materialize
 BROADCAST_KEYS = 100_000
 
 
-def tiled(rows: DataFrame, keys: list[str], spread: str, bound: int) -> DataFrame:
+def hot_groups(rows: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    """The groups above the bound and the number of parts of each, for ``tiled``."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bound)
+    return materialize(counts.select(*keys, F.ceil(F.col("__n") / bound).cast("int").alias("__parts")), "hot")
+
+
+def tiled(rows: DataFrame, keys: list[str], spread: str, bound: int, hot: DataFrame | None = None) -> DataFrame:
     """Rows with columns part, tile_a, tile_b (tile_a <= part or tile_b = part).
 
     A group with n rows is cut into ceil(n / bound) parts by a hash of
     ``spread``; a row goes to every tile that pairs its part with another, so
     each pair of rows meets in exactly one tile and no tile has more than about
-    two parts.  Groups within the bound are one tile and are not multiplied.
+    two parts.  Groups within the bound are one tile and are not multiplied.  ``hot`` are the
+    groups that hot_groups found, also in more rows than these.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bound)
-    hot = materialize(counts.select(*keys, F.ceil(F.col("__n") / bound).cast("int").alias("__parts")), "hot")
+    hot = hot_groups(rows, keys, bound) if hot is None else hot
     found = hot.limit(BROADCAST_KEYS + 1).count()
     if not found:
         zero = F.lit(0)

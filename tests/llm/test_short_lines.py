@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+import pytest
 from models import words
 
 from footfall.llm import line_dedup
@@ -39,3 +41,37 @@ def test_query_removes_short_lines(spark, small):
     want = similar(docs)
     assert out == want
     assert any(len(words(docs[i].split("\n")[k])) < 5 for i, gone in want.items() for k in gone)
+
+
+def posting_list(*lines):
+    """One list of lines given by their number of words and the first part of their bitmap."""
+    rows = [{"token": 1, "tile_a": 0, "tile_b": 0, "part": 0, "doc": i, "row": 0, "line": 0, "n": n, "pos": 0, "w0": bits, "w1": 0, "w2": 0, "w3": 0} for i, (n, bits) in enumerate(lines)]
+    return pd.DataFrame(rows)
+
+
+def test_sets_that_could_only_be_equal_are_no_candidates():
+    # First lines of their sets differ; 5 and 5 words differ in two at least, which is 4 of 6.
+    assert len(line_dedup._named(posting_list((5, 0), (5, 0)), 1)) == 0
+    assert len(line_dedup._named(posting_list((5, 0), (6, 1)), 1)) == 1
+
+
+def test_only_lines_with_another_candidate_are_marked():
+    far = (1 << 40) - 1
+    found = line_dedup._named(posting_list((20, far), (20, far), (20, 0), (20, 0)), 1)
+    assert [(r.doc, r.other_doc, r.more) for r in found.itertuples()] == [(1, 0, False), (3, 2, False)]
+    found = line_dedup._named(posting_list((20, 0), (20, 0), (20, 0)), 1)
+    assert [(r.doc, r.other_doc, r.more) for r in found.itertuples()] == [(1, 0, False), (2, 1, True)]
+
+
+def test_later_rounds_read_earlier_lines_of_like_size_only(spark):
+    rows = [(i, 0, 0, n, 0, 0, 0, 0, [7]) for i, n in enumerate([20, 5, 40, 21, 20, 20])]
+    heads = spark.createDataFrame(rows, "doc long, row long, line int, n int, w0 long, w1 long, w2 long, w3 long, prefix array<long>")
+    seek = heads.where("doc = 4").select("doc", "row", "line")
+    read = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "_named_pairs", lambda some, tries, hot: read.append(sorted(r.doc for r in some.collect())))
+        line_dedup._candidates(heads, None, seek)
+        assert read == [[0, 3, 4]]
+        patch.setattr(line_dedup, "BROADCAST_WORDS", 0)
+        line_dedup._candidates(heads, None, seek)
+    assert len(read) == 1 + line_dedup.PASSES and sum(read[1:], []) == [0, 3, 4]
