@@ -283,7 +283,9 @@ def _first_lines(docs: DataFrame, text: str, min_words: int) -> tuple[DataFrame,
     several = sets.groupBy("whole", "w0", "w1", "n").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     # Written before it is joined, so that a hot set's partition can be split.
     several, aside = step(several, "equal_sets")
-    met = sets.join(several, ["whole", "w0", "w1", "n"], "left")
+    # Sets that surely occur once need no partner.
+    near, far = bucket_split(sets, "whole", several)
+    met = near.join(several, ["whole", "w0", "w1", "n"], "left").unionByName(far, allowMissingColumns=True)
     found = step(met.withColumn("head", F.coalesce(place == F.col("least"), F.lit(True))).drop("least", "whole"), "first_lines")
     release(spark, path, aside)
     return found
