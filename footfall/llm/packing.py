@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from footfall.llm.common import materialize
-from footfall.llm.tokens import TOKENIZER, WordTokenizer
+from footfall.llm.tokens import TOKENIZER, word_tokenizer
 
 CAPACITY = 1024
 END_ID = 2
@@ -37,7 +37,7 @@ END_ID = 2
 SWEEP_ROWS = 200_000
 # Bands by halving below half the capacity; the last one takes all shorter pieces.
 BANDS = 4
-_TEXTS_AT_ONCE = 256
+_TEXTS_AT_ONCE = 1024
 _SWEPT = "kind string, part int, rank long, id long, size int, used int, sequence_id long, offset int, prefix long"
 _PLACED = ("id", "sequence_id", "offset")
 
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for start in range(0, len(batch), _TEXTS_AT_ONCE):

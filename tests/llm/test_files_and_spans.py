@@ -9,7 +9,7 @@ import pytest
 from models import best_fit, copies, near_groups, quality, repeated_bytes, runs, similar_lines, without_lines
 
 import corpus_pipeline
-from footfall.llm import packing, passages, suffix_repeats, warc_segments
+from footfall.llm import packing, passages, suffix_repeats, tokens, warc_segments
 from footfall.llm.tokens import WordTokenizer
 from footfall.session import scratch_path
 from pyspark.sql import functions as F
@@ -67,6 +67,32 @@ def test_word_by_word_ids_are_those_of_the_text():
     assert words.ids(texts) == words._encode(texts) == words.ids(texts)
 
 
+@pytest.mark.parametrize("kept", [250_000, 50])
+def test_ids_of_parts_are_those_of_the_text(monkeypatch, kept):
+    monkeypatch.setattr(tokens, "CACHE_PARTS", kept)
+    monkeypatch.setattr(tokens, "BUFFER", 700)
+    words = WordTokenizer()
+    assert words.splits
+    rnd = random.Random(14)
+    bits = ["a", "The", " ", " b", "\n", "é", "ſ×÷", "'ll", "'", "7", ".", "$$$", "<|endoftext|>", "–", "ж", "\u0085", "\u00a0", "\r", "\x1c", "Ç?", "\n\n", "\x00", "Y" * 70, "\u0301", "½", "_-"]
+    texts = ["".join(rnd.choices(bits[: rnd.randrange(3, 27)], k=rnd.randrange(12))) for _ in range(4000)]
+    assert words.ids(texts) == words._encode(texts) == words.ids(texts)
+    words.splits = False
+    words.known, words.before = {}, {}
+    assert words.ids(texts) == words._encode(texts)
+
+
+def test_words_that_differ_in_signs_are_encoded_once(monkeypatch):
+    words, size = WordTokenizer(), []
+    plain = words._encode
+    monkeypatch.setattr(words, "_encode", lambda texts: size.append(sum(map(len, texts))) or plain(texts))
+    rnd = random.Random(3)
+    stems = ["".join(rnd.choices("abcdeü", k=12)) for _ in range(50)]
+    text = " ".join(s + tail for s in stems for tail in ["", ",", ".", "!!", "$$$", ".\nIn", ".\nOr"])
+    assert words.ids([text]) == plain([text])
+    assert 4 * sum(size) < len(text)
+
+
 @pytest.mark.parametrize("sweep_rows", [200_000, 40])
 def test_packing_is_gapless_and_tight(spark, monkeypatch, sweep_rows):
     monkeypatch.setattr(packing, "SWEEP_ROWS", sweep_rows)
