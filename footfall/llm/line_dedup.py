@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -46,6 +47,10 @@ FIRST_TRIES, SECOND_TRIES = 8, 4
 BROADCAST_WORDS = 100_000
 # Columns of 64 bits of the bitmap.
 BITMAP = ["w0", "w1", "w2", "w3"]
+# Words of a line up to which 64 and 128 bits of it go to the posting lists.
+NARROW, MEDIUM = 64, 128
+# Lines that a task hands on at a time.
+LINES_AT_ONCE = 8192
 # Passes of a round over all lists.
 PASSES = 4
 _KEYS = ["token", "tile_a", "tile_b"]
@@ -115,34 +120,68 @@ class _Sets:
 
 
 def line_sets(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc, row, line, n, w0 to w3, whole, prefix) of all lines of identified documents.
+    """Rows (doc, row, line, n, w0 to w3, whole, prefix, busy) of all lines of identified documents.
 
     The bitmap has the parity of the words by 8 bits of their hash, whole is a hash of the set.
-    Sets of up to three words resemble equal ones only, so they need no prefix.
+    Sets of up to three words resemble equal ones only, so they need no prefix.  busy are the buckets of
+    those words of the prefix whose posting list may have more than POSTING_ROWS rows.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [*_PLACE, "n", *BITMAP, "whole", "prefix", "busy"]
+    busy_rank = int(8 * np.log2(POSTING_ROWS + 1))
+
+    def some(texts: list[bytes], docs: np.ndarray, rows: np.ndarray) -> Iterator[list]:
+        for lo, hi, data in joined_texts(texts, BUFFER):
+            sets = _Sets(data, ranks.value, min_words)
+            if not len(sets.line):
+                continue
+            base = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts[lo:hi]])
+            owner = np.searchsorted(base, sets.line, "right") - 1
+            place = (sets.token >> np.uint64(40)) & np.uint64(64 * len(BITMAP) - 1)
+            bit = np.uint64(1) << (place & np.uint64(63))
+            bitmap = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), sets.first).view(np.int64) for k in range(len(BITMAP))]
+            length = np.where(sets.n > 3, sets.n - (4 * sets.n + 4) // 5 + 1, 0)
+            ahead = np.arange(len(sets.token)) < np.repeat(sets.first + length, sets.n)
+            prefix = sets.token[ahead].view(np.int64)
+            buckets = (prefix & (COUNT_BUCKETS - 1)).astype(np.int32)
+            is_busy = ranks.value[buckets] >= busy_rank
+            busy = np.bincount(np.repeat(np.arange(len(length)), length)[is_busy], minlength=len(length))
+            yield [docs[lo + owner], rows[lo + owner], (sets.line - base[owner]).astype(np.int32), sets.n.astype(np.int32), *bitmap, sets.whole.view(np.int64),
+                   (length, prefix), (busy, buckets[is_busy])]
+
+    def column(parts: list) -> pa.Array:
+        if not isinstance(parts[0], tuple):
+            return pa.array(np.concatenate(parts))
+        size, values = (np.concatenate(x) for x in zip(*parts))
+        return pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), values)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, names, rows = [t or b"" for t in batch["text"]], batch["doc"].to_numpy(), batch["row"].to_numpy()
-            for lo, hi, data in joined_texts(texts, BUFFER):
-                sets = _Sets(data, ranks.value, min_words)
-                if not len(sets.line):
-                    continue
-                base = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts[lo:hi]])
-                owner = np.searchsorted(base, sets.line, "right") - 1
-                place = (sets.token >> np.uint64(40)) & np.uint64(64 * len(BITMAP) - 1)
-                bit = np.uint64(1) << (place & np.uint64(63))
-                bitmap = {w: np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), sets.first).view(np.int64) for k, w in enumerate(BITMAP)}
-                length = np.where(sets.n > 3, sets.n - (4 * sets.n + 4) // 5 + 1, 0)
-                signed = sets.token.view(np.int64)
-                yield pd.DataFrame({
-                    "doc": names[lo + owner], "row": rows[lo + owner], "line": (sets.line - base[owner]).astype(np.int32), "n": sets.n.astype(np.int32),
-                    **bitmap, "whole": sets.whole.view(np.int64), "prefix": [signed[a : a + p] for a, p in zip(sets.first.tolist(), length.tolist())],
-                })
+            held: list[list] = []
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            for found in some(texts, batch.column("doc").to_numpy(), batch.column("row").to_numpy()):
+                held.append(found)
+                if sum(len(h[0]) for h in held) >= LINES_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([column(c) for c in zip(*held)], names)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([column(c) for c in zip(*held)], names)
 
     slim = docs.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return slim.mapInPandas(build, "doc long, row long, line int, n int, w0 long, w1 long, w2 long, w3 long, whole long, prefix array<long>")
+    return slim.mapInArrow(build, "doc long, row long, line int, n int, w0 long, w1 long, w2 long, w3 long, whole long, prefix array<long>, busy array<int>")
+
+
+def _folded(sets: DataFrame) -> DataFrame:
+    """Line sets with the halves of the bitmap laid over each other for shorter lines; what is left over is 0."""
+    w0, w1, w2, w3 = (F.col(w) for w in BITMAP)
+    half, half_too = w0.bitwiseXOR(w2), w1.bitwiseXOR(w3)
+    narrow, medium, none = F.col("n") <= NARROW, F.col("n") <= MEDIUM, F.lit(0).cast("long")
+    return sets.withColumns({
+        "w0": F.when(narrow, half.bitwiseXOR(half_too)).when(medium, half).otherwise(w0),
+        "w1": F.when(narrow, none).when(medium, half_too).otherwise(w1),
+        "w2": F.when(medium, none).otherwise(w2),
+        "w3": F.when(medium, none).otherwise(w3),
+    })
 
 
 def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
@@ -157,7 +196,9 @@ def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
     frame, group = frame[several], group[several]
     later = "seek" in frame
     n, pos, part = (frame[c].to_numpy().astype(np.int64) for c in ("n", "pos", "part"))
-    bits = frame[BITMAP].to_numpy().view(np.uint64)
+    w0, w1, w2, w3 = (frame[w].to_numpy().view(np.uint64) for w in BITMAP)
+    # Bitmaps of shorter lines are folded; laid over each other further, all can be compared.
+    folds = [(0, [w0 ^ w1 ^ w2 ^ w3]), (NARROW, [w0 ^ w2, w1 ^ w3]), (MEDIUM, [w0, w1, w2, w3])]
     mixed_tiles = frame["tile_a"].to_numpy() != frame["tile_b"].to_numpy()
     start = np.zeros(len(frame), dtype=np.int64)
     if len(frame):
@@ -175,9 +216,12 @@ def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
         ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & (n[a] + n[b] > 2 * need)
         ok &= ~mixed_tiles[a] | (part[a] != part[b])
         a, b, need = a[ok], b[ok], need[ok]
-        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1).astype(np.int64)
-        ok = apart <= n[a] + n[b] - 2 * need
-        a, b, apart = a[ok], b[ok], apart[ok]
+        apart = np.zeros(len(a), dtype=np.int64)
+        for least, fold in folds:
+            wide = np.minimum(n[a], n[b]) > least
+            apart[wide] = sum(np.bitwise_count(w[a[wide]] ^ w[b[wide]]).astype(np.int64) for w in fold)
+            ok = apart <= n[a] + n[b] - 2 * need
+            a, b, need, apart = a[ok], b[ok], need[ok], apart[ok]
         count[a] += 1
         if not later:
             # One more than is named is looked for, so that only lines with another candidate are marked.
@@ -204,7 +248,7 @@ def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = Non
     if seek is not None:
         marked = sets.join(seek.withColumn("seek", F.lit(True)), _PLACE, "left")
         sets, extra = marked.withColumn("seek", F.coalesce("seek", F.lit(False))), ["seek"]
-    rows = sets.select(*_PLACE, "n", *BITMAP, *extra, F.posexplode("prefix").alias("pos", "token"))
+    rows = _folded(sets).select(*_PLACE, "n", *BITMAP, *extra, F.posexplode("prefix").alias("pos", "token"))
     if seek is not None:
         # Lists without a line that is still open are of no use, nor are lines that no open one can resemble or that come later.
         size, place = F.col("n"), F.struct(*_PLACE)
@@ -214,7 +258,7 @@ def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = Non
             asked, passes = F.broadcast(asked), 1
         fits = F.col("seek") | (F.col("n").between(F.col("least"), F.col("most")) & (place < F.col("last")))
     rows = rows.withColumn("bucket", F.col("token").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int"))
-    hot = hot_groups(rows, ["bucket"], POSTING_ROWS) if asked is None else None
+    hot = hot_groups(sets.select(F.explode("busy").alias("bucket")), ["bucket"], POSTING_ROWS) if asked is None else None
     out = []
     for share in range(passes):
         some = rows.where(F.pmod("token", F.lit(passes)) == share) if passes > 1 else rows
@@ -228,10 +272,16 @@ def _named_pairs(rows: DataFrame, tries: int | None, hot: DataFrame | None) -> D
     rows = tiled(rows.withColumn("spread", F.xxhash64(*_PLACE)), ["bucket"], "spread", POSTING_ROWS, hot).drop("bucket", "spread")
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, _KEYS, TASK_ROWS):
-            yield _named(frame, tries)
+        for frame in whole_groups(batches, ["token"], TASK_ROWS):
+            token = frame["token"].to_numpy()
+            new = np.concatenate([[True], token[1:] != token[:-1], [True]])
+            frame = frame[~(new[:-1] & new[1:])]
+            order = np.lexsort([frame[c].to_numpy() for c in [*_KEYS, *_PLACE][::-1]])
+            yield _named(frame.iloc[order], tries)
 
-    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, *_PLACE).mapInPandas(name, _PAIR).distinct()
+    # A list or tile is told by one number, which is sorted faster than all its keys; its rows are put in order in the task.
+    dealt = rows.repartition(*_KEYS).withColumn("token", F.xxhash64(*_KEYS))
+    return dealt.sortWithinPartitions("token").mapInPandas(name, _PAIR).distinct()
 
 
 def _texts_of_lines(docs: DataFrame, text: str, lines: DataFrame) -> tuple[DataFrame, str]:
@@ -249,7 +299,7 @@ def _texts_of_lines(docs: DataFrame, text: str, lines: DataFrame) -> tuple[DataF
                     rows += [(row.doc, row.row, i, split[i]) for i in row.wanted]
                 yield pd.DataFrame(rows, columns=[*_PLACE, "words"])
 
-    picked = near.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInPandas(pick, "doc long, row long, line int, words binary")
+    picked = near.join(wanted.hint("merge"), ["doc", "row"]).select("doc", "row", "text", "wanted").mapInPandas(pick, "doc long, row long, line int, words binary")
     return step(picked, "words")
 
 
@@ -270,7 +320,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     ends = pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(o).alias(c) for o, c in zip(other, _PLACE)])).distinct()
     words, path = _texts_of_lines(docs, text, materialize(ends, "ends"))
     others = words.select(*[F.col(c).alias(o) for o, c in zip(other, _PLACE)], F.col("words").alias("other_words"))
-    both = pairs.select(*_PLACE, *other).join(words, _PLACE).join(others, other)
+    both = pairs.select(*_PLACE, *other).join(words.hint("merge"), _PLACE).join(others.hint("merge"), other)
     found = materialize(both.where(_alike("words", "other_words")).select(*_PLACE).distinct(), "verified")
     release(docs.sparkSession, path)
     return found
@@ -350,7 +400,7 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
         return pd.Series(out, dtype="object")
 
     lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.split(F.col(f"`{text}`"), "\n", -1))).alias("__n_lines")
-    near = near.join(gone, ["__doc", "__row"], "left").withColumn("__cut", cut(F.col(f"`{text}`").cast("binary"), F.col("__gone")))
+    near = near.join(gone.hint("merge"), ["__doc", "__row"], "left").withColumn("__cut", cut(F.col(f"`{text}`").cast("binary"), F.col("__gone")))
     cleaned = [F.col("__cut").cast("string").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     near = near.select(*cleaned, lines, F.coalesce(F.array_sort("__gone"), F.array().cast("array<int>")).alias("__removed"))
     far = far.select(*[F.col(f"`{c}`") for c in docs.columns], lines, F.array().cast("array<int>").alias("__removed"))

@@ -75,3 +75,41 @@ def test_later_rounds_read_earlier_lines_of_like_size_only(spark):
         patch.setattr(line_dedup, "BROADCAST_WORDS", 0)
         line_dedup._candidates(heads, None, seek)
     assert len(read) == 1 + line_dedup.PASSES and sum(read[1:], []) == [0, 3, 4]
+
+
+def test_folded_bitmaps_lose_no_pair():
+    """Lines of every size on both sides of the folds, one word apart or many."""
+    rnd = random.Random(8)
+
+    def bits(tokens):
+        out = [0, 0, 0, 0]
+        for t in tokens:
+            out[t % 256 // 64] ^= 1 << t % 64
+        return [w - (1 << 64) if w >> 63 else w for w in out]
+
+    for n in (20, line_dedup.NARROW, line_dedup.MEDIUM, 200):
+        base = rnd.sample(range(1 << 20), n)
+        sets = [base, base + [1 << 21], rnd.sample(range(1 << 20), n)]
+        rows = [(i, 0, 0, len(s), 0, 1, *bits(s)) for i, s in enumerate(sets)]
+        frame = pd.DataFrame(rows, columns=["doc", "row", "line", "n", "pos", "token", *line_dedup.BITMAP]).assign(tile_a=0, tile_b=0, part=0)
+        for i, s in enumerate(sets):
+            w = frame.loc[i, line_dedup.BITMAP].astype("int64").tolist()
+            if len(s) <= line_dedup.NARROW:
+                w = [w[0] ^ w[1] ^ w[2] ^ w[3], 0, 0, 0]
+            elif len(s) <= line_dedup.MEDIUM:
+                w = [w[0] ^ w[2], w[1] ^ w[3], 0, 0]
+            frame.loc[i, line_dedup.BITMAP] = w
+        found = line_dedup._named(frame, 8)
+        assert [(r.doc, r.other_doc) for r in found.itertuples()] == [(1, 0)]
+
+
+def test_postings_of_short_lines_carry_a_folded_bitmap(spark):
+    docs = {1: " ".join(f"a{i}" for i in range(40)), 2: " ".join(f"b{i}" for i in range(100)), 3: " ".join(f"c{i}" for i in range(180))}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    sets = line_dedup.line_sets(line_dedup.identified(frame, "doc_id"), "text")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "_named_pairs", lambda some, tries, hot: seen.extend(some.collect()))
+        line_dedup._candidates(sets, 8)
+    used = {r.doc: sum(r[w] != 0 for w in line_dedup.BITMAP) for r in seen}
+    assert used == {1: 1, 2: 2, 3: 4} and len(seen) == 9 + 21 + 37
