@@ -61,7 +61,7 @@ _PAIR = "doc long, row long, line int, other_doc long, other_row long, other_lin
 def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
     """A byte per bucket that grows with the count of the words in it.
 
-    Counts travel as arrays, a row per task and chunk of buckets, and are added chunk by chunk.
+    Counts travel as arrays, a row per task and chunk of buckets, all of a task in one frame, and are added chunk by chunk.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,10 +70,10 @@ def word_ranks(docs: DataFrame, text: str) -> np.ndarray:
             hashes = [word_hashes(data)[0] for _, _, data in joined_texts([t or b"" for t in batch["text"]], BUFFER)]
             places = np.concatenate(hashes or [np.zeros(0, np.uint64)]) & np.uint64(COUNT_BUCKETS - 1)
             counts += np.bincount(places.astype(np.int64), minlength=COUNT_BUCKETS)
-        for chunk, some in enumerate(counts.reshape(-1, CHUNK)):
-            used = np.flatnonzero(some)
-            if len(used):
-                yield pd.DataFrame({"chunk": [chunk], "places": [used.astype(np.int32).tobytes()], "counts": [some[used].tobytes()]}).astype({"chunk": "int32"})
+        used = [np.flatnonzero(some).astype(np.int32) for some in counts.reshape(-1, CHUNK)]
+        found = [chunk for chunk, places in enumerate(used) if len(places)]
+        sums = [counts[chunk * CHUNK + used[chunk]].tobytes() for chunk in found]
+        yield pd.DataFrame({"chunk": found, "places": [used[chunk].tobytes() for chunk in found], "counts": sums}).astype({"chunk": "int32"})
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -120,14 +120,15 @@ class _Sets:
 
 
 def line_sets(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc, row, line, n, w0 to w3, whole, prefix, busy) of all lines of identified documents.
+    """Rows (doc, row, line, n, w0 to w3, whole, again, prefix, busy) of all lines of identified documents.
 
-    The bitmap has the parity of the words by 8 bits of their hash, whole is a hash of the set.
+    The bitmap has the parity of the words by 8 bits of their hash, whole is a hash of the set, and again
+    tells that an earlier line of the document has the same set, by 192 bits and the size.
     Sets of up to three words resemble equal ones only, so they need no prefix.  busy are the buckets of
     those words of the prefix whose posting list may have more than POSTING_ROWS rows.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
-    names = [*_PLACE, "n", *BITMAP, "whole", "prefix", "busy"]
+    names = [*_PLACE, "n", *BITMAP, "whole", "again", "prefix", "busy"]
     busy_rank = int(8 * np.log2(POSTING_ROWS + 1))
 
     def some(texts: list[bytes], docs: np.ndarray, rows: np.ndarray) -> Iterator[list]:
@@ -140,13 +141,17 @@ def line_sets(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFra
             place = (sets.token >> np.uint64(40)) & np.uint64(64 * len(BITMAP) - 1)
             bit = np.uint64(1) << (place & np.uint64(63))
             bitmap = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), sets.first).view(np.int64) for k in range(len(BITMAP))]
+            alike = [sets.n, bitmap[1], bitmap[0], sets.whole, owner]
+            order = np.lexsort(alike)
+            again = np.zeros(len(owner), bool)
+            again[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in alike])
             length = np.where(sets.n > 3, sets.n - (4 * sets.n + 4) // 5 + 1, 0)
             ahead = np.arange(len(sets.token)) < np.repeat(sets.first + length, sets.n)
             prefix = sets.token[ahead].view(np.int64)
             buckets = (prefix & (COUNT_BUCKETS - 1)).astype(np.int32)
             is_busy = ranks.value[buckets] >= busy_rank
             busy = np.bincount(np.repeat(np.arange(len(length)), length)[is_busy], minlength=len(length))
-            yield [docs[lo + owner], rows[lo + owner], (sets.line - base[owner]).astype(np.int32), sets.n.astype(np.int32), *bitmap, sets.whole.view(np.int64),
+            yield [docs[lo + owner], rows[lo + owner], (sets.line - base[owner]).astype(np.int32), sets.n.astype(np.int32), *bitmap, sets.whole.view(np.int64), again,
                    (length, prefix), (busy, buckets[is_busy])]
 
     def column(parts: list) -> pa.Array:
@@ -168,7 +173,7 @@ def line_sets(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFra
                 yield pa.RecordBatch.from_arrays([column(c) for c in zip(*held)], names)
 
     slim = docs.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return slim.mapInArrow(build, "doc long, row long, line int, n int, w0 long, w1 long, w2 long, w3 long, whole long, prefix array<long>, busy array<int>")
+    return slim.mapInArrow(build, "doc long, row long, line int, n int, w0 long, w1 long, w2 long, w3 long, whole long, again boolean, prefix array<long>, busy array<int>")
 
 
 def _folded(sets: DataFrame) -> DataFrame:
@@ -242,8 +247,16 @@ def _named(frame: pd.DataFrame, tries: int | None) -> pd.DataFrame:
     return pd.DataFrame({c: columns[c][a] for c in _PLACE} | {f"other_{c}": columns[c][b] for c in _PLACE} | {"more": more[a]})
 
 
-def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = None) -> list[DataFrame]:
-    """Pairs of lines that pass the filters, for the lines in ``seek`` or for all, by shares of the words."""
+def _hot_words(sets: DataFrame) -> DataFrame:
+    """Buckets of the words whose posting lists are cut into tiles."""
+    return hot_groups(sets.select(F.explode("busy").alias("bucket")), ["bucket"], POSTING_ROWS)
+
+
+def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = None, hot: DataFrame | None = None) -> list[DataFrame]:
+    """Pairs of lines that pass the filters, for the lines in ``seek`` or for all, by shares of the words.
+
+    ``hot`` are the hot words of all lines if they are known; in a later round they cut its shorter lists as well.
+    """
     extra, asked, passes = [], None, PASSES
     if seek is not None:
         marked = sets.join(seek.withColumn("seek", F.lit(True)), _PLACE, "left")
@@ -258,7 +271,8 @@ def _candidates(sets: DataFrame, tries: int | None, seek: DataFrame | None = Non
             asked, passes = F.broadcast(asked), 1
         fits = F.col("seek") | (F.col("n").between(F.col("least"), F.col("most")) & (place < F.col("last")))
     rows = rows.withColumn("bucket", F.col("token").bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int"))
-    hot = hot_groups(sets.select(F.explode("busy").alias("bucket")), ["bucket"], POSTING_ROWS) if asked is None else None
+    if hot is None and asked is None:
+        hot = _hot_words(sets)
     out = []
     for share in range(passes):
         some = rows.where(F.pmod("token", F.lit(passes)) == share) if passes > 1 else rows
@@ -276,11 +290,14 @@ def _named_pairs(rows: DataFrame, tries: int | None, hot: DataFrame | None) -> D
             token = frame["token"].to_numpy()
             new = np.concatenate([[True], token[1:] != token[:-1], [True]])
             frame = frame[~(new[:-1] & new[1:])]
-            order = np.lexsort([frame[c].to_numpy() for c in [*_KEYS, *_PLACE][::-1]])
-            yield _named(frame.iloc[order], tries)
+            order = np.lexsort([frame[c].to_numpy() for c in ["token", *_PLACE][::-1]])
+            yield _named(frame.iloc[order].assign(tile_a=0, tile_b=(frame["part"].to_numpy()[order] >= 0).astype(int)), tries)
 
     # A list or tile is told by one number, which is sorted faster than all its keys; its rows are put in order in the task.
-    dealt = rows.repartition(*_KEYS).withColumn("token", F.xxhash64(*_KEYS))
+    # Parts matter in tiles of two parts only; -1 stands for the others.
+    side = F.when(F.col("tile_a") != F.col("tile_b"), F.col("part")).otherwise(-1).alias("part")
+    dealt = rows.repartition(*_KEYS).withColumn("key", F.xxhash64(*_KEYS))
+    dealt = dealt.select(F.col("key").alias("token"), side, *[c for c in rows.columns if c not in (*_KEYS, "part")])
     return dealt.sortWithinPartitions("token").mapInPandas(name, _PAIR).distinct()
 
 
@@ -327,16 +344,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def _first_lines(docs: DataFrame, text: str, min_words: int) -> tuple[DataFrame, str]:
-    """Line sets with ``head``, true for the first line of each set, as a step; equal sets are told by 192 bits and the size."""
-    place, spark = F.struct(*_PLACE), docs.sparkSession
+    """Line sets with ``head``, true for the first line of each set, as a step; equal sets are told by 192 bits and the size.
+
+    A document's further lines of a set are marked before, so that documents are compared here, by their numbers alone unless rows share a key.
+    """
+    spark = docs.sparkSession
+    place = F.col("doc") if docs.where("__row <> 0").isEmpty() else F.struct("doc", "row")
     sets, path = step(line_sets(docs, text, min_words), "line_sets")
-    several = sets.groupBy("whole", "w0", "w1", "n").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    several = sets.where("not again").groupBy("whole", "w0", "w1", "n").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     # Written before it is joined, so that a hot set's partition can be split.
     several, aside = step(several, "equal_sets")
     # Sets that surely occur once need no partner.
     near, far = bucket_split(sets, "whole", several)
     met = near.join(several, ["whole", "w0", "w1", "n"], "left").unionByName(far, allowMissingColumns=True)
-    found = step(met.withColumn("head", F.coalesce(place == F.col("least"), F.lit(True))).drop("least", "whole"), "first_lines")
+    head = ~F.col("again") & F.coalesce(place == F.col("least"), F.lit(True))
+    found = step(met.withColumn("head", head).drop("least", "whole", "again"), "first_lines")
     release(spark, path, aside)
     return found
 
@@ -355,9 +377,10 @@ def removed_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORD
     heads = sets.where("head and size(prefix) > 0")
 
     def named(tries: int | None, seek: DataFrame | None = None) -> DataFrame:
-        passes = [kept(p, "line_pairs") for p in _candidates(heads, tries, seek)]
+        passes = [kept(p, "line_pairs") for p in _candidates(heads, tries, seek, hot)]
         return kept(reduce(DataFrame.unionByName, passes).distinct(), "line_pairs") if len(passes) > 1 else passes[0]
 
+    hot = _hot_words(heads)
     pairs = named(FIRST_TRIES)
     other = [f"other_{c}" for c in _PLACE]
     tried, done = pairs.drop("more").distinct(), _verified(pairs, docs, text)
@@ -399,7 +422,8 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
             out.append(data)
         return pd.Series(out, dtype="object")
 
-    lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.split(F.col(f"`{text}`"), "\n", -1))).alias("__n_lines")
+    breaks = F.octet_length(F.col(f"`{text}`")) - F.octet_length(F.replace(F.col(f"`{text}`"), F.lit("\n"), F.lit("")))
+    lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(breaks + 1).alias("__n_lines")
     near = near.join(gone.hint("merge"), ["__doc", "__row"], "left").withColumn("__cut", cut(F.col(f"`{text}`").cast("binary"), F.col("__gone")))
     cleaned = [F.col("__cut").cast("string").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     near = near.select(*cleaned, lines, F.coalesce(F.array_sort("__gone"), F.array().cast("array<int>")).alias("__removed"))

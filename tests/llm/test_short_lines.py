@@ -113,3 +113,19 @@ def test_postings_of_short_lines_carry_a_folded_bitmap(spark):
         line_dedup._candidates(sets, 8)
     used = {r.doc: sum(r[w] != 0 for w in line_dedup.BITMAP) for r in seen}
     assert used == {1: 1, 2: 2, 3: 4} and len(seen) == 9 + 21 + 37
+
+
+def test_repeats_inside_a_document_are_marked_before_the_shuffle(spark):
+    frame = spark.createDataFrame([(1, "a b\nc\nb a\nb a a\n\nc d"), (2, "a b\nc c\nd")], "doc_id long, text string")
+    sets = line_dedup.line_sets(line_dedup.identified(frame, "doc_id"), "text")
+    assert {(r.doc, r.line) for r in sets.where("again").collect()} == {(1, 2), (1, 3)}
+
+
+def test_word_counts_leave_a_task_in_one_frame(spark, monkeypatch):
+    frames = []
+    frame = spark.createDataFrame([(" ".join(f"w{i}" for i in range(20_000)),)], "text string")
+    kept = type(frame).mapInPandas
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda df, fn, schema: frames.append(fn) or kept(df, fn, schema))
+    table = line_dedup.word_ranks(frame, "text")
+    found = list(frames[0](iter([pd.DataFrame({"text": [b"a b a"]}), pd.DataFrame({"text": [b"c"]})])))
+    assert len(found) == 1 and 1 <= len(found[0]) <= 3 and (table > 0).sum() > 19_000
